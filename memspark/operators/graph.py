@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from memspark.functions.text import fold_case, tokenize
+from memspark.functions.text import tokenize
 from memspark.operators.matching import substring_pairs
 from memspark.operators.ranking import top_per_group
 from memspark.operators.search import SCORE_DIGITS, ranked
