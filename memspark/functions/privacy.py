@@ -62,23 +62,33 @@ def has_secret_hint(text: Column) -> Column:
     return reduce(lambda a, b: a | b, checks)
 
 
-def redact(df: DataFrame, text_col: str, out_col: str | None = None) -> DataFrame:
-    """Add the filtered text, ``had_secrets`` and ``hit_patterns``.
+def redact_secrets(text: Column) -> Column:
+    """All patterns in order, each over the output of the one before."""
+    return reduce(lambda t, p: F.regexp_replace(t, java_pattern(p[1]), REDACTED), SECRET_PATTERNS, text)
 
-    Every step is its own projection, so a step's text is computed once although both the next test and the next
-    replacement read it; all projections run in one stage. Rows without a hint skip every pattern.
+
+def fired_patterns(text: Column) -> Column:
+    """Names of the patterns that match, each tested on the text as the patterns before it left it."""
+    fired, work = [], text
+    for name, pattern in SECRET_PATTERNS:
+        regex = java_pattern(pattern)
+        fired.append(F.when(work.rlike(regex), F.lit(name)))
+        work = F.regexp_replace(work, regex, REDACTED)
+    return F.array_compact(F.array(*fired))
+
+
+def redact(df: DataFrame, text_col: str, out_col: str | None = None, hits: bool = True) -> DataFrame:
+    """Add the filtered text, ``had_secrets`` and, with ``hits``, ``hit_patterns``.
+
+    Rows without a hint skip every pattern. A secret was found exactly when the patterns changed the text: no pattern
+    starts with the star the replacement starts with, so the first replaced place always differs. Only rows with a secret
+    are asked which patterns fired. Each step reads the text once, so the plan stays small when filters are pushed down.
     """
     out_col = out_col or text_col
-    work, hint = "__text", "__hint"
-    df = df.withColumn(work, drop_private(F.coalesce(F.col(text_col), F.lit(""))))
-    df = df.withColumn(hint, has_secret_hint(F.col(work)))
-    for i, (_, pattern) in enumerate(SECRET_PATTERNS):
-        regex = java_pattern(pattern)
-        df = df.withColumn(f"__hit{i}", F.col(hint) & F.col(work).rlike(regex))
-        df = df.withColumn(
-            work, F.when(F.col(f"__hit{i}"), F.regexp_replace(F.col(work), regex, REDACTED.replace("$", r"\$"))).otherwise(F.col(work))
-        )
-    hits = F.array_compact(F.array(*[F.when(F.col(f"__hit{i}"), F.lit(name)) for i, (name, _) in enumerate(SECRET_PATTERNS)]))
-    df = df.withColumn("hit_patterns", hits).withColumn("had_secrets", F.size("hit_patterns") > 0)
-    df = df.withColumn(out_col, strip_ansi(F.col(work)))
-    return df.drop(work, hint, *[f"__hit{i}" for i in range(len(SECRET_PATTERNS))])
+    df = df.withColumn("__text", drop_private(F.coalesce(F.col(text_col), F.lit(""))))
+    df = df.withColumn("__red", F.when(has_secret_hint(F.col("__text")), redact_secrets(F.col("__text"))).otherwise(F.col("__text")))
+    df = df.withColumn("had_secrets", F.col("__red") != F.col("__text"))
+    if hits:
+        none = F.array().cast("array<string>")
+        df = df.withColumn("hit_patterns", F.when(F.col("had_secrets"), fired_patterns(F.col("__text"))).otherwise(none))
+    return df.withColumn(out_col, strip_ansi(F.col("__red"))).drop("__text", "__red")

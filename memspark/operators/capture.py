@@ -32,22 +32,28 @@ def _key(strict: bool) -> Column:
     return dedup_key(F.col("session_id"), F.col("tool_name"), F.col("tool_input"), *extra)
 
 
+def with_event_id(events: DataFrame) -> DataFrame:
+    """A deterministic id over the whole event; never null, so joins on it add no null test that repeats the hash."""
+    made = stable_id("obs", F.col("session_id"), F.col("hook_type"), F.col("ts"), F.col("data"))
+    return events.withColumn("id", F.coalesce(made, F.lit("")))
+
+
+TEXT_FIELDS = ("tool_input", "tool_output", "user_prompt", "raw")
+
+
 def prepare(events: DataFrame, strict: bool = False) -> DataFrame:
-    """Row-wise part of the capture, the same for tables and streams: fields, redaction, modality, dedup key and id.
+    """Row-wise part of the capture, the same for tables and streams: fields, redaction, modality and dedup key.
 
-    Secrets are redacted in the decoded field values. Session ends carry no observation and have no dedup key.
+    Secrets are redacted in the decoded field values.
     """
     df = tool_fields(events).withColumn("raw", F.coalesce(F.col("data"), F.lit("")))
-    for c in ("tool_input", "tool_output", "user_prompt", "raw"):
-        df = redact(df, c).withColumnRenamed("had_secrets", f"__s_{c}").drop("hit_patterns")
-    flags = [F.col(f"__s_{c}") for c in ("tool_input", "tool_output", "user_prompt", "raw")]
-    df = df.withColumn("has_secrets", flags[0] | flags[1] | flags[2] | flags[3]).drop(*[f"__s_{c}" for c in ("tool_input", "tool_output", "user_prompt", "raw")])
+    for c in TEXT_FIELDS:
+        df = redact(df, c, hits=False).withColumnRenamed("had_secrets", f"__s_{c}")
+    df = df.withColumn("has_secrets", F.col("__s_tool_input") | F.col("__s_tool_output") | F.col("__s_user_prompt") | F.col("__s_raw"))
+    df = df.drop(*[f"__s_{c}" for c in TEXT_FIELDS])
     # An absent input stays absent after the redaction made it an empty text.
     df = df.withColumn("tool_input", F.nullif("tool_input", F.lit("")))
-    df = df.withColumn("dedup_key", _key(strict)).withColumn("modality", modality(F.col("raw")))
-    return df.withColumn(
-        "id", stable_id("obs", F.col("session_id"), F.col("hook_type"), F.col("ts"), F.col("dedup_key"), F.col("raw"))
-    )
+    return df.withColumn("dedup_key", F.coalesce(_key(strict), F.lit(""))).withColumn("modality", modality(F.col("raw")))
 
 
 def ensure_sessions(events: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -81,7 +87,9 @@ def capture(events: DataFrame, seconds: float = 300, strict: bool = False) -> Ca
     checked = validate_hooks(events)
     good = checked.filter("reject_reason IS NULL").drop("reject_reason")
     ended = good.filter(F.col("hook_type") == "session_end").select("session_id", F.col("ts").alias("ended_at"))
-    ready = prepare(good.filter(F.col("hook_type") != "session_end"), strict).dropDuplicates(["id"])
+    # The same event sent twice has the same id. Only then the expensive columns: the dedup branch computes just its key.
+    single = with_event_id(good.filter(F.col("hook_type") != "session_end")).dropDuplicates(["id"])
+    ready = prepare(single, strict)
     kept = dedup_window(ready, ["session_id", "dedup_key"], "ts", "id", seconds).filter("NOT is_duplicate")
     observations = kept.select(
         "id", "session_id", "project", "hook_type", "tool_name", "tool_input", "tool_output", "user_prompt",
