@@ -111,16 +111,17 @@ def _clean(phrase: Column) -> Column:
 
 
 def _verb_relations(text: Column, i: int, verb: str, kind: str) -> Column:
-    pattern = r"(?iU)" + PHRASE + r"\s+" + verb + r"\s+" + PHRASE + r"(?=[\s,.;:]|$)"
-    # The verb as plain text decides first, so most texts never meet the pattern.
-    has = F.contains(F.lower(text), F.lit(verb))
-    subject = F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    obj = F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(2)))
+    phrase = r"(?iU)" + PHRASE + r"\s+" + verb + r"\s+" + PHRASE
+    # The verb as plain text decides first, so most texts never meet the pattern. The long text is searched once; subject
+    # and object are then read from each short match, which the lookahead is not part of.
+    hits = F.when(F.contains(F.lower(text), F.lit(verb)), F.regexp_extract_all(text, F.lit(phrase + r"(?=[\s,.;:]|$)"), F.lit(0)))
+    whole = phrase + "$"
+
+    def read(hit: Column, group: int) -> Column:
+        return _clean(F.regexp_extract(hit, whole, group))
+
     return F.coalesce(
-        F.zip_with(
-            subject, obj,
-            lambda s, t: F.struct(_clean(s).alias("source"), _clean(t).alias("target"), F.lit(kind).alias("type"), F.lit(i).alias("verb")),
-        ),
+        F.transform(hits, lambda h: F.struct(read(h, 1).alias("source"), read(h, 2).alias("target"), F.lit(kind).alias("type"), F.lit(i).alias("verb"))),
         F.array().cast("array<struct<source:string,target:string,type:string,verb:int>>"),
     )
 

@@ -55,34 +55,46 @@ def undirected_pairs(edges: DataFrame, min_confidence: float | None) -> DataFram
     return one.unionByName(one.select("project", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, min_confidence: float | None = 0.3) -> DataFrame:
-    """Smallest depth of every node within ``max_depth`` hops of a query's seeds: (query_id, node, depth).
-
-    ``seeds(query_id, q_project, entity_id)``. Each hop joins only the nodes new in the last one.
-    """
+def _expand(seeds: DataFrame, edges: DataFrame, max_depth: int, min_confidence: float | None) -> DataFrame:
     pairs = undirected_pairs(edges, min_confidence)
-    if max_depth > HOPS_IN_ONE_PLAN:
-        pairs = cut_lineage(pairs)
-    reached = seeds.select("query_id", "q_project", F.col("entity_id").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = reached
-    for depth in range(1, max_depth + 1):
-        stepped = (
-            frontier.select("query_id", "q_project", F.col("node").alias("a"))
-            .join(pairs, "a")
+    start = seeds.select("query_id", "q_project", F.col("entity_id").alias("node")).distinct()
+
+    def hop(front: DataFrame) -> DataFrame:
+        return (
+            front.withColumnRenamed("node", "a").join(pairs, "a")
             .filter((F.col("q_project") == "") | (F.col("q_project") == F.col("project")))
             .select("query_id", "q_project", F.col("b").alias("node"))
             .distinct()
         )
-        frontier = stepped.join(reached.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = frontier.select("query_id", "q_project", "node", "depth")
-        if max_depth > HOPS_IN_ONE_PLAN:
-            frontier = cut_lineage(frontier)
-            if frontier.isEmpty():
-                break
-        reached = reached.unionByName(frontier)
+
+    reached = start.withColumn("depth", F.lit(0))
+    if max_depth <= HOPS_IN_ONE_PLAN:
+        # Few hops: going over a node again costs less than leaving it out, and one aggregation keeps the smallest depth.
+        front = start
+        for depth in range(1, max_depth + 1):
+            front = hop(front)
+            reached = reached.unionByName(front.withColumn("depth", F.lit(depth)))
+        return reached.groupBy("query_id", "node").agg(F.min("depth").alias("depth"))
+    # Many hops: only nodes new in the last hop go on, and every hop is written, so the plan does not grow.
+    pairs = cut_lineage(pairs)
+    front = start
+    for depth in range(1, max_depth + 1):
+        new = hop(front).join(reached.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        front = cut_lineage(new.select("query_id", "q_project", "node"))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front.withColumn("depth", F.lit(depth)))
     return reached.select("query_id", "node", "depth")
 
 
+def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, min_confidence: float | None = 0.3) -> DataFrame:
+    """Smallest depth of every node within ``max_depth`` hops of a query's seeds: (query_id, node, depth).
+
+    ``seeds(query_id, q_project, entity_id)``; they are few per query and read by every hop, so they are written once.
+    """
+    return _expand(cut_lineage(seeds), edges, max_depth, min_confidence)
+
+
 def graph_search(
     queries: DataFrame,
     entities: DataFrame,
@@ -97,8 +109,8 @@ def graph_search(
 
     Repeated links of an observation and an entity add up: they are counted before the join with the reached nodes.
     """
-    matched = match_entities(queries, entities, seeds)
-    reached = bfs(matched, edges, max_depth, min_confidence)
+    matched = cut_lineage(match_entities(queries, entities, seeds))
+    reached = _expand(matched, edges, max_depth, min_confidence)
     weighted = reached.join(
         matched.select("query_id", F.col("entity_id").alias("node"), "confidence"), ["query_id", "node"], "left"
     ).select(

@@ -4,42 +4,57 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memspark.functions.text import stem, words
 
 
+# The row that stands for a document itself has the empty term.
+DOCUMENT = ""
+
+
 @dataclass(frozen=True)
 class KeywordIndex:
-    """``postings(term, doc_id, project, doc_len, tf)`` and ``docs(doc_id, project, doc_len)``.
+    """``rows(term, doc_id, project, doc_len, tf)``: the postings, and one row with an empty term per document.
 
-    Postings carry the document length and project, so scoring needs no join with the documents.
+    Postings carry the document length and project, so scoring needs no join with the documents; the document rows come
+    out of the same pass over the texts, so counts and lengths cost no second one.
     """
 
-    postings: DataFrame
-    docs: DataFrame
+    rows: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.filter(F.col("term") != DOCUMENT)
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.rows.filter(F.col("term") == DOCUMENT).select("doc_id", "project", "doc_len")
+
+
+COLUMNS = ("term", "doc_id", "project", "doc_len", "tf")
 
 
 def build_keyword_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", project_col: str | None = "project") -> KeywordIndex:
     project = F.coalesce(F.col(project_col), F.lit("")) if project_col else F.lit("")
-    worded = docs.select(F.col(id_col).alias("doc_id"), project.alias("project"), words(F.col(text_col)).alias("words")).withColumn(
-        "doc_len", F.size("words")
-    )
-    postings = (
-        worded.select("doc_id", "project", "doc_len", F.explode("words").alias("word"))
+    worded = docs.select(F.col(id_col).alias("doc_id"), project.alias("project"), words(F.col(text_col)).alias("words"))
+    rows = (
+        worded.select("doc_id", "project", F.size("words").alias("doc_len"), F.explode(F.concat("words", F.array(F.lit(DOCUMENT)))).alias("word"))
         .select("doc_id", "project", "doc_len", stem(F.col("word")).alias("term"))
         .groupBy("term", "doc_id", "project", "doc_len")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    return KeywordIndex(postings, worded.select("doc_id", "project", "doc_len"))
+    return KeywordIndex(rows.select(*COLUMNS))
+
+
+def mean_length(total: Column, count: Column) -> Column:
+    return F.when(F.coalesce(total, F.lit(0)) == 0, 1.0).otherwise(total / count)
 
 
 def corpus_stats(index: KeywordIndex) -> DataFrame:
     """Document count and average length (1 when nothing has a length), over all projects."""
-    mean = F.avg("doc_len")
-    return index.docs.agg(
-        F.count(F.lit(1)).alias("total_docs"), F.when(F.coalesce(mean, F.lit(0.0)) == 0, 1.0).otherwise(mean).alias("avg_doc_len")
-    )
+    docs = index.docs.agg(F.count(F.lit(1)).alias("total_docs"), F.sum("doc_len").alias("n"))
+    return docs.select("total_docs", mean_length(F.col("n"), F.col("total_docs")).alias("avg_doc_len"))
 
 
 def term_frequencies(index: KeywordIndex) -> DataFrame:
@@ -61,21 +76,24 @@ def write_keyword_index(index: KeywordIndex, path: str, buckets: int = TERM_BUCK
 
 
 def read_keyword_index(spark: SparkSession, path: str) -> KeywordIndex:
-    return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+    postings = spark.read.parquet(f"{path}/postings").select(*COLUMNS)
+    docs = spark.read.parquet(f"{path}/docs")
+    return from_tables(postings, docs)
+
+
+def from_tables(postings: DataFrame, docs: DataFrame) -> KeywordIndex:
+    whole = docs.select(F.lit(DOCUMENT).alias("term"), "doc_id", "project", "doc_len", F.lit(1).cast("bigint").alias("tf"))
+    return KeywordIndex(postings.select(*COLUMNS).unionByName(whole))
 
 
 def upsert_keyword_index(index: KeywordIndex, changed: KeywordIndex) -> KeywordIndex:
     """Replace the changed documents, add the new ones."""
-    keys = changed.docs.select("doc_id")
-    kept = [t.join(keys, "doc_id", "left_anti") for t in (index.postings, index.docs)]
-    columns = ["term", "doc_id", "project", "doc_len", "tf"]
-    return KeywordIndex(
-        kept[0].select(columns).unionByName(changed.postings.select(columns)), kept[1].unionByName(changed.docs)
-    )
+    kept = index.rows.join(changed.docs.select("doc_id"), "doc_id", "left_anti")
+    return KeywordIndex(kept.select(*COLUMNS).unionByName(changed.rows))
 
 
 def delete_documents(index: KeywordIndex, doc_ids: DataFrame) -> KeywordIndex:
-    return KeywordIndex(*[t.join(doc_ids.select("doc_id"), "doc_id", "left_anti") for t in (index.postings, index.docs)])
+    return KeywordIndex(index.rows.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS))
 
 
 def upsert_vectors(vectors: DataFrame, changed: DataFrame) -> DataFrame:

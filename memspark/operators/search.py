@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memspark.functions.text import clip_snippet, query_terms
-from memspark.operators.index import KeywordIndex, corpus_stats
+from memspark.operators.index import DOCUMENT, KeywordIndex, mean_length
 from memspark.operators.ranking import top_per_group
 
 SCORE_DIGITS = 9
@@ -28,26 +28,29 @@ def bm25_idf(df: Column, total: Column) -> Column:
 def bm25_search(queries: DataFrame, index: KeywordIndex, k1: float = 1.2, b: float = 0.75, limit: int = 10, scope: str = "global") -> DataFrame:
     """BM25 for every query. Counts are over all projects unless ``scope='project'``; a query's project filters documents.
 
-    The wanted terms are a semi-join on the grouping key of the postings, which Catalyst moves below the aggregation:
-    only tokens some query asks for are shuffled. The frequency branch reads the same columns as the scoring branch, so
-    its shuffle is reused instead of reading the texts again.
+    The wanted terms are a semi-join on the grouping key of the index rows, which Catalyst moves below the aggregation:
+    only tokens some query asks for are shuffled, and one row per document, whose term is empty. Counts, lengths and
+    scores read those same rows, so that shuffle is done once and reused.
     """
     terms = queries.select(
         "query_id", F.coalesce("project", F.lit("")).alias("q_project"), F.explode(query_terms(F.col("query"))).alias("term")
     )
-    hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    # One posting per document: counting the rows with tf > 0 equals counting rows, and keeps tf in the shared plan.
-    present = F.sum(F.when(F.col("tf") > 0, 1).otherwise(0))
-    stats = corpus_stats(index)
-    if scope == "project":
-        counts = hits.groupBy("term", "project").agg(present.alias("df"))
-        sizes = index.docs.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
-        weights = counts.join(sizes, "project").withColumn("idf", bm25_idf(F.col("df"), F.col("n"))).select("term", "project", "idf", "avgdl")
-        weighted = hits.join(weights, ["term", "project"])
+    # The empty term rides along with each query, so that the wanted set is one expression over the queries.
+    wanted = queries.select(F.explode(F.concat(query_terms(F.col("query")), F.array(F.lit(DOCUMENT)))).alias("term")).distinct()
+    hits = index.rows.join(wanted, "term", "left_semi")
+    by = ["project"] if scope == "project" else []
+    # One row per term and document: counting rows with tf > 0 equals counting rows, and keeps tf in the shared plan.
+    counts = hits.groupBy("term", *by).agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"), F.sum("doc_len").alias("length"))
+    whole = counts.filter(F.coalesce(F.col("df"), F.lit(0)) > 0).groupBy(*by).agg(
+        F.max(F.when(F.col("term") == DOCUMENT, F.col("df"))).alias("n"), F.max(F.when(F.col("term") == DOCUMENT, F.col("length"))).alias("total")
+    )
+    stats = whole.select(*by, "n", mean_length(F.col("total"), F.col("n")).alias("avgdl"))
+    if by:
+        weights = counts.join(stats, by).select("term", *by, bm25_idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
+        weighted = hits.join(weights, ["term", *by])
     else:
-        counts = hits.groupBy("term").agg(present.alias("df"))
-        weights = counts.select("term", bm25_idf(F.col("df"), stats.select("total_docs").scalar()).alias("idf"))
-        weighted = hits.join(weights, "term").withColumn("avgdl", stats.select("avg_doc_len").scalar())
+        weights = counts.select("term", bm25_idf(F.col("df"), stats.select("n").scalar()).alias("idf"))
+        weighted = hits.join(weights, "term").withColumn("avgdl", stats.select("avgdl").scalar())
     part = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     scored = (
         weighted.withColumn("part", part)

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memspark.sources.tables import read_table
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -246,9 +248,9 @@ _BASE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(BASE_TABLES) + r")\b")
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or a base table by its own name."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return read_table(spark, f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name].replace("{arr}", "array")
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for _, t in set(_BASE.findall(sql))}
+    tables = {t: read_table(spark, f"{sf_dir}/{t}.parquet") for _, t in set(_BASE.findall(sql))}
     # Braces that belong to JSON text are literal, only table names are parameters.
     sql = _BASE.sub(r"\1 {\2}", sql.replace("{{", "\u0001").replace("}}", "\u0002").replace("{", "{{").replace("}", "}}"))
     return spark.sql(sql.replace("\u0001", "{{").replace("\u0002", "}}"), **tables)

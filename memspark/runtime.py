@@ -16,6 +16,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "memspa
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small shuffles still go to every core: their rows may be expensive although their bytes are few.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("MEMSPARK_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")

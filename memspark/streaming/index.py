@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from memspark.operators.index import KeywordIndex, build_keyword_index
+from memspark.operators.index import KeywordIndex, build_keyword_index, from_tables
 
 
 def write_segment(docs: DataFrame, version: int, path: str) -> None:
@@ -28,7 +28,7 @@ def current_index(spark: SparkSession, path: str) -> KeywordIndex:
     newest = docs.groupBy("doc_id").agg(F.max("version").alias("version"))
     live = docs.join(newest, ["doc_id", "version"]).drop("version")
     postings = spark.read.parquet(f"{path}/postings").join(newest, ["doc_id", "version"]).drop("version")
-    return KeywordIndex(postings.select("term", "doc_id", "project", "doc_len", "tf"), live)
+    return from_tables(postings, live)
 
 
 def compact_index(spark: SparkSession, path: str, target: str) -> None:
