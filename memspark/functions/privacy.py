@@ -40,12 +40,18 @@ FOLDED_HINTS = (
 PRIVATE_BLOCK = r"(?s)<private>.*?</private>"
 ANSI_ESCAPE = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*(?:\x07|\x1b\\)|\x1b[@-Z\\-_]"
 
-# A word boundary over ASCII word characters only, whatever the Java version makes of \b.
+# Word boundaries over ASCII word characters only, whatever the Java version makes of \\b. In front of a word character a
+# boundary is just "no word character before".
+_BEFORE_WORD = r"(?<![A-Za-z0-9_])"
 _BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def java_pattern(pattern: str) -> str:
-    return pattern.replace(r"\b", _BOUNDARY)
+    """The pattern with its boundaries spelled out; a leading one always stands before a word character here."""
+    flag, body = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    if body.startswith(r"\b"):
+        body = _BEFORE_WORD + body[2:]
+    return flag + body.replace(r"\b", _BOUNDARY)
 
 
 def strip_ansi(text: Column) -> Column:

@@ -25,10 +25,11 @@ def top_matches(requests: DataFrame, table: DataFrame, text: Column, order: list
 
     Works on distinct texts and distinct (project, query) pairs; of equal texts in a project only ``k`` rows can matter.
     """
-    best = top_per_group(table.withColumn("__text", F.lower(text)), ["project", "__text"], order, k).drop("rank")
+    table = table.withColumn("__text", F.lower(text))
+    best = top_per_group(table, ["project", "__text"], order, k).drop("rank")
     asked = requests.select(F.coalesce("project", F.lit("")).alias("q_project"), F.lower(F.coalesce("query", F.lit(""))).alias("needle")).distinct()
     named = asked.filter("needle <> ''")
-    pairs = substring_pairs(named, best, text_col="__text").withColumnRenamed("text", "__text")
+    pairs = substring_pairs(named, table, text_col="__text").withColumnRenamed("text", "__text")
     found = named.join(pairs, "needle").join(best, "__text").filter((F.col("q_project") == "") | (F.col("q_project") == F.col("project")))
     plain = asked.filter("needle = ''").join(top_by_scope(best, order, k).drop("rank"), "q_project")
     top = top_per_group(found.unionByName(plain.select(found.columns)), ["q_project", "needle"], order, k)

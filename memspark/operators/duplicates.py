@@ -147,12 +147,11 @@ def similar_memories(new: DataFrame, memories: DataFrame, candidates: int = 5, t
     Everything runs over distinct texts: per project and text only the five strongest memories can matter.
     """
     strongest = [F.desc("strength"), F.asc("id")]
-    texts = memories.select("id", "project", "title", "content", "strength", F.explode(F.array(F.lower("title"), F.lower("content"))).alias("text"))
-    texts = texts.dropDuplicates(["id", "text"])
+    texts = memories.select("id", "project", "title", "content", "strength", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower("content")))).alias("text"))
     best = top_per_group(texts, ["project", "text"], strongest, candidates).drop("rank")
     asked = new.select(F.coalesce("project", F.lit("")).alias("q_project"), F.lower("content").alias("needle")).filter("needle <> ''").distinct()
     found = (
-        asked.join(substring_pairs(asked, best), "needle")
+        asked.join(substring_pairs(asked, texts), "needle")
         .join(best, "text")
         .filter((F.col("q_project") == "") | (F.col("q_project") == F.col("project")))
         .dropDuplicates(["q_project", "needle", "id"])

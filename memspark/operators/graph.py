@@ -56,35 +56,57 @@ def undirected_pairs(edges: DataFrame, min_confidence: float | None) -> DataFram
 
 
 def _expand(seeds: DataFrame, edges: DataFrame, max_depth: int, min_confidence: float | None) -> DataFrame:
+    """Traversal of many queries at once: 64 queries share a row per node, one bit each, so an edge is followed once for
+    all of them and the sets of queries that reach a node are merged by bit_or before any row per query exists.
+
+    ``seeds`` must be a written table: query numbers are taken from its fixed partitions.
+    """
     pairs = undirected_pairs(edges, min_confidence)
-    start = seeds.select("query_id", "q_project", F.col("entity_id").alias("node")).distinct()
+    queries = cut_lineage(seeds.select("query_id", "q_project").distinct())
+    numbered = queries.withColumn("n", F.monotonically_increasing_id()).select(
+        "query_id", "q_project", F.shiftright("n", 6).alias("block"), F.expr("shiftleft(1L, CAST(n & 63 AS INT))").alias("bit")
+    )
+    at = ["node", "q_project", "block"]
+    start = (
+        seeds.select("query_id", "q_project", F.col("entity_id").alias("node")).join(numbered, ["query_id", "q_project"])
+        .groupBy(*at).agg(F.bit_or("bit").alias("mask"))
+    )
 
     def hop(front: DataFrame) -> DataFrame:
         return (
             front.withColumnRenamed("node", "a").join(pairs, "a")
             .filter((F.col("q_project") == "") | (F.col("q_project") == F.col("project")))
-            .select("query_id", "q_project", F.col("b").alias("node"))
-            .distinct()
+            .groupBy(F.col("b").alias("node"), "q_project", "block").agg(F.bit_or("mask").alias("mask"))
         )
 
+    none = F.lit(0).cast("bigint")
     reached = start.withColumn("depth", F.lit(0))
     if max_depth <= HOPS_IN_ONE_PLAN:
-        # Few hops: going over a node again costs less than leaving it out, and one aggregation keeps the smallest depth.
         front = start
         for depth in range(1, max_depth + 1):
             front = hop(front)
             reached = reached.unionByName(front.withColumn("depth", F.lit(depth)))
-        return reached.groupBy("query_id", "node").agg(F.min("depth").alias("depth"))
-    # Many hops: only nodes new in the last hop go on, and every hop is written, so the plan does not grow.
-    pairs = cut_lineage(pairs)
-    front = start
-    for depth in range(1, max_depth + 1):
-        new = hop(front).join(reached.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        front = cut_lineage(new.select("query_id", "q_project", "node"))
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front.withColumn("depth", F.lit(depth)))
-    return reached.select("query_id", "node", "depth")
+        depths = range(max_depth + 1)
+        wide = reached.groupBy(*at).agg(*[F.coalesce(F.bit_or(F.when(F.col("depth") == d, F.col("mask"))), none).alias(f"m{d}") for d in depths])
+        seen, levels = none, []
+        for d in depths:
+            levels.append(F.struct(F.lit(d).alias("depth"), F.col(f"m{d}").bitwiseAND(F.bitwise_not(seen)).alias("mask")))
+            seen = seen.bitwiseOR(F.col(f"m{d}"))
+        reached = wide.select(*at, F.inline(F.array(*levels))).filter("mask <> 0")
+    else:
+        # Many hops: only bits new in the last hop go on, and every hop is written, so the plan does not grow.
+        pairs = cut_lineage(pairs)
+        front = start
+        for depth in range(1, max_depth + 1):
+            seen = reached.groupBy(*at).agg(F.bit_or("mask").alias("seen"))
+            new = hop(front).join(seen, at, "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", none))))
+            front = cut_lineage(new.filter("mask <> 0").select(*at, "mask"))
+            if front.isEmpty():
+                break
+            reached = reached.unionByName(front.withColumn("depth", F.lit(depth)))
+    return (
+        reached.join(numbered, ["q_project", "block"]).filter(F.col("mask").bitwiseAND(F.col("bit")) != 0).select("query_id", "node", "depth")
+    )
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, min_confidence: float | None = 0.3) -> DataFrame:

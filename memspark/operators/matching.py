@@ -25,8 +25,9 @@ def substring_pairs(needles: DataFrame, texts: DataFrame, needle_col: str = "nee
     n = needles.select(F.col(needle_col).alias("needle")).filter(F.char_length("needle") > 0).distinct()
     t = texts.select(F.col(text_col).alias("text")).filter(F.char_length("text") > 0).distinct()
     n_grams = n.select("needle", F.explode(_grams(F.col("needle"), F.least(F.lit(GRAM), F.char_length("needle")))).alias("gram"))
-    all_sizes = F.concat(*[_grams(F.col("text"), size) for size in range(1, GRAM + 1)])
-    t_grams = t.select("text", F.explode(all_sizes).alias("gram"))
+    # Usually every needle has three letters or more; at most three different sizes come back.
+    sizes = sorted(r[0] for r in n.select(F.least(F.lit(GRAM), F.char_length("needle"))).distinct().collect()) or [GRAM]
+    t_grams = t.select("text", F.explode(F.concat(*[_grams(F.col("text"), size) for size in sizes])).alias("gram"))
     wanted = n_grams.select("gram").distinct()
     seen = t_grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     keyed = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_BYTES = 128 * 1024
+SPREAD_BYTES = 16 * 1024
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
