@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 STRENGTH_DIGITS = 9
@@ -81,15 +83,15 @@ def decay_lessons(lessons: DataFrame, rate: float = 0.95, threshold: float = 0.1
 def diagnose(sessions: DataFrame, observations: DataFrame, memories: DataFrame, indexed_docs: DataFrame, vectors: DataFrame, now, stuck_hours: int = 48) -> tuple[DataFrame, DataFrame]:
     """-> (stats: one row, issues: component, severity, message, fixable, n)."""
     stuck_if = (F.col("status") == "active") & (F.col("started_at") < _before(now, hours=stuck_hours))
-    s = sessions.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(stuck_if).alias("stuck_sessions"))
-    o = observations.agg(F.count(F.lit(1)).alias("observations"), F.count_if("compressed").alias("compressed"))
-    orphans = observations.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    stats = s.select(
-        "sessions", o.select("observations").scalar().alias("observations"), o.select("compressed").scalar().alias("compressed"),
-        count(memories).alias("memories"), count(indexed_docs).alias("indexed_docs"), count(vectors).alias("vector_docs"),
-        "stuck_sessions", orphans.scalar().alias("orphaned_observations"),
-    )
+    ids = sessions.select(F.col("id").alias("session_id"))
+    # One small aggregate per table; their rows meet in one last row.
+    counted = {
+        "sessions": (sessions, F.lit(True)), "stuck_sessions": (sessions, stuck_if), "observations": (observations, F.lit(True)),
+        "compressed": (observations, F.col("compressed")), "memories": (memories, F.lit(True)), "indexed_docs": (indexed_docs, F.lit(True)),
+        "vector_docs": (vectors, F.lit(True)), "orphaned_observations": (observations.join(ids, "session_id", "left_anti"), F.lit(True)),
+    }
+    rows = [df.agg(F.count_if(keep).alias("n")).select(F.lit(name).alias("name"), "n") for name, (df, keep) in counted.items()]
+    stats = reduce(DataFrame.unionByName, rows).agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counted])
     stats = stats.withColumn("uncompressed", F.col("observations") - F.col("compressed"))
 
     def issue(component: str, n: Column, found: Column, message: Column) -> Column:
@@ -99,7 +101,7 @@ def diagnose(sessions: DataFrame, observations: DataFrame, memories: DataFrame,
         )
 
     unindexed = (F.col("compressed") > 0) & (F.col("indexed_docs") == 0)
-    rows = F.array_compact(
+    issues = F.array_compact(
         F.array(
             issue("bm25_index", F.col("compressed"), unindexed, F.concat(F.col("compressed"), F.lit(" compressed observations but no indexed document"))),
             issue("sessions", F.col("stuck_sessions"), F.col("stuck_sessions") > 0, F.concat(F.col("stuck_sessions"), F.lit(f" sessions active for more than {stuck_hours} h"))),
@@ -108,7 +110,7 @@ def diagnose(sessions: DataFrame, observations: DataFrame, memories: DataFrame,
     )
     # An index without documents makes the store unhealthy, the other warnings do not.
     stats = stats.withColumn("healthy", ~unindexed)
-    return stats, stats.select(F.inline(rows))
+    return stats, stats.select(F.inline(issues))
 
 
 def heal(sessions: DataFrame, observations: DataFrame, dedup_marks: DataFrame, now, stuck_hours: int = 48, dedup_minutes: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -386,11 +386,13 @@ def remember(v: View) -> DataFrame:
 
 @query(
     "ensure_users", ["audit"],
-    """SELECT identifier, min(created_at) AS created_at FROM (SELECT 'agent' AS identifier, TIMESTAMP '2000-01-01 00:00:00' AS created_at UNION ALL SELECT actor, ts FROM audit) x GROUP BY identifier""",
+    """SELECT identifier, min(created_at) AS created_at FROM (SELECT 'user-' || CAST(n_nationkey AS VARCHAR) AS identifier, TIMESTAMP '2000-01-01 00:00:00' AS created_at FROM nation
+       UNION ALL SELECT actor, ts FROM audit) x GROUP BY identifier""",
 )
 def ensure_users(v: View) -> DataFrame:
     seen = v("audit").select(F.col("actor").alias("identifier"), "ts")
-    old = v("region").select(F.lit("user-agent").alias("id"), F.lit("agent").alias("identifier"), F.lit("2000-01-01 00:00:00").cast("timestamp").alias("created_at")).distinct()
+    name = F.concat(F.lit("user-"), F.col("n_nationkey").cast("string"))
+    old = v("nation").select(name.alias("id"), name.alias("identifier"), F.lit("2000-01-01 00:00:00").cast("timestamp").alias("created_at"))
     return up.ensure_users(old, seen).select("identifier", "created_at")
 
 
