@@ -98,7 +98,7 @@ def assemble_context(
     if slots is not None:
         # Pinned slots are unique per project and name and always shown whole: one text per project, joined to requests.
         both = slots.withColumn("q_project", F.col("project")).filter("q_project <> ''").unionByName(slots.withColumn("q_project", F.lit("")))
-        wanted = both.join(requests.select(scope).distinct(), "q_project", "left_semi")
+        wanted = both.join(requests.select(scope).distinct(), "q_project")
         line = F.when(F.coalesce("content", F.lit("")) != "", F.format_string("### %s\n%s\n", "slot_name", truncate_dots(F.col("content"), 500)))
         lines = F.transform(F.array_sort(F.collect_list(F.struct("slot_name", "project", line.alias("line")))), lambda x: F.coalesce(x["line"], F.lit("")))
         pinned = wanted.groupBy("q_project").agg(F.concat(F.lit("## Pinned Context\n"), F.array_join(lines, "")).alias("slots_text"), F.count(F.lit(1)).alias("n_slots"))
