@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import piece_codec
+from memspark.llm import decontaminate, piece_codec
 from memspark.llm.common import table
 
 TOKENIZERS = os.environ.get("MEMSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -18,8 +18,13 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digest(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
+    "op2_decontaminate": op2_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
