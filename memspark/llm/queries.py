@@ -6,11 +6,13 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memspark.llm import decontaminate, piece_codec
+from memspark.llm import decontaminate, html_extract, piece_codec, sharding
 from memspark.llm.common import table
 
 TOKENIZERS = os.environ.get("MEMSPARK_TOKENIZERS", "/opt/tokenizers")
+SHARD_BYTES = 1 << 20
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
@@ -22,9 +24,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sharding.shard(docs, SHARD_BYTES).drop("text")
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_decontaminate": op2_decontaminate,
+    "op8_sharding": op8_sharding,
+    "op10_html_extract": op10_html_extract,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_sharding": sharding.oracle(SHARD_BYTES),
+}
