@@ -293,3 +293,10 @@ def near_groups(df: DataFrame, percent: int = 75) -> DataFrame:
     moved = moved.where("copies > 1 OR component_id <> node").select("s1", "s2", "n_shingles", "component_id")
     out = rows.join(moved, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(df: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each group, with all columns; of rows alike in doc_id one stays. Rows that link with nothing stay."""
+    gone = near_groups(df, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = df.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return left

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import decontaminate, html_extract, near_dedup, piece_codec, sharding
+from memspark.llm import decontaminate, html_extract, line_dedup, near_dedup, piece_codec, quality, sharding
 from memspark.llm.common import table
 
 TOKENIZERS = os.environ.get("MEMSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -24,10 +24,20 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, counts=True).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), with_text=False)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return sharding.shard(docs, SHARD_BYTES).drop("text")
@@ -40,7 +50,9 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op10_html_extract": op10_html_extract,
 }
