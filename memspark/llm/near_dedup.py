@@ -34,7 +34,7 @@ BASE, RATE, LAST = 1.001, 20.0, 65534
 #: Five standard errors of the estimate below the threshold.
 SLACK = 0.2
 #: Rows and shingles of a block, two of which meet in a task.
-BLOCK_ROWS, BLOCK_SHINGLES = 128, 300_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 300_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if 9 <= b <= 13 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
@@ -299,4 +299,8 @@ def keep_one(df: DataFrame, percent: int = 75) -> DataFrame:
     """One row of each group, with all columns; of rows alike in doc_id one stays. Rows that link with nothing stay."""
     gone = near_groups(df, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     left = df.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return left
+    twice = df.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
+    if twice.isEmpty():
+        return left
+    same = F.col("doc_id") == F.col("twice_id")
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
