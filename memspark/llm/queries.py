@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import decontaminate, html_extract, line_dedup, near_dedup, piece_codec, quality, sharding
+from memspark.llm import decontaminate, html_extract, line_dedup, near_dedup, piece_codec, quality, repeats, sharding
 from memspark.llm.common import table
 
 TOKENIZERS = os.environ.get("MEMSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -43,6 +43,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, SHARD_BYTES).drop("text")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op9_repeats": op9_repeats,
     "op10_html_extract": op10_html_extract,
 }
 
