@@ -1,9 +1,9 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 Lines are normalised to lower-case words. Equal lines are one class. Each class has a SimHash of 56 bits over its words;
-two SimHashes that differ in at most three bits agree in two of five blocks, so classes meet on pairs of blocks, and
-those within three bits are verified by edit similarity. Of each connected group one occurrence stays, that with the
-least doc_id and place; the others are cut out.
+two SimHashes that differ in at most two bits agree in two of four blocks, so classes meet on pairs of blocks, 28 bits
+each, and those within two bits are verified by edit similarity, counted in words. Of each connected group one occurrence
+stays, that with the least doc_id and place; the others are cut out.
 
 SimHash bits are counted in lanes of 8 bits, seven to a number; lines of more than 255 words are hashed in slices, whose
 SimHashes are hashed on in the same way. As in other groups of copies, a class is first compared with the first of its
@@ -12,7 +12,7 @@ blocks, and only classes still apart are compared further, with both conditions
 Edge cases: null and empty texts stay as they are; lines of fewer than min_words words are never cut; texts and lines of
 any length count whole; ties can't occur but between rows alike in doc_id and text, which are treated as one document and
 come out alike, as often as given; a null doc_id is less than all others; a text all of whose lines are cut becomes
-empty, and drop_empty leaves such rows out; other columns are carried on.
+empty, and drop_empty leaves out rows that lost lines and have only blank ones left; other columns are carried on.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from memspark.llm.common import stored
 from memspark.llm.components import components
 
 MIN_WORDS = 3
-SIMILARITY = 0.8
-BITS_APART = 3
+SIMILARITY = 0.75
+BITS_APART = 2
 #: Classes whose texts are fetched by sending their ids to every task; more are joined.
 BROADCAST_LINES = 500_000
-_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 12))
+_BLOCKS = ((0, 14), (14, 14), (28, 14), (42, 14))
 _LANES = 0x0001010101010101
 _TOP = 0x0080808080808080
 
@@ -76,28 +76,31 @@ def _blocks(sim: str) -> Column:
     """The pairs of blocks, each as one number with the pair's place in front."""
     part = lambda b: f"(shiftright({sim}, {b[0]}) & {(1 << b[1]) - 1}L)"
     pairs = combinations(_BLOCKS, 2)
-    return F.expr("array(" + ", ".join(f"shiftleft({i}L, 24) | shiftleft({part(a)}, 12) | {part(b)}" for i, (a, b) in enumerate(pairs)) + ")")
+    return F.expr("array(" + ", ".join(f"shiftleft({i}L, 28) | shiftleft({part(a)}, 14) | {part(b)}" for i, (a, b) in enumerate(pairs)) + ")")
 
 
 def _close(a: str, b: str) -> Column:
     return F.expr(f"bit_count({a} ^ {b}) <= {BITS_APART}")
 
 
-def _texts(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Normalised text of the classes: node and line."""
-    few = nodes.count() <= BROADCAST_LINES
-    lines = df.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(_words(F.col("line")).alias("words"))
-    lines = lines.select(_class(F.col("words")).alias("node"), F.array_join("words", " ").alias("line"))
-    return lines.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes' words, read at their first occurrences: node and spelt, a character for each word by its hash."""
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc").alias("doc"), F.col("first.place").alias("place")))
+    few = wanted.count() <= BROADCAST_LINES
+    docs = F.broadcast(wanted.select("doc").distinct()) if few else wanted.select("doc").distinct()
+    lines = df.select("text", F.xxhash64("doc_id", "text").alias("doc")).join(docs, "doc", "left_semi")
+    lines = lines.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).join(F.broadcast(wanted) if few else wanted, ["doc", "place"])
+    # 50,000 characters, none of them a surrogate
+    code = F.transform(_words(F.col("line")), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50_000)) + 256), 4, "0"))
+    return lines.groupBy("node").agg(F.first(F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")).alias("spelt"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("spelt").alias(f"spelt_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    longest = F.greatest(F.length("line_a"), F.length("line_b"))
-    allowed = f"cast(floor({1 - similarity:.6f} * greatest(length(line_a), length(line_b)) + 1e-9) as int)"
-    near = F.abs(F.length("line_a") - F.length("line_b")) <= (1 - similarity) * longest + 1e-9
-    return both.where(near).where(F.expr(f"levenshtein(line_a, line_b, {allowed}) >= 0")).select("a", "b")
+    allowed = f"cast(floor({1 - similarity:.6f}D * greatest(length(spelt_a), length(spelt_b)) + 1e-9D) as int)"
+    near = F.expr(f"abs(length(spelt_a) - length(spelt_b)) <= {allowed}")
+    return both.where(near).where(F.expr(f"levenshtein(spelt_a, spelt_b, {allowed}) >= 0")).select("a", "b")
 
 
 def line_groups(df: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -111,7 +114,7 @@ def line_groups(df: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     leaders = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.min_by("sim", "node").alias("leader_sim")).where("leader < last").drop("last")
     members = stored(keyed.join(leaders, "block"))
     near = stored(members.where(_close("sim", "leader_sim")).where("leader < node").select("leader", "node").distinct())
-    links = labels = None
+    links = labels = texts = None
     for step in range(3):
         if step == 0:
             pairs = near.groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
@@ -127,8 +130,10 @@ def line_groups(df: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
             pairs = left.where("node <> leader").join(right, (left.block == right.block) & F.expr("node < b AND label <> label_b") & _close("sim", "sim_b"))
             pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
         pairs = stored(pairs)
-        nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        found = stored(_verified(pairs, stored(_texts(df, nodes)), similarity))
+        if step != 1:
+            ends = pairs if step else near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+            texts = stored(_texts(df, classes, ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()))
+        found = stored(_verified(pairs, texts, similarity))
         links = found if links is None else links.union(found)
         labels = components(links)
     grouped = classes.join(labels, "node")
@@ -151,7 +156,7 @@ def dedup_lines(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
     out = df.select(*names, F.xxhash64("doc_id", "text").alias("key_of_row")).join(flags, F.col("key_of_row") == F.col("key_of_doc"), "left")
     cut = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> flags_of_doc[i]), '\\n')")
     if drop_empty:
-        out = out.where("flags_of_doc IS NULL OR exists(flags_of_doc, x -> x)")
+        out = out.where(F.col("flags_of_doc").isNull() | cut.rlike(r"\S"))
     done = out.select(*(F.when(F.col("flags_of_doc").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in names), *((
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size(F.filter("flags_of_doc", lambda x: ~x)), F.lit(0)).alias("n_cut"),

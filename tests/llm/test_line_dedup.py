@@ -55,8 +55,7 @@ def brute(spark, rows, similarity=L.SIMILARITY):
     for x, a in enumerate(every):
         for b in every[:x]:
             if (sims[a] ^ sims[b]).bit_count() <= L.BITS_APART:
-                p, q = " ".join(a), " ".join(b)
-                if edit(p, q) <= int((1 - similarity) * max(len(p), len(q)) + 1e-9):
+                if edit(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
                     group[find(a)] = find(b)
     rank = {k: n for n, k in enumerate(order)}
     least = {}
@@ -97,7 +96,7 @@ def test_all_pairs(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute(spark, rows)
     assert all(r.n_cut == len((dict(rows)[r.doc_id] or "").split("\n")) - len((r.text or "").split("\n")) or r.text == "" for r in got if r.doc_id is not None)
     left = L.dedup_lines(df, drop_empty=True).count()
-    assert left == sum(bool(t) or not dict(rows)[i] for i, t in brute(spark, rows))
+    assert left == sum(t is None or bool(t.strip()) or t == dict(rows)[i] for i, t in brute(spark, rows))
 
 
 def test_repeats_and_empty(spark):
