@@ -11,7 +11,7 @@ from memspark.operators.ranking import with_project
 def audit_rows(rows: DataFrame, actor: Column, action: str, target_type: str, target: Column, payload: Column, now) -> DataFrame:
     at = F.lit(now).cast("timestamp")
     return rows.select(
-        stable_id("aud", at, actor, F.lit(action), target).alias("id"), at.alias("ts"), actor.alias("actor"), F.lit(action).alias("action"),
+        stable_id("aud", at, actor, F.lit(action), target, F.coalesce(payload, F.lit(""))).alias("id"), at.alias("ts"), actor.alias("actor"), F.lit(action).alias("action"),
         F.lit(target_type).alias("target_type"), target.alias("target_id"), payload.alias("payload"),
     )
 
@@ -82,7 +82,7 @@ def audit_query(audit: DataFrame, action: str | None = None, actor: str | None =
         audit = audit.filter(F.col("actor") == actor)
     if project:
         audit = audit.filter(F.contains("payload", F.lit(project)))
-    return audit.orderBy(F.desc("id")).limit(limit)
+    return audit.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
 def archive_messages(messages: DataFrame, conversations: DataFrame, now, ttl_days: int = 90, project: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memspark.functions.text import clip_snippet, query_terms
 from memspark.operators.index import DOCUMENT, KeywordIndex, mean_length
@@ -62,64 +63,70 @@ def bm25_search(queries: DataFrame, index: KeywordIndex, k1: float = 1.2, b: flo
     return ranked(scored, limit)
 
 
-# One pass of the vector scan holds at most this many bytes of query vectors; more queries mean more passes.
-QUERY_BYTES_PER_PASS = 64 * 1024 * 1024
+# Both sides of a scored tile are bounded: at most so many queries by so many documents.
+QUERY_BLOCK, DOCUMENT_BLOCK = 512, 4096
 
 
-def _scan(query_ids: list, query_projects: list[str], matrix: np.ndarray, k: int):
+def _packed(batches: Iterator[pd.DataFrame], salts: int) -> Iterator[pd.DataFrame]:
+    """Document rows as blocks of one vector size, with the vectors as one array of doubles."""
+    n = TaskContext.get().partitionId()
+    for batch in batches:
+        for dim, part in batch.groupby("dim"):
+            for start in range(0, len(part), DOCUMENT_BLOCK):
+                rows = part.iloc[start : start + DOCUMENT_BLOCK]
+                n += 1
+                vectors = np.concatenate([np.asarray(x, np.float64) for x in rows["embedding"]])
+                yield pd.DataFrame({"dim": [dim], "salt": [n % salts], "ids": [rows["doc_id"].to_list()], "projects": [rows["project"].to_list()], "packed": [vectors.tobytes()]})
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.sqrt((matrix * matrix).sum(axis=1))
-    safe = np.where(norms > 0, norms, 1.0)
-    unit = matrix / safe[:, None]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[batch["embedding"].map(lambda v: v is not None and len(v) == unit.shape[1])]
-            if batch.empty:
-                continue
-            batch = batch.sort_values("doc_id", kind="stable").reset_index(drop=True)
-            docs = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            doc_norms = np.sqrt((docs * docs).sum(axis=1))
-            docs /= np.where(doc_norms > 0, doc_norms, 1.0)[:, None]
-            scores = np.round(unit @ docs.T, SCORE_DIGITS) + 0.0
-            projects, ids = batch["project"].to_numpy(), batch["doc_id"].to_numpy()
-            for row, (qid, project) in enumerate(zip(query_ids, query_projects)):
-                usable = np.arange(len(ids)) if project == "" else np.flatnonzero(projects == project)
-                # Stable sort over rows in id order: equal scores keep the smaller id.
-                best = usable[np.argsort(-scores[row, usable], kind="stable")[:k]]
-                if len(best):
-                    yield pd.DataFrame({"query_id": qid, "doc_id": ids[best], "score": scores[row, best]})
-
-    return run
-
-
-def vector_search(query_vectors: DataFrame, vectors: DataFrame, limit: int = 10, pass_bytes: int = QUERY_BYTES_PER_PASS) -> DataFrame:
+    return matrix / np.where(norms > 0, norms, 1.0)[:, None]
+
+
+def _score_tiles(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The best k documents of each tile for each of its queries, equal scores by document id; one frame per tile."""
+    for batch in batches:
+        for tile in batch.itertuples(index=False):
+            ids, projects = np.array(list(tile.ids), dtype=object), np.array(list(tile.projects), dtype=object)
+            docs = _unit(np.frombuffer(tile.packed, np.float64).reshape(len(ids), -1))
+            queries = _unit(np.array([np.asarray(q["embedding"], np.float64) for q in tile.queries]))
+            scores = np.round(queries @ docs.T, SCORE_DIGITS) + 0.0
+            out_q, out_d, out_s = [], [], []
+            for row, q in enumerate(tile.queries):
+                usable = np.arange(len(ids)) if q["project"] == "" else np.flatnonzero(projects == q["project"])
+                own = scores[row, usable]
+                if len(own) > k:
+                    usable = usable[own >= np.partition(own, len(own) - k)[len(own) - k]]
+                best = sorted(usable.tolist(), key=lambda i: (-scores[row, i], ids[i]))[:k]
+                out_q += [q["query_id"]] * len(best)
+                out_d += [ids[i] for i in best]
+                out_s += [scores[row, i] for i in best]
+            if out_q:
+                yield pd.DataFrame({"query_id": out_q, "doc_id": out_d, "score": out_s})
+
+
+def vector_search(query_vectors: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
     """Exact cosine top-k. ``query_vectors(query_id, project, embedding)``, ``vectors(doc_id, project, embedding)``.
 
-    Every document batch is multiplied with the query matrix of a pass and gives at most ``limit`` rows per query, so no
-    table of all pairs exists. The query matrix is the only thing sent to the tasks; its size is measured and queries
-    beyond ``pass_bytes`` go to further passes, each with its own bounded matrix.
+    Queries and documents are packed into blocks of one vector size; every block of queries meets every block of documents
+    of that size in a task, and each tile gives at most ``limit`` rows per query, so no table of all pairs exists. Nothing
+    passes through the driver; a query is compared with the vectors of its own size, whatever other sizes there are.
     """
-    queries = query_vectors.select("query_id", F.coalesce("project", F.lit("")).alias("project"), "embedding")
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")
-    ).first()
-    passes = max(1, -(-size["n"] * size["dim"] * 8 // pass_bytes))
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(vectors.dtypes)['doc_id']}, score double"
-    slim = vectors.select("doc_id", F.coalesce("project", F.lit("")).alias("project"), "embedding")
-    parts = []
-    for i in range(passes):
-        share = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else queries
-        rows = [r for r in share.collect() if r["embedding"] is not None and len(r["embedding"]) == size["dim"]]
-        if rows:
-            matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-            scan = _scan([r["query_id"] for r in rows], [r["project"] for r in rows], matrix, limit)
-            parts.append(slim.mapInPandas(scan, schema))
-    if not parts:
-        return ranked(slim.select(F.lit(None).alias("query_id"), "doc_id", F.lit(0.0).alias("score")).filter(F.lit(False)), limit)
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
-    return ranked(hits, limit)
+    queries = query_vectors.select("query_id", F.coalesce("project", F.lit("")).alias("project"), F.col("embedding").cast("array<double>").alias("embedding"))
+    queries = queries.filter(F.size("embedding") > 0)
+    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.row_number().over(W.partitionBy("dim", "lane").orderBy("query_id"))
+    # Lanes bound what is numbered together; each lane is cut into blocks.
+    placed = queries.withColumns({"dim": F.size("embedding"), "lane": F.pmod(F.xxhash64("query_id"), F.lit(salts))}).withColumn("block", F.floor((place - 1) / QUERY_BLOCK))
+    blocks = placed.groupBy("dim", "lane", "block").agg(F.collect_list(F.struct("query_id", "project", "embedding")).alias("queries"))
+    spread = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "queries")
+    kind = dict(vectors.dtypes)["doc_id"]
+    slim = vectors.select(F.size("embedding").alias("dim"), "doc_id", F.coalesce("project", F.lit("")).alias("project"), "embedding").filter("dim > 0")
+    packed = slim.mapInPandas(lambda it: _packed(it, salts), f"dim int, salt int, ids array<{kind}>, projects array<string>, packed binary")
+    tiles = packed.join(spread, ["dim", "salt"]).drop("salt", "dim")
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {kind}, score double"
+    return ranked(tiles.mapInPandas(lambda it: _score_tiles(it, limit), schema), limit)
 
 
 def rrf_fuse(lists: DataFrame, k: int = 60) -> DataFrame:

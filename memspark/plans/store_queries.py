@@ -8,7 +8,7 @@ from memspark.operators import governance as gov, orchestration as orch, upserts
 from memspark.operators.context import assemble_context
 from memspark.plans.registry import View, query
 from memspark.plans.views import NOW
-from memspark.sources.bundles import insert_absent, manifest, select_bundle
+from memspark.sources.bundles import insert_absent, manifest, merge_tables, select_bundle
 from memspark.sources.transcripts import import_transcript
 
 
@@ -284,7 +284,7 @@ def team_feed(v: View) -> DataFrame:
     return gov.team_feed(v("shares"), v("memories"), "team-1").select("memory_id", "shared_by", "shared_at", "title", "content")
 
 
-@query("audit_query", ["audit"], "SELECT id, actor, action, payload FROM audit WHERE action = 'delete' AND contains(payload, '7') ORDER BY id DESC LIMIT 200")
+@query("audit_query", ["audit"], "SELECT id, actor, action, payload FROM audit WHERE action = 'delete' AND contains(payload, '7') ORDER BY ts DESC, id DESC LIMIT 200")
 def audit_query(v: View) -> DataFrame:
     return gov.audit_query(v("audit"), action="delete", project="7").select("id", "actor", "action", "payload")
 
@@ -303,6 +303,37 @@ def governance_audit(v: View) -> DataFrame:
     return gov.governance_delete(v("memories"), v("delete_requests"), NOW)[1].select("target_id", "action", "actor", "payload")
 
 
+@query(
+    "audit_trail", ["memories", "delete_requests"],
+    """WITH d AS (SELECT DISTINCT memory_id, reason, CASE WHEN actor = '' THEN 'governance' ELSE actor END AS actor FROM delete_requests WHERE reason <> ''),
+       days AS (SELECT d.*, day FROM d, (SELECT unnest(range(1, 7)) AS day)),
+       a AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + day * INTERVAL '1' DAY AS ts, memory_id AS target_id, actor FROM days WHERE memory_id LIKE '%' || day),
+       n AS (SELECT ts, target_id, actor, max(ts) OVER () AS newest FROM a)
+       SELECT ts, count(*) AS n FROM n GROUP BY ts""",
+)
+def audit_trail(v: View) -> DataFrame:
+    """Deletions of six days, as audited; the query gives them newest first."""
+    requests = v("delete_requests").distinct()
+    audit = None
+    for day in range(1, 7):
+        _, rows, _ = gov.governance_delete(v("memories"), requests.filter(F.col("memory_id").endswith(str(day))), f"2024-01-0{day + 1} 00:00:00")
+        audit = rows if audit is None else audit.unionByName(rows)
+    return gov.audit_query(audit, action="governance_delete", limit=2**31 - 1).groupBy("ts").agg(F.count_distinct("id").alias("n"))
+
+
+@query(
+    "audit_newest", ["memories", "delete_requests"],
+    """SELECT DISTINCT memory_id AS target_id, TIMESTAMP '2024-01-03 00:00:00' AS ts FROM delete_requests WHERE reason <> '' AND memory_id LIKE '%00'""",
+)
+def audit_newest(v: View) -> DataFrame:
+    """Of two days of deletions the newer day's, by the limit of the query alone."""
+    gone = v("delete_requests").filter(F.col("memory_id").endswith("00")).distinct()
+    older = gov.governance_delete(v("memories"), gone, "2024-01-02 00:00:00")[1]
+    newer = gov.governance_delete(v("memories"), gone, "2024-01-03 00:00:00")[1]
+    shown = newer.count()
+    return gov.audit_query(older.unionByName(newer), limit=shown).select("target_id", "ts").distinct()
+
+
 @query(
     "archive_report", ["messages"],
     f"""WITH c AS (SELECT conversation_id, max(created_at) AS u FROM messages GROUP BY conversation_id HAVING max(created_at) < TIMESTAMP '{NOW}' - INTERVAL '10' DAY)
@@ -424,6 +455,15 @@ def peer_merge(v: View) -> DataFrame:
     return insert_absent(v("sessions"), v("observations").select(F.col("session_id").alias("id"), "project")).select("id")
 
 
+@query(
+    "peer_merge_since", ["sessions"],
+    """SELECT id FROM sessions WHERE status = 'active' OR started_at > TIMESTAMP '2024-01-10 00:00:00'""",
+)
+def peer_merge_since(v: View) -> DataFrame:
+    """A peer's sessions started after a time join our active ones."""
+    return merge_tables({"sessions": v("sessions").filter("status = 'active'")}, {"sessions": v("sessions")}, since="2024-01-10 00:00:00")["sessions"].select("id")
+
+
 _LINES = """CASE role WHEN 'user' THEN '{"type":"tool_use","turn":' || CAST(turn AS STRING) || ',"conv":' || CAST(conv_id AS STRING) || '}'
     WHEN 'assistant' THEN '{"type":"message"}' ELSE 'not json' END"""
 
@@ -436,3 +476,14 @@ _LINES = """CASE role WHEN 'user' THEN '{"type":"tool_use","turn":' || CAST(turn
 def transcript_import(v: View) -> DataFrame:
     lines = v("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), F.expr(_LINES).alias("value"))
     return import_transcript(lines, "demo", "sess-imported", NOW).select("id", "raw", "created_at")
+
+
+@query(
+    "transcript_import_files", [],
+    f"""SELECT 'imp-sess-imp-' || substr(sha256('file-' || CAST(conv_id AS VARCHAR)), 1, 8) || '-' || CAST(turn AS VARCHAR) AS id,
+        TIMESTAMP '{NOW}' + turn * INTERVAL '1' MILLISECOND AS created_at FROM conversations WHERE role = 'user'""",
+)
+def transcript_import_files(v: View) -> DataFrame:
+    """One file per conversation, whose line numbers all begin at nought."""
+    lines = v("conversations").select(F.concat(F.lit("file-"), "conv_id").alias("file"), F.col("turn").alias("line_no"), F.expr(_LINES).alias("value"))
+    return import_transcript(lines, "demo", "sess-imported", NOW).select("id", "created_at")

@@ -69,12 +69,22 @@ def read_snapshot(spark: SparkSession, path: str, name: str, snapshot_id: str) -
     return df.drop("snapshot_id")
 
 
-def merge_tables(local: dict[str, DataFrame], peer: dict[str, DataFrame], since=None, time_col: str = "created_at") -> dict[str, DataFrame]:
-    """Insert what the peer has and we have not, only rows after ``since`` when given."""
+#: Columns that say when a row came to be, the first that a table has counts.
+TIME_COLUMNS = ("created_at", "started_at", "ts", "shared_at", "updated_at")
+
+
+def merge_tables(local: dict[str, DataFrame], peer: dict[str, DataFrame], since=None, time_cols: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Insert what the peer has and we have not, only rows after ``since`` when given.
+
+    ``time_cols`` names a table's time column where it isn't one of the usual; a table without any fails when ``since`` is given.
+    """
     out = {}
     for name, df in local.items():
         incoming = peer.get(name)
-        if incoming is not None and since is not None and time_col in incoming.columns:
+        if incoming is not None and since is not None:
+            time_col = (time_cols or {}).get(name) or next((c for c in TIME_COLUMNS if c in incoming.columns), None)
+            if time_col is None:
+                raise ValueError(f"table {name} has no time column for since")
             incoming = incoming.filter(F.col(time_col) > F.lit(since).cast("timestamp"))
         out[name] = insert_absent(df, incoming) if incoming is not None else df
     return out

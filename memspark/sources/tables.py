@@ -1,23 +1,12 @@
-"""Reading stored tables with enough parallelism for what follows."""
+"""Reading stored tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_BYTES = 16 * 1024
 
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table. One whose files give fewer scan tasks than there are cores is spread over them.
-
-    Text work costs far more than its bytes suggest, and a small table often is one row group and so one task. A table
-    large enough to give every core a split of its own is read as it is, without a shuffle. Filters and column choices
-    still reach the scan through the spread.
-    """
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A parquet table as it is. Only a caller that asks for it gets the rows dealt over that many partitions, as for heavy
+    work on texts that lie in few row groups."""
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
-    if size >= cores * split or size <= SPREAD_BYTES:
-        return df
-    return df.repartition(min(cores, -(-size // SPREAD_BYTES)))
+    return df.repartition(partitions) if partitions else df

@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from memspark.operators.index import KeywordIndex, build_keyword_index, from_tables
+from memspark.operators.index import COLUMNS, DOCUMENT, KeywordIndex, build_keyword_index
 
 
-def write_segment(docs: DataFrame, version: int, path: str) -> None:
-    """Index the documents of one micro-batch as a new version; a repeated batch overwrites its own folder."""
-    latest = docs.groupBy("doc_id").agg(F.max(F.struct("ts", "project", "text")).alias("l")).select("doc_id", "l.project", "l.text")
+def write_segment(docs: DataFrame, version: str, path: str) -> None:
+    """Index the documents of one micro-batch as a new version; a repeated batch overwrites its own folder only."""
+    latest = docs.groupBy("doc_id").agg(F.max(F.struct("ts", "project", "text")).alias("l")).select("doc_id", "l.ts", "l.project", "l.text")
     index = build_keyword_index(latest)
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs/version={version}")
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings/version={version}")
+    times = latest.select("doc_id", "ts")
+    index.rows.join(times, "doc_id").write.mode("overwrite").parquet(f"{path}/rows/version={version}")
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """``docs(doc_id, project, text, ts)`` -> versioned index folders."""
-    writer = docs.writeStream.foreachBatch(lambda df, epoch: write_segment(df, epoch, path)).option("checkpointLocation", checkpoint)
+    """``docs(doc_id, project, text, ts)`` -> versioned index folders.
+
+    A version is named by the stream's checkpoint and the batch, so another checkpoint, or a compacted folder, is never overwritten.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    writer = docs.writeStream.foreachBatch(lambda df, epoch: write_segment(df, f"{run}-{epoch:012d}", path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    """Index rows of every document's newest text by ``ts``; of equal times the later version's."""
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").withColumn("version", F.col("version").cast("string"))
+    newest = rows.filter(F.col("term") == DOCUMENT).groupBy("doc_id").agg(F.max(F.struct("ts", "version")).alias("l")).select("doc_id", "l.version")
+    return rows.join(newest, ["doc_id", "version"]).drop("version")
+
+
 def current_index(spark: SparkSession, path: str) -> KeywordIndex:
     """The newest version of every document."""
-    docs = spark.read.parquet(f"{path}/docs")
-    newest = docs.groupBy("doc_id").agg(F.max("version").alias("version"))
-    live = docs.join(newest, ["doc_id", "version"]).drop("version")
-    postings = spark.read.parquet(f"{path}/postings").join(newest, ["doc_id", "version"]).drop("version")
-    return from_tables(postings, live)
+    return KeywordIndex(_newest(spark, path).select(*COLUMNS))
 
 
 def compact_index(spark: SparkSession, path: str, target: str) -> None:
-    """Write the newest versions as one version of a fresh folder."""
-    index = current_index(spark, path)
-    index.docs.write.mode("overwrite").parquet(f"{target}/docs/version=0")
-    index.postings.write.mode("overwrite").parquet(f"{target}/postings/version=0")
+    """Write the newest versions as one version of a fresh folder, with their times, so that streams may go on into it."""
+    _newest(spark, path).write.mode("overwrite").parquet(f"{target}/rows/version=compacted")

@@ -90,7 +90,13 @@ def test_index_stream_replaces_documents(spark, tmp_path):
     assert terms == {("d1", "delta"), ("d2", "gamma")}
     idx.compact_index(spark, out, str(tmp_path / "packed"))
     queries = spark.createDataFrame([("q", "", "delta")], "query_id string, project string, query string")
-    assert [r.doc_id for r in bm25_search(queries, idx.current_index(spark, str(tmp_path / "packed"))).collect()] == ["d1"]
+    packed = str(tmp_path / "packed")
+    assert [r.doc_id for r in bm25_search(queries, idx.current_index(spark, packed)).collect()] == ["d1"]
+    # Another checkpoint starts at batch 0 again; neither the compacted rows nor newer texts are lost to it.
+    add([("d3", "p", "epsilon", "2024-01-01 12:00:00"), ("d1", "p", "stale", "2023-12-31 00:00:00")])
+    idx.index_stream(stream(), packed, str(tmp_path / "ck2"), available_now=True).awaitTermination(60)
+    terms = {(r.doc_id, r.term) for r in idx.current_index(spark, packed).postings.collect()}
+    assert terms == {("d1", "delta"), ("d2", "gamma"), ("d3", "epsilon")}
 
 
 def test_hook_source_and_quarantine(spark, tmp_path):
