@@ -121,7 +121,7 @@ def auto_merge(same_as: DataFrame, entities: DataFrame, min_confidence: float =
     return review_duplicates(same_as, done), report
 
 
-def canonical_ids(same_as: DataFrame, max_rounds: int = 50) -> DataFrame:
+def canonical_ids(same_as: DataFrame) -> DataFrame:
     """(id, canonical_id) over confirmed pairs: the smallest id of each connected group.
 
     Label propagation with a jump through the label's own label each round; rounds are checkpointed.
@@ -129,7 +129,7 @@ def canonical_ids(same_as: DataFrame, max_rounds: int = 50) -> DataFrame:
     pairs = same_as.filter("status = 'confirmed'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     pairs = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    for _ in range(max_rounds):
+    while True:
         near = pairs.join(labels.select(F.col("a").alias("b"), "label"), "b").select("a", "label")
         jump = labels.join(labels.select(F.col("a").alias("label"), F.col("label").alias("next")), "label").select("a", F.col("next").alias("label"))
         grown = labels.unionByName(near).unionByName(jump).groupBy("a").agg(F.min("label").alias("new"))
@@ -137,7 +137,6 @@ def canonical_ids(same_as: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = step.select("a", F.col("new").alias("label"))
         if step.filter("moved").isEmpty():
             return labels.select(F.col("a").alias("id"), F.col("label").alias("canonical_id"))
-    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
 
 
 def similar_memories(new: DataFrame, memories: DataFrame, candidates: int = 5, title_min: float = 0.6, content_min: float = 0.5) -> DataFrame:

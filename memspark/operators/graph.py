@@ -36,16 +36,15 @@ def match_entities(queries: DataFrame, entities: DataFrame, seeds: int = 32) ->
     """Entities whose lower-cased name contains a query token; the ``seeds`` surest per query."""
     tokens = queries.select("query_id", F.coalesce("project", F.lit("")).alias("q_project"), F.explode(F.array_distinct(tokenize(F.col("query")))).alias("needle"))
     named = entities.select("id", "project", F.lower("name").alias("text"), "confidence")
-    pairs = substring_pairs(tokens, named)
-    found = (
-        tokens.join(pairs, "needle")
-        .select("query_id", "q_project", "text")
-        .distinct()
-        .join(named, "text")
-        .filter((F.col("q_project") == "") | (F.col("q_project") == F.col("project")))
-        .select("query_id", "q_project", F.col("id").alias("entity_id"), "confidence")
-    )
-    return top_per_group(found, ["query_id"], [F.desc("confidence"), F.asc("entity_id")], seeds)
+    surest = [F.desc("confidence"), F.asc("entity_id")]
+    matched = substring_pairs(tokens, named).join(named, "text").select("needle", "project", F.col("id").alias("entity_id"), "confidence")
+    # The surest of a query are among the surest of its tokens, within a project or, for a query without one, over all.
+    scopes = F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("project", F.lit(""))))).alias("q_project")
+    scoped = matched.select("needle", "entity_id", "confidence", scopes)
+    asked = tokens.select("needle", "q_project").distinct()
+    best = top_per_group(scoped.join(asked, ["needle", "q_project"], "left_semi"), ["needle", "q_project"], surest, seeds).drop("rank")
+    found = tokens.join(best, ["needle", "q_project"]).select("query_id", "q_project", "entity_id", "confidence").distinct()
+    return top_per_group(found, ["query_id"], surest, seeds)
 
 
 def undirected_pairs(edges: DataFrame, min_confidence: float | None) -> DataFrame:

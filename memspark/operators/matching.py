@@ -27,12 +27,15 @@ def substring_pairs(needles: DataFrame, texts: DataFrame, needle_col: str = "nee
     n_grams = n.select("needle", F.explode(_grams(F.col("needle"), F.least(F.lit(GRAM), F.char_length("needle")))).alias("gram"))
     # Usually every needle has three letters or more; at most three different sizes come back.
     sizes = sorted(r[0] for r in n.select(F.least(F.lit(GRAM), F.char_length("needle"))).distinct().collect()) or [GRAM]
-    t_grams = t.select("text", F.explode(F.concat(*[_grams(F.col("text"), size) for size in sizes])).alias("gram"))
+    # Pieces move with the text's hash; the text itself is fetched for the last test only, which also sorts out equal hashes.
+    t = t.withColumn("text_key", F.xxhash64("text"))
     wanted = n_grams.select("gram").distinct()
-    seen = t_grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    t_grams = t.select("text_key", F.explode(F.concat(*[_grams(F.col("text"), size) for size in sizes])).alias("gram")).join(wanted, "gram", "left_semi")
+    seen = t_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     keyed = (
         n_grams.join(seen, "gram")
         .groupBy("needle")
         .agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"))
     )
-    return keyed.join(t_grams, "gram").filter(F.contains("text", "needle")).select("needle", "text")
+    candidates = keyed.join(t_grams, "gram").select("needle", "text_key")
+    return candidates.join(t, "text_key").filter(F.contains("text", "needle")).select("needle", "text").distinct()

@@ -51,11 +51,11 @@ def pattern_mentions(obs: DataFrame) -> DataFrame:
     return obs.select("project", "id", "title", "created_at", F.posexplode(F.concat(pairs, linked)).alias("pos", "pattern"))
 
 
-def detect_patterns(observations: DataFrame, recent: int = 2000, min_count: int = 2, examples: int = 3, limit: int = 20, project: str | None = None, now=None) -> DataFrame:
-    """Most frequent patterns of each project's latest observations: (id, project, pattern, n, rank, examples, last_seen)."""
+def detect_patterns(observations: DataFrame, recent: int | None = None, min_count: int = 2, examples: int = 3, limit: int = 20, project: str | None = None, now=None) -> DataFrame:
+    """Most frequent patterns of each project's observations, or of its latest ``recent``: (id, project, pattern, n, rank, examples, last_seen)."""
     newest = [F.desc("created_at"), F.asc("id")]
     slim = with_project(observations, project).filter("compressed").select("project", "id", "title", "created_at", "concepts", "files")
-    latest = top_per_group(slim, ["project"], newest, recent, "__recent", spread=F.col("id")).drop("__recent")
+    latest = slim if recent is None else top_per_group(slim, ["project"], newest, recent, "__recent", spread=F.col("id")).drop("__recent")
     mentions = pattern_mentions(latest)
     counted = mentions.groupBy("project", "pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
     best = top_per_group(counted, ["project"], [F.desc("n"), F.asc("pattern")], limit)

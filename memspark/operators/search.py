@@ -46,12 +46,13 @@ def bm25_search(queries: DataFrame, index: KeywordIndex, k1: float = 1.2, b: flo
         F.max(F.when(F.col("term") == DOCUMENT, F.col("df"))).alias("n"), F.max(F.when(F.col("term") == DOCUMENT, F.col("length"))).alias("total")
     )
     stats = whole.select(*by, "n", mean_length(F.col("total"), F.col("n")).alias("avgdl"))
+    found = hits.filter(F.col("term") != DOCUMENT)  # the document rows have served once they are counted
     if by:
         weights = counts.join(stats, by).select("term", *by, bm25_idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
-        weighted = hits.join(weights, ["term", *by])
+        weighted = found.join(weights, ["term", *by])
     else:
         weights = counts.select("term", bm25_idf(F.col("df"), stats.select("n").scalar()).alias("idf"))
-        weighted = hits.join(weights, "term").withColumn("avgdl", stats.select("avgdl").scalar())
+        weighted = found.join(weights, "term").withColumn("avgdl", stats.select("avgdl").scalar())
     part = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     scored = (
         weighted.withColumn("part", part)

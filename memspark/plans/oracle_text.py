@@ -31,6 +31,12 @@ def stem(w: str) -> str:
     )
 
 
+#: An observation's searchable text.
+INDEX_TEXT = (
+    "concat_ws(' ', title, narrative, array_to_string(concepts, ' '), array_to_string(files, ' '), array_to_string(facts, ' '))"
+)
+
+
 def postings(docs: str, doc_id: str = "doc_id", project: str = "''", text: str = "text") -> str:
     """CTEs doc_words, doc_len and postings."""
     return f"""

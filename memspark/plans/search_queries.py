@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from memspark.functions.text import highlight_terms, query_terms
+from memspark.functions.text import highlight_terms, index_text, query_terms
 from memspark.functions.vectors import hash_embedding, hash_embedding_sparse
 from memspark.operators.graph import bfs, graph_search, match_entities, neighbours
 from memspark.operators.index import build_keyword_index, corpus_stats, term_frequencies
@@ -16,12 +16,17 @@ STAGE = 30
 HITS = ("query_id", "doc_id", "score", "rank")
 
 
+def _index_text():
+    """All searchable parts of an observation; the view has no subtitles."""
+    return index_text(F.col("title"), F.lit(""), F.col("narrative"), F.col("concepts"), F.col("files"), F.col("facts"))
+
+
 def documents_index(v: View):
     return build_keyword_index(v("documents"), project_col=None)
 
 
 def observations_index(v: View):
-    return build_keyword_index(v("observations").select(F.col("id").alias("doc_id"), "project", F.col("narrative").alias("text")))
+    return build_keyword_index(v("observations").select(F.col("id").alias("doc_id"), "project", _index_text().alias("text")))
 
 
 @query("tokenize_postings", [], f"WITH {o.postings('documents')} SELECT doc_id, term, tf FROM postings")
@@ -46,7 +51,7 @@ def bm25_topk(v: View) -> DataFrame:
 
 @query(
     "bm25_project_topk", ["project_queries", "observations"],
-    f"WITH {o.bm25('project_queries', 'observations', 10, 'id', 'project', 'narrative')} SELECT query_id, doc_id, score, rank FROM bm25_hits",
+    f"WITH {o.bm25('project_queries', 'observations', 10, 'id', 'project', o.INDEX_TEXT)} SELECT query_id, doc_id, score, rank FROM bm25_hits",
 )
 def bm25_project_topk(v: View) -> DataFrame:
     return bm25_search(v("project_queries"), observations_index(v)).select(*HITS)
@@ -139,7 +144,7 @@ def sessions_of(v: View) -> DataFrame:
 
 _ENGINE_VIEWS = ["queries", "query_vectors", "observations", "vectors", "g_entities", "g_edges", "g_links"]
 _ENGINES = (
-    o.bm25("queries", "observations", STAGE, "id", "project", "narrative") + "," + o.vector("query_vectors", "vectors", STAGE) + ","
+    o.bm25("queries", "observations", STAGE, "id", "project", o.INDEX_TEXT) + "," + o.vector("query_vectors", "vectors", STAGE) + ","
     + o.seeds("queries") + "," + o.bfs() + "," + o.graph(STAGE)
 )
 _FUSED = """

@@ -251,7 +251,7 @@ _PATTERNS = f"""
     found AS (SELECT 'pat-' || lpad(lower(hex({_FNV.format("(project || ':' || pattern)")})), 8, '0') AS id, project, pattern, n, rank, examples FROM best JOIN examples USING (project, pattern))"""
 
 
-@query("patterns_detect", ["observations"], f"WITH {_PATTERNS.format(recent=2000)} SELECT id, project, pattern, n, rank, examples FROM found")
+@query("patterns_detect", ["observations"], f"WITH {_PATTERNS.format(recent=2**62)} SELECT id, project, pattern, n, rank, examples FROM found")
 def patterns_detect(v: View) -> DataFrame:
     found = mining.detect_patterns(v("observations"), now=NOW)
     return found.select("id", "project", "pattern", "n", "rank", F.array_join("examples.obs_id", ",").alias("examples"))
@@ -259,7 +259,7 @@ def patterns_detect(v: View) -> DataFrame:
 
 @query(
     "pattern_upsert", ["observations"],
-    f"""WITH {_PATTERNS.format(recent=2000)}, old AS (SELECT id, project, pattern, n + rank % 3 - 1 AS n, examples FROM found WHERE rank > 5),
+    f"""WITH {_PATTERNS.format(recent=2**62)}, old AS (SELECT id, project, pattern, n + rank % 3 - 1 AS n, examples FROM found WHERE rank > 5),
         new AS (SELECT * FROM found WHERE rank <= 15)
         SELECT coalesce(new.id, old.id) AS id, coalesce(new.project, old.project) AS project, greatest(old.n, new.n) AS n, coalesce(new.examples, old.examples) AS examples
         FROM old FULL JOIN new ON old.id = new.id""",
