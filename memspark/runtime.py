@@ -8,10 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memspark.shipping import ship
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "memspark") -> SparkSession:
     """A local session for tests and the benchmark; on a cluster the submitted session is used."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -25,6 +27,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "memspa
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return ship(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

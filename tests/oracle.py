@@ -6,10 +6,13 @@ import datetime
 import math
 import sys
 import time
+from pathlib import Path
 
 import duckdb
 
-from memspark.plans.views import BASE_TABLES
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from memspark.plans.views import BASE_TABLES  # noqa: E402
 
 
 def connect(sf_dir: str):
