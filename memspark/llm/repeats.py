@@ -1,14 +1,15 @@
 """Removal of passages that an earlier document has, by suffixes sorted deep-shallow.
 
 A byte goes if it lies in a string of LENGTH bytes that also starts in a document with a smaller doc_id. Equal strings have
-the same least k-gram by hash, their anchor, so suffixes need comparing only where anchors are equal. A first exchange of
-anchor hashes tells which anchors several documents have. Around these, and only these, documents send the suffixes that
-belong to an anchor, as the short text that holds them; each bucket of anchors sorts its suffixes to LENGTH bytes:
-shallow by multikey quicksort on eight bytes at a time, then deep by blind tries for the groups whose common prefix is
-longer. Runs of equal suffixes give the least doc_id of each string, and the spans to remove go back to the documents.
+the same least k-gram by hash, their anchor, so suffixes need comparing only where anchors are equal. The text that holds
+the suffixes of one anchor is its region. A first exchange of anchor hashes tells which anchors several documents have; a
+second, of the hashes of their regions, settles regions that are equal as a whole, as within long copies. Where an anchor
+has different regions, the first document of each sends its text, and each bucket of anchors sorts the suffixes to LENGTH
+bytes: shallow by multikey quicksort on eight bytes at a time, then deep by blind tries for the groups whose common prefix
+is longer. Runs of equal suffixes give the least doc_id of each string, and the spans to remove go back to the documents.
 
 The texts are written once, in batches, bucketed by batch, so that the passes over them move no text. An anchor that very
-many batches have is dealt out by the single strings around it, each batch sending a string once.
+many batches have is dealt out by its regions, and then by the single strings in them, each batch sending a string once.
 
 Edge cases: null counts as empty; texts shorter than LENGTH lose nothing and cause no loss; a null doc_id is no smaller than
 any other; rows that share a doc_id don't affect each other; texts of any length are taken whole; columns beside doc_id and
@@ -26,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import ArrowRows, column_bytes, pieces
-from memspark.llm.near_dedup import mix, _BYTE, _Powers
+from memspark.llm.common import ArrowRows, column_bytes, pieces, stored
+from memspark.llm.near_dedup import _BYTE, _Powers, mix
 from memspark.runtime import ensure_checkpoint_dir
 
 LENGTH = 50
@@ -39,6 +40,7 @@ BATCH_BYTES, CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 500_000, 4_000_000
 HOT_BATCHES = 200
 _LAST = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 24) - 1)
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _words_at(text: np.ndarray, starts: np.ndarray, word: int, depth: int) -> np.ndarray:
@@ -115,14 +117,14 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH) ->
 
 
 def anchors(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For a text of several documents: hash, document, first and last window of every anchor.
+    """For a text of several documents: hash, document, first and last window, and hash of the region, of every anchor.
 
     A window is LENGTH bytes of one document; its anchor is the leftmost of its k-grams with the least hash.
     """
     none = np.empty(0, np.int64)
     n = len(chars)
     if n < LENGTH:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     power, back = _Powers.upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[chars] * power[:n], out=sums[1:])
@@ -139,14 +141,16 @@ def anchors(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     np.add.at(inside, ends[lasting] - LENGTH + 1, -1)
     windows = np.flatnonzero(np.cumsum(inside[: n - LENGTH + 1]) > 0)
     if not len(windows):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     place = (least[windows] & _LOW).astype(np.int64)
     document = np.searchsorted(starts, windows, side="right") - 1
     new = np.ones(len(windows), bool)
     new[1:] = (place[1:] != place[:-1]) | (document[1:] != document[:-1])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(windows)) - 1
-    return grams[place[at]] >> np.uint64(16), document[at], windows[at], windows[last]
+    begin, end = windows[at], windows[last]
+    region = mix((sums[end + LENGTH] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    return grams[place[at]] >> np.uint64(16), document[at], begin, end, region
 
 
 class _Batch:
@@ -183,9 +187,10 @@ class _Batch:
         starts = ends - [len(x) for x in texts]
         keep = ends > starts
         which = np.flatnonzero(keep)
-        hashes, document, first, last = anchors(chars, starts[keep].astype(np.int64), ends[keep].astype(np.int64))
+        hashes, document, first, last, region = anchors(chars, starts[keep].astype(np.int64), ends[keep].astype(np.int64))
         document = which[document] if len(document) else document
-        return chars, hashes, document + row, first, last, starts.astype(np.int64)[document] if len(document) else first
+        at = starts.astype(np.int64)[document] if len(document) else first
+        return chars, hashes, document + row, first, last, at, mix(hashes * _PAIR ^ region)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -228,6 +233,9 @@ def _batched(df: DataFrame) -> DataFrame:
 
 
 def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Places of each value, in order."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     return [(int(bucket[x[0]]), x) for x in np.split(order, cuts) if len(x)]
@@ -242,7 +250,7 @@ def repeated_spans(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     def send_hashes(group: pa.Table) -> pa.Table:
         found = [x[2] for x in _Batch(group.column("text").to_pylist()).chunks()]
         hashes = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-        rows = _by_bucket((hashes % np.uint64(buckets)).astype(np.int64)) if len(hashes) else []
+        rows = _by_bucket((hashes % np.uint64(buckets)).astype(np.int64))
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "batch": pa.array([group.column("batch")[0].as_py()] * len(rows), pa.int64()), "hashes": pa.array([_pack(hashes[x]) for _, x in rows], pa.binary())})
 
     sent = texts.groupBy("batch").applyInArrow(send_hashes, "bucket long, batch long, hashes binary")
@@ -260,48 +268,76 @@ def repeated_spans(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     replies = sent.groupBy("bucket").applyInArrow(shared, "batch long, warm binary, hot binary")
 
+    def send_regions(group: pa.Table, reply: pa.Table) -> pa.Table:
+        names = ("bucket", "batch", "keys", "anchors", "hot", "counts", "rows", "places", "sizes", "ids")
+        out = []
+        if group.num_rows:
+            group = group.sort_by("row")
+            ids = _ids(group)
+            warm, hot = (np.unique(np.concatenate([_unpack(x) for x in reply.column(c).to_pylist()] or [np.empty(0, np.uint64)])) for c in ("warm", "hot"))
+            found = [(h, key, row, first - start + low, last - first) for low, _, h, row, first, last, start, key in _Batch(group.column("text").to_pylist()).chunks()]
+            anchor, key, row, place, size = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in range(5))
+            # Anchors that only this batch has matter if two of its documents have them.
+            by = np.lexsort((row, anchor))
+            again = anchor[by][1:][(anchor[by][1:] == anchor[by][:-1]) & (row[by][1:] != row[by][:-1])]
+            is_hot = np.isin(anchor, hot)
+            chosen = np.flatnonzero(is_hot | np.isin(anchor, warm) | np.isin(anchor, again))
+            chosen = chosen[np.lexsort((key[chosen], anchor[chosen]))]
+            dealt = np.where(is_hot[chosen], key[chosen], anchor[chosen]) % np.uint64(buckets)
+            batch = group.column("batch")[0].as_py()
+            for bucket, at in _by_bucket(dealt.astype(np.int64)):
+                at = chosen[at]
+                new = np.ones(len(at), bool)
+                new[1:] = key[at][1:] != key[at][:-1]
+                heads = at[new]
+                counts = np.diff(np.append(np.flatnonzero(new), len(at))).astype(np.int32)
+                out.append((bucket, batch, key[heads].tobytes(), _pack(anchor[heads]), is_hot[heads].tobytes(), counts.tobytes(), row[at].astype(np.int32).tobytes(), place[at].astype(np.int32).tobytes(), size[at].astype(np.int16).tobytes(), ids[row[at]].tobytes()))
+        return pa.table({c: pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(names)})
+
+    region_fields = ", ".join(f"{c} binary" for c in ("keys", "anchors", "hot", "counts", "rows", "places", "sizes", "ids"))
+    regions = texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(send_regions, f"bucket long, batch long, {region_fields}")
+    judged = stored(regions.groupBy("bucket").applyInArrow(_judge_regions, "batch long, spans binary, warm binary, hot binary"))
+
     def send_suffixes(group: pa.Table, reply: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in (("bucket", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in _SENT))})
-        group = group.sort_by("row")
-        ids = np.array([_LAST if x is None else x for x in group.column("doc_id").to_pylist()], np.int64)
-        warm, hot = (np.unique(np.concatenate([_unpack(x) for x in reply.column(c).to_pylist()] or [np.empty(0, np.uint64)])) for c in ("warm", "hot"))
-        chunks = list(_Batch(group.column("text").to_pylist()).chunks())
-        # Anchors that only this batch has matter if two of its documents have them.
-        if chunks:
-            pairs = np.unique(np.stack([np.concatenate([c[2] for c in chunks]).astype(np.uint64), np.concatenate([c[3] for c in chunks]).astype(np.uint64)], 1), axis=0)[:, 0]
-            again = pairs[1:][pairs[1:] == pairs[:-1]]
-            warm = np.setdiff1d(np.union1d(warm, again), hot, assume_unique=False)
-        seen: dict[bytes, list] = {}
-        for low, chars, hashes, row, first, last, start in chunks:
-            whole = np.flatnonzero(np.isin(hashes, warm))
-            single = np.flatnonzero(np.isin(hashes, hot))
-            raw = chars.tobytes()
-            jobs = [(first[whole], last[whole], row[whole], start[whole], hashes[whole])]
-            if len(single):
-                count = last[single] - first[single] + 1
-                each = np.repeat(first[single], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                jobs.append((each, each, np.repeat(row[single], count), np.repeat(start[single], count), None))
-            for a, b, of, begin, keys in jobs:
-                for i, (x, y, r, s) in enumerate(zip(a.tolist(), b.tolist(), of.tolist(), begin.tolist())):
-                    text = raw[x : y + LENGTH]
-                    held = seen.get(text)
+        names = ("bucket", "batch", *_SENT)
+        by: dict[int, list] = {}
+        if group.num_rows and reply.num_rows:
+            group = group.sort_by("row")
+            ids = _ids(group)
+            warm, hot = (np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in reply.column(c).to_pylist()])) for c in ("warm", "hot"))
+            least: dict[int, int] = {}
+            wanted = []
+            for low, chars, hashes, row, first, last, start, key in _Batch(group.column("text").to_pylist()).chunks():
+                raw = None
+                for keys, single in ((warm, False), (hot, True)):
+                    for i in np.flatnonzero(np.isin(key, keys)).tolist():
+                        raw = chars.tobytes() if raw is None else raw
+                        k, r, x, y = int(key[i]), int(row[i]), int(first[i]), int(last[i])
+                        doc = int(ids[r])
+                        least[k] = min(least.get(k, doc), doc)
+                        wanted.append((k, single, int(hashes[i]), r, doc, x - int(start[i]) + low, raw[x : y + LENGTH]))
+            # Occurrences in later documents of the batch have gone already.
+            seen: dict[bytes, tuple[int, list, list]] = {}
+            for k, single, anchor, r, doc, place, text in wanted:
+                if doc != least[k]:
+                    continue
+                for at in range(len(text) - LENGTH + 1) if single else (0,):
+                    part = text[at : at + LENGTH] if single else text
+                    held = seen.get(part)
                     if held is None:
-                        key = int(keys[i]) if keys is not None else int.from_bytes(hashlib.blake2b(text, digest_size=6).digest(), "little")
-                        held = seen[text] = [key % buckets, [], []]
+                        dealt = int.from_bytes(hashlib.blake2b(part, digest_size=6).digest(), "little") if single else anchor
+                        held = seen[part] = (dealt % buckets, [], [])
                     held[1].append(r)
-                    held[2].append(x - s + low)
-        by: dict[int, list] = {}
-        for text, held in seen.items():
-            by.setdefault(held[0], []).append((text, held))
+                    held[2].append(place + at)
+            for text, held in seen.items():
+                by.setdefault(held[0], []).append((text, held))
         out = []
-        batch = group.column("batch")[0].as_py()
         for bucket, items in by.items():
             rows = np.array([r for _, h in items for r in h[1]], np.int32)
             out.append(
                 (
                     bucket,
-                    batch,
+                    group.column("batch")[0].as_py(),
                     b"".join(t for t, _ in items),
                     np.array([len(t) for t, _ in items], np.int32).tobytes(),
                     np.array([len(h[1]) for _, h in items], np.int32).tobytes(),
@@ -310,13 +346,53 @@ def repeated_spans(df: DataFrame) -> tuple[DataFrame, DataFrame]:
                     ids[rows].tobytes(),
                 )
             )
-        names = ("bucket", "batch", *_SENT)
         return pa.table({c: pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(names)})
 
     fields = ", ".join(f"{c} binary" for c in _SENT)
-    suffixes = texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(send_suffixes, f"bucket long, batch long, {fields}")
+    needed = judged.where(F.octet_length("warm") + F.octet_length("hot") > 0).select("batch", "warm", "hot")
+    suffixes = texts.groupBy("batch").cogroup(needed.groupBy("batch")).applyInArrow(send_suffixes, f"bucket long, batch long, {fields}")
     spans = suffixes.groupBy("bucket").applyInArrow(_judge, "batch long, spans binary")
-    return texts, spans
+    return texts, spans.union(judged.where(F.octet_length("spans") > 0).select("batch", "spans"))
+
+
+def _ids(group: pa.Table) -> np.ndarray:
+    return np.array([_LAST if x is None else x for x in group.column("doc_id").to_pylist()], np.int64)
+
+
+def _joined(group: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(column).to_pylist()), kind)
+
+
+def _judge_regions(group: pa.Table) -> pa.Table:
+    """Name the spans of regions that an earlier document has whole; ask for the texts of regions that differ at one anchor."""
+    batches = group.column("batch").to_numpy()
+    heads = [len(x) // 8 for x in group.column("keys").to_pylist()]
+    keys, anchor, hot, counts = _joined(group, "keys", np.uint64), _unpack(b"".join(group.column("anchors").to_pylist())), _joined(group, "hot", bool), _joined(group, "counts", np.int32)
+    row, place, size, doc = (_joined(group, c, k) for c, k in (("rows", np.int32), ("places", np.int32), ("sizes", np.int16), ("ids", np.int64)))
+    _, place_of, same = np.unique(keys, return_index=True, return_inverse=True)
+    least = np.full(len(place_of), _LAST, np.int64)
+    of = np.repeat(same, counts)
+    np.minimum.at(least, of, doc)
+    batch_of_head = np.repeat(batches, heads)
+    batch = np.repeat(batch_of_head, counts)
+    late = np.flatnonzero(doc > least[of])
+    _, anchor_of, regions = np.unique(anchor[place_of], return_inverse=True, return_counts=True)
+    many = regions[anchor_of] > 1
+    # Of each region its first document's batch is asked.
+    firsts = np.zeros(len(keys), bool)
+    np.logical_or.at(firsts, np.repeat(np.arange(len(keys)), counts), doc == least[of])
+    ask = np.flatnonzero(firsts & (hot | many[same]))
+    spans = {b: np.stack([row[late][x], place[late][x], place[late][x] + size[late][x] + LENGTH], 1).astype(np.int32).tobytes() for b, x in _by_bucket(batch[late])}
+    asked = {b: (keys[ask][x][~hot[ask][x]].tobytes(), keys[ask][x][hot[ask][x]].tobytes()) for b, x in _by_bucket(batch_of_head[ask])}
+    every = sorted(spans.keys() | asked.keys())
+    return pa.table(
+        {
+            "batch": pa.array(every, pa.int64()),
+            "spans": pa.array([spans.get(b, b"") for b in every], pa.binary()),
+            "warm": pa.array([asked.get(b, (b"", b""))[0] for b in every], pa.binary()),
+            "hot": pa.array([asked.get(b, (b"", b""))[1] for b in every], pa.binary()),
+        }
+    )
 
 
 _SENT = ("strings", "lengths", "counts", "rows", "places", "ids")
@@ -365,8 +441,8 @@ def _judge(group: pa.Table) -> pa.Table:
     begin_at = edge[each] - offset[part[each]]
     end_at = stop[each] - offset[part[each]] + LENGTH
     out.append((batch_of[who], row[who], place[who] + begin_at, place[who] + end_at))
-    batch, row, a, b = (np.concatenate([x[i] for x in out]) for i in range(4))
-    rows_out = [(int(batch[x[0]]), np.stack([row[x], a[x], b[x]], 1).astype(np.int32).tobytes()) for _, x in _by_bucket(np.unique(batch, return_inverse=True)[1])] if len(batch) else []
+    batch, row, starts_at, ends_at = (np.concatenate([x[i] for x in out]) for i in range(4))
+    rows_out = [(b, np.stack([row[x], starts_at[x], ends_at[x]], 1).astype(np.int32).tobytes()) for b, x in _by_bucket(batch)]
     return pa.table({"batch": pa.array([x[0] for x in rows_out], pa.int64()), "spans": pa.array([x[1] for x in rows_out], pa.binary())})
 
 
