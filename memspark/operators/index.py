@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memspark.functions.text import stem, words
+from memspark.functions.text import query_terms, stem, words
 
 
 # The row that stands for a document itself has the empty term.
@@ -64,9 +64,13 @@ def term_frequencies(index: KeywordIndex) -> DataFrame:
 TERM_BUCKETS = 256
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
 def write_keyword_index(index: KeywordIndex, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Persist an index. Postings are laid out by term bucket, so a search reads only the buckets of its terms."""
-    bucketed = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    """Persist an index. Postings are laid out by term bucket; ``read_for_queries`` reads only the buckets of the queries' terms."""
+    bucketed = index.postings.withColumn("bucket", _bucket(buckets))
     # The document hash spreads a bucket that holds a very common term over several files and tasks.
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(16))
     bucketed.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(
@@ -81,6 +85,15 @@ def read_keyword_index(spark: SparkSession, path: str) -> KeywordIndex:
     return from_tables(postings, docs)
 
 
+def read_for_queries(queries: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> KeywordIndex:
+    """A stored index as far as the queries need it: the wanted buckets, at most ``buckets`` numbers, prune the folders."""
+    spark = queries.sparkSession
+    terms = queries.select(F.explode(query_terms(F.col("query"))).alias("term"))
+    wanted = sorted(r[0] for r in terms.select(_bucket(buckets)).distinct().collect())
+    postings = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted)).select(*COLUMNS)
+    return from_tables(postings, spark.read.parquet(f"{path}/docs"))
+
+
 def from_tables(postings: DataFrame, docs: DataFrame) -> KeywordIndex:
     whole = docs.select(F.lit(DOCUMENT).alias("term"), "doc_id", "project", "doc_len", F.lit(1).cast("bigint").alias("tf"))
     return KeywordIndex(postings.select(*COLUMNS).unionByName(whole))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from memspark.functions.text import highlight_terms, index_text, query_terms
 from memspark.functions.vectors import hash_embedding, hash_embedding_sparse
 from memspark.operators.graph import bfs, graph_search, match_entities, neighbours
-from memspark.operators.index import build_keyword_index, corpus_stats, term_frequencies
+from memspark.operators.index import build_keyword_index, corpus_stats, delete_documents, read_for_queries, term_frequencies, upsert_keyword_index, write_keyword_index
 from memspark.operators.search import bm25_search, diversity_cap, hybrid_search, hydrate, rrf_fuse, vector_search
 from memspark.plans import oracle_text as o
 from memspark.plans.registry import View, query
+from memspark.runtime import ensure_checkpoint_dir
 
 STAGE = 30
+STORED_BUCKETS = 16
 HITS = ("query_id", "doc_id", "score", "rank")
 
 
@@ -49,6 +53,37 @@ def bm25_topk(v: View) -> DataFrame:
     return bm25_search(v("queries"), documents_index(v)).select(*HITS)
 
 
+def stored_index(v: View) -> str:
+    """The documents' index as a stored one."""
+    docs = documents_index(v)
+    path = f"{ensure_checkpoint_dir(docs.rows.sparkSession)}/memspark-index-{uuid.uuid4().hex}"
+    write_keyword_index(docs, path, STORED_BUCKETS)
+    return path
+
+
+@query("bm25_stored_topk", ["queries"], f"WITH {o.bm25('queries', 'documents', 10)} SELECT query_id, doc_id, score, rank FROM bm25_hits")
+def bm25_stored_topk(v: View) -> DataFrame:
+    return bm25_search(v("queries"), read_for_queries(v("queries"), stored_index(v), STORED_BUCKETS)).select(*HITS)
+
+
+_CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ' replaced text of ' || lang ELSE text END AS text FROM documents)"
+_KEPT = "(SELECT * FROM documents WHERE lang <> 'fr')"
+
+
+@query("index_upsert", [], f"WITH {o.postings(_CHANGED)} SELECT doc_id, term, tf FROM postings")
+def index_upsert(v: View) -> DataFrame:
+    """Every third document gets another text."""
+    text = F.concat("source", F.lit(" replaced text of "), "lang").alias("text")
+    changed = build_keyword_index(v("documents").filter("doc_id % 3 = 0").select("doc_id", text), project_col=None)
+    return upsert_keyword_index(documents_index(v), changed).postings.select("doc_id", "term", "tf")
+
+
+@query("index_delete", [], f"WITH {o.postings(_KEPT)} SELECT doc_id, term, tf FROM postings")
+def index_delete(v: View) -> DataFrame:
+    gone = v("documents").filter("lang = 'fr'").select("doc_id")
+    return delete_documents(documents_index(v), gone).postings.select("doc_id", "term", "tf")
+
+
 @query(
     "bm25_project_topk", ["project_queries", "observations"],
     f"WITH {o.bm25('project_queries', 'observations', 10, 'id', 'project', o.INDEX_TEXT)} SELECT query_id, doc_id, score, rank FROM bm25_hits",

@@ -2,6 +2,7 @@
 
 import re
 
+from memspark.operators.index import build_keyword_index, read_for_queries, write_keyword_index
 from memspark.operators.views import timeline
 from memspark.plans import load_registry
 from memspark.plans.views import spark_view
@@ -9,13 +10,13 @@ from memspark.plans.views import spark_view
 PYTHON = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInArrow")
 # Exact replay of holds, exact vector scan and the BLAKE2b embedder.
 PYTHON_QUERIES = {
-    "vector_topk", "rrf_fuse", "diversity_cap", "hybrid_search", "smart_search", "hash_embed", "dedup_window", "dedup_window_default",
+    "vector_topk", "vector_mixed_sizes", "rrf_fuse", "diversity_cap", "hybrid_search", "smart_search", "hash_embed", "dedup_window", "dedup_window_default",
     "dedup_counters", "capture_observations", "lease_replay", "lease_live",
 }
 
 
 # Made of the engines and traversals tested by name here; they write intermediate tables, so planning them takes a run.
-EAGER = {"rrf_fuse", "smart_search", "graph_bfs"}
+EAGER = {"rrf_fuse", "smart_search", "graph_bfs", "bm25_stored_topk"}
 
 
 def test_registered_plans(spark, sf_dir):
@@ -51,3 +52,16 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf_dir):
     assert plan.count("WindowGroupLimit") >= 2
     semi = plan.index("LeftSemi")
     assert "HashAggregate(keys=[term" in plan[:semi], "the wanted terms are joined below the aggregation"
+
+
+def test_stored_index_reads_only_the_buckets_of_its_terms(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    write_keyword_index(build_keyword_index(docs, project_col=None), str(tmp_path / "i"), 32)
+    queries = spark.createDataFrame([("q", "", "thing that")], "query_id string, project string, query string")
+    plan = read_for_queries(queries, str(tmp_path / "i"), 32).postings._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=)", plan)
+
+
+def test_plain_reads_are_not_dealt_out(spark, sf_dir):
+    for name in ("diagnose", "status_report", "timeline", "decay"):
+        assert "REPARTITION_BY_NUM" not in load_registry()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
