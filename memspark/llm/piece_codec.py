@@ -320,28 +320,31 @@ def _utf8(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def _codec(shared) -> Codec:
-    """One codec for each worker process, so that its memo lasts from task to task."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _CODECS:
+def _codec(shared, name: str) -> Codec:
+    """One codec for each worker process and model, so that its memo lasts from task to task."""
+    if name not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
-    return _CODECS[key]
+        _CODECS[name] = Codec(shared.value)
+    return _CODECS[name]
 
 
-def encode_texts(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """All columns, with the ids (binary, little-endian 32-bit) and the text that these ids decode to.
+def _shared(df: DataFrame, model: str):
+    """The vocabulary as a broadcast, whose size is that of the model file and not of the data, and the model's digest."""
+    with open(model, "rb") as file:
+        name = hashlib.sha256(file.read()).hexdigest()
+    return df.sparkSession.sparkContext.broadcast(read_vocabulary(model)), name
 
-    The vocabulary is broadcast; its size is that of the model file, not of the data.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(model))
+
+def encode_texts(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """All columns, with the ids (binary, little-endian 32-bit) and the text that these ids decode to."""
+    shared, name = _shared(df, model)
     names = [c for c in df.columns if c not in (ids, decoded)]
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(shared)
+        codec = _codec(shared, name)
         coded = [codec(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         back = [codec.decode(x).decode() for x in coded]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded, pa.binary()), pa.array(back, pa.string())], names=[*names, ids, decoded])
@@ -352,10 +355,10 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", ids: str = "ids"
 
 def encode_digest(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row the number of ids and the SHA-256 of ids and decoded text, without carrying either on."""
-    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(model))
+    shared, name = _shared(df, model)
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(shared)
+        codec = _codec(shared, name)
         coded = [codec(x or "") for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [
