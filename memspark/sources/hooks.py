@@ -35,8 +35,7 @@ def read_hooks(spark: SparkSession, path: str) -> DataFrame:
     return parse_hook_lines(spark.read.text(path))
 
 
-def stream_hooks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("text")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+def stream_hooks(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """Hook events as they come; a micro-batch takes a bounded number of files, so that no key's rows of one batch grow without bound."""
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger)
     return parse_hook_lines(reader.load(path))
