@@ -10,40 +10,23 @@ from memspark.operators.ranking import top_per_group, with_project
 from memspark.runtime import cut_lineage
 
 EXACT_CONFIDENCE = 0.98
-LONGEST_FUZZY_NAME = 20
-
-
-def _deletions(text: Column, max_dist: int) -> Column:
-    """The text and all it becomes by leaving out up to ``max_dist`` characters."""
-    spellings = F.array(text)
-    newest = spellings
-    for _ in range(max_dist):
-        newest = F.array_distinct(
-            F.flatten(
-                F.transform(
-                    newest,
-                    lambda s: F.when(
-                        F.char_length(s) > 0,
-                        F.transform(
-                            F.sequence(F.lit(1), F.char_length(s)),
-                            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s))),
-                        ),
-                    ).otherwise(F.array().cast("array<string>")),
-                )
-            )
-        )
-        spellings = F.concat(spellings, newest)
-    return F.array_distinct(spellings)
 
 
-def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int = 3) -> DataFrame:
+def _cut(length: Column | int, part: int, parts: int) -> Column:
+    """Where a part of a name begins (from 0) when the name is cut into nearly equal parts; the last part ends at the length."""
+    return F.floor(length * F.lit(part) / F.lit(parts)).cast("int")
+
+
+def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int | None = None, longest: int | None = None) -> DataFrame:
     """(source_id, target_id, confidence, match_type) of likely equal entities within a project and type.
 
     Exact: equal lower-cased names, every entity paired with the smallest id of its name, which is a link per entity and
-    never all pairs. Fuzzy: names (represented by that smallest id) that share their first letters and are 1 or 2 edits
-    apart. Two names that close share a spelling with at most as many letters left out, so they meet in an equi-join on
-    that spelling; the shared first letters are part of the key and never grow into one group.
+    never all pairs. Fuzzy: names (represented by that smallest id) at most ``max_dist`` edits apart. The shorter name is cut
+    into one part more than that; one part at least survives the edits, and stands in the other name at most that far from
+    its place, so the names meet in an equi-join on the part. Names with fewer letters than parts are only compared as a
+    whole. ``prefix`` asks for so many equal first letters, ``longest`` leaves longer names (in bytes) out; both are off.
     """
+    parts = max_dist + 1
     named = entities.select("id", "project", "type", F.lower("name").alias("key"))
     reps = named.groupBy("project", "type", "key").agg(F.min("id").alias("rep"))
     exact = (
@@ -51,21 +34,35 @@ def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int = 3) ->
         .filter(F.col("id") != F.col("rep"))
         .select(F.col("rep").alias("source_id"), F.col("id").alias("target_id"), F.lit(EXACT_CONFIDENCE).alias("confidence"), F.lit("exact").alias("match_type"))
     )
-    short = reps.filter((F.char_length("key") >= prefix) & (F.octet_length("key") <= LONGEST_FUZZY_NAME))
-    spelled = short.select(
-        "project", "type", F.substring("key", 1, prefix).alias("head"), "key", "rep",
-        F.explode(_deletions(F.substring("key", prefix + 1, LONGEST_FUZZY_NAME), max_dist)).alias("spelling"),
+    able = reps.withColumn("n", F.char_length("key")).filter(F.col("n") >= max(parts, prefix or 0))
+    if longest is not None:
+        able = able.filter(F.octet_length("key") <= longest)
+
+    def piece(i: int, length: Column, start: Column) -> Column:
+        return F.struct(length.alias("n"), F.lit(i).alias("part"), F.substring("key", start + 1, _cut(length, i + 1, parts) - _cut(length, i, parts)).alias("piece"))
+
+    own = F.array(*[piece(i, F.col("n"), _cut(F.col("n"), i, parts)) for i in range(parts)])
+    # In the longer name: for every length the shorter may have, each of its parts at every place it may have moved to.
+    other = F.array(
+        *[
+            piece(i, F.col("n") - less, _cut(F.col("n") - less, i, parts) + shift)
+            for less in range(max_dist + 1) for i in range(parts) for shift in range(-max_dist, max_dist + 1)
+        ]
     )
-    a, b = spelled, spelled.select("project", "type", "head", "spelling", F.col("key").alias("key2"), F.col("rep").alias("rep2"))
-    dist = F.levenshtein("key", "key2", max_dist)
+    other = F.array_distinct(F.filter(other, lambda x: (x["n"] >= parts) & (F.char_length(x["piece"]) > 0)))
+    a = able.select("project", "type", "key", "rep", F.inline(own))
+    b = able.select("project", "type", F.col("key").alias("key2"), F.col("rep").alias("rep2"), F.inline(other))
+    same_head = F.lit(True) if not prefix else F.substring("key", 1, prefix) == F.substring("key2", 1, prefix)
+    # Names of equal length meet from both sides; one side is enough.
+    once = (F.char_length("key2") > F.char_length("key")) | (F.col("key") < F.col("key2"))
     fuzzy = (
-        a.join(b, ["project", "type", "head", "spelling"])
-        .filter((F.col("key") < F.col("key2")) & (F.abs(F.char_length("key") - F.char_length("key2")) <= max_dist))
-        .withColumn("dist", dist)
-        .filter("dist > 0")
-        .select(F.least("rep", "rep2").alias("source_id"), F.greatest("rep", "rep2").alias("target_id"), "dist")
+        a.join(b, ["project", "type", "n", "part", "piece"])
+        .filter(once & same_head)
+        .select("key", "key2", "rep", "rep2")
         .distinct()
-        .select("source_id", "target_id", F.round(1 - F.col("dist") * 0.1, 2).alias("confidence"), F.lit("fuzzy").alias("match_type"))
+        .withColumn("dist", F.levenshtein("key", "key2", max_dist))
+        .filter("dist > 0")
+        .select(F.least("rep", "rep2").alias("source_id"), F.greatest("rep", "rep2").alias("target_id"), F.round(1 - F.col("dist") * 0.1, 2).alias("confidence"), F.lit("fuzzy").alias("match_type"))
     )
     return exact.unionByName(fuzzy)
 

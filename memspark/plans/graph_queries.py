@@ -49,8 +49,8 @@ def edge_insert(v: View) -> DataFrame:
        SELECT rep AS source_id, id AS target_id, 0.98 AS confidence, 'exact' AS match_type FROM named JOIN reps USING (project, type, key) WHERE id <> rep
        UNION ALL
        SELECT least(a.rep, b.rep), greatest(a.rep, b.rep), round(1 - 0.1 * levenshtein(a.key, b.key), 2), 'fuzzy'
-       FROM reps a JOIN reps b ON a.project = b.project AND a.type = b.type AND left(a.key, 3) = left(b.key, 3) AND a.key < b.key
-       WHERE strlen(a.key) <= 20 AND strlen(b.key) <= 20 AND length(a.key) >= 3 AND length(b.key) >= 3 AND levenshtein(a.key, b.key) <= 2""",
+       FROM reps a JOIN reps b ON a.project = b.project AND a.type = b.type AND a.key < b.key
+       WHERE length(a.key) >= 3 AND length(b.key) >= 3 AND abs(length(a.key) - length(b.key)) <= 2 AND levenshtein(a.key, b.key) <= 2""",
 )
 def entity_duplicates(v: View) -> DataFrame:
     return dup.flag_duplicates(v("dup_entities"))
