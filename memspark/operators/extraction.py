@@ -145,11 +145,12 @@ def extract_verb_relations(docs: DataFrame, id_col: str = "id", text_col: str =
     )
 
 
-def co_occurrence(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """RELATED_TO between the first eight entity names of a text: at most 28 rows per text."""
-    names = F.slice(F.transform(entity_array(F.col(text_col)), lambda e: e["name"]), 1, CO_OCCURRENCE_NAMES)
+def co_occurrence(docs: DataFrame, id_col: str = "id", text_col: str = "text", first: int | None = CO_OCCURRENCE_NAMES) -> DataFrame:
+    """RELATED_TO between the first entity names of a text, eight unless asked otherwise; None takes all of them."""
+    names = F.transform(entity_array(F.col(text_col)), lambda e: e["name"])
+    names = names if first is None else F.slice(names, 1, first)
     left = docs.select(F.col(id_col).alias("id"), names.alias("names")).select("id", "names", F.posexplode("names").alias("i", "source"))
-    later = F.when(F.col("i") + 1 < F.size("names"), F.slice("names", F.col("i") + 2, F.lit(CO_OCCURRENCE_NAMES)))
+    later = F.when(F.col("i") + 1 < F.size("names"), F.slice("names", F.col("i") + 2, F.size("names")))
     return (
         left.select("id", "source", F.explode(later).alias("target"))
         .filter(F.lower("source") != F.lower("target"))

@@ -25,11 +25,23 @@ def next_action(actions: DataFrame, deps: DataFrame) -> DataFrame:
     return top_per_group(frontier(actions, deps), ["project"], [F.asc("priority"), F.asc("created_at"), F.asc("id")], 1).drop("rank")
 
 
-def crystallize(groups: DataFrame, actions: DataFrame) -> DataFrame:
-    """``groups(group_id, action_id, pos)`` -> one completed summary action per group; unknown ids are skipped."""
-    titled = groups.join(actions.select(F.col("id").alias("action_id"), "project", "title"), "action_id")
+def crystallize_lines(groups: DataFrame, actions: DataFrame) -> DataFrame:
+    """(group_id, project, pos, action_id, title): what a group's summary is made of, in long form."""
+    return groups.join(actions.select(F.col("id").alias("action_id"), "project", "title"), "action_id").select("group_id", "project", "pos", "action_id", "title")
+
+
+def crystallize(groups: DataFrame, actions: DataFrame, shown: int | None = None) -> DataFrame:
+    """``groups(group_id, action_id, pos)`` -> one completed summary action per group; unknown ids are skipped.
+
+    The description lists the titles of the first ``shown`` actions, all if None; ``crystallize_lines`` has them in long form.
+    """
+    titled = crystallize_lines(groups, actions)
+    if shown is not None:
+        counted = titled.groupBy("group_id", "project").agg(F.count(F.lit(1)).alias("all"))
+        titled = top_per_group(titled, ["group_id", "project"], [F.asc("pos"), F.asc("action_id")], shown).drop("rank").join(counted, ["group_id", "project"])
+    number = F.count(F.lit(1)) if shown is None else F.max("all")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "action_id", "title"))), lambda x: x["title"])
-    return titled.groupBy("group_id", "project").agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "; ").alias("description")).select(
+    return titled.groupBy("group_id", "project").agg(number.alias("n"), F.array_join(lines, "; ").alias("description")).select(
         stable_id("cryst", F.col("project"), F.col("group_id")).alias("id"), "group_id", "project",
         F.format_string("Crystallized: %d actions", "n").alias("title"), "description", F.lit("completed").alias("status"), "n",
     )

@@ -14,24 +14,26 @@ def top_per_group(
     df: DataFrame,
     keys: Sequence[str | Column],
     order: Sequence[Column],
-    k: int,
+    k: int | None,
     rank_col: str = "rank",
     spread: Column | None = None,
     salts: int = 64,
 ) -> DataFrame:
-    """First ``k`` rows of each group by ``order``, ranked from 1.
+    """First ``k`` rows of each group by ``order``, ranked from 1; None ranks all.
 
     Small ``k``: the row_number filter lets Spark keep k rows per group and map task before the shuffle. Large ``k``:
     the group is first cut per salt (a hash of ``spread``), so a hot group is ranked by many tasks and at most
     ``k * salts`` of its rows meet in the last one.
     """
+    final = W.partitionBy(*keys).orderBy(*order)
+    if k is None:
+        return df.withColumn(rank_col, F.row_number().over(final))
     if k > NATIVE_GROUP_LIMIT:
         if spread is None:
             raise ValueError("a large k needs the spread column that salts the groups")
         df = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
         part = W.partitionBy(*keys, "__salt").orderBy(*order)
         df = df.withColumn("__rn", F.row_number().over(part)).filter(F.col("__rn") <= k).drop("__rn", "__salt")
-    final = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(final)).filter(F.col(rank_col) <= k)
 
 

@@ -10,7 +10,7 @@ from memspark.functions.text import clip, first_sentence, stable_id
 from memspark.operators.capture import end_sessions
 from memspark.operators.ranking import top_per_group
 
-# What counts as a decision, and how much of a session is quoted.
+# What counts as a decision, and how much of a session is quoted unless asked otherwise.
 DECISION = r"(?iU)\b(?:decide[ds]?\s+to|use|chose|chosen|adopt(?:ed)?|prefer)\b[^.!?\n]{4,160}"
 LEAD_SENTENCE = r"^([^.!?]{8,200})[.!?]?"
 MAX_DECISIONS = 10
@@ -39,7 +39,7 @@ def _listed(rows: DataFrame, value: str, out: str) -> DataFrame:
     return rows.groupBy("session_id").agg(F.transform(pairs, lambda p: p[value]).alias(out))
 
 
-def top_concepts(obs: DataFrame, k: int = MAX_CONCEPTS) -> DataFrame:
+def top_concepts(obs: DataFrame, k: int | None = MAX_CONCEPTS) -> DataFrame:
     """(session_id, concept, n, rank): most frequent folded concepts, first seen first among equals."""
     rows = obs.select("session_id", "created_at", "id", F.posexplode("concepts").alias("pos", "c")).withColumn("concept", _strip(F.lower("c")))
     counted = (
@@ -49,7 +49,7 @@ def top_concepts(obs: DataFrame, k: int = MAX_CONCEPTS) -> DataFrame:
     return top_per_group(counted, ["session_id"], [F.desc("n"), F.asc("first")], k)
 
 
-def mine_decisions(obs: DataFrame, k: int = MAX_DECISIONS) -> DataFrame:
+def mine_decisions(obs: DataFrame, k: int | None = MAX_DECISIONS) -> DataFrame:
     """(session_id, decision, rank): the first ``k`` different decisions of a session, facts before the narrative of a row."""
     texts = F.concat(F.coalesce("facts", F.array().cast("array<string>")), F.array(F.coalesce("narrative", F.lit(""))))
     found = (
@@ -75,16 +75,25 @@ def session_files(obs: DataFrame) -> DataFrame:
     )
 
 
-def summarize_sessions(observations: DataFrame, style: str = "full") -> Summaries:
+def summarize_sessions(
+    observations: DataFrame,
+    style: str = "full",
+    max_decisions: int | None = MAX_DECISIONS,
+    max_concepts: int | None = MAX_CONCEPTS,
+    max_quotes: int | None = MAX_NARRATIVES,
+    title_chars: int = 120,
+    narrative_chars: int = 2000,
+) -> Summaries:
     """Summaries of the compressed observations of every session; sessions without any give no row.
 
     ``full``: title, narrative of the first 20 rows, decisions, concepts. ``light``: title and concepts, and the first
-    sentence of every row as a table.
+    sentence of every row as a table. The limits shape the bounded row, None meaning all; every concept and decision is in
+    ``top_concepts(obs, None)`` and ``mine_decisions(obs, None)``, in long form.
     """
     obs = observations.filter("compressed")
     base = obs.groupBy("session_id").agg(F.min(F.struct("created_at", "id", "project", "title")).alias("f"), F.count(F.lit(1)).alias("observations"))
     base = base.select("session_id", F.col("f.project").alias("project"), F.col("f.title").alias("first_title"), "observations")
-    concepts = _listed(top_concepts(obs), "concept", "concepts")
+    concepts = _listed(top_concepts(obs, max_concepts), "concept", "concepts")
     out = base.join(concepts, "session_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
     lead = F.get("concepts", F.lit(0))
     if style == "light":
@@ -94,19 +103,19 @@ def summarize_sessions(observations: DataFrame, style: str = "full") -> Summarie
         )
         files = session_files(obs).filter("file <> ''")
         return Summaries(out.select("session_id", "project", title.alias("title"), "concepts", "observations"), files, sentences)
-    first_rows = top_per_group(obs.select("session_id", "created_at", "id", "narrative"), ["session_id"], [F.asc("created_at"), F.asc("id")], MAX_NARRATIVES)
+    first_rows = top_per_group(obs.select("session_id", "created_at", "id", "narrative"), ["session_id"], [F.asc("created_at"), F.asc("id")], max_quotes)
     quoted = first_rows.withColumn("s", _strip(F.regexp_extract(_strip(F.coalesce("narrative", F.lit(""))), LEAD_SENTENCE, 1)))
     # A lead of blanks only still counts as a (blank) quote, a missing one does not.
     quoted = quoted.filter(_strip(F.coalesce("narrative", F.lit(""))).rlike(LEAD_SENTENCE))
     narratives = _listed(quoted, "s", "quotes")
-    decisions = _listed(mine_decisions(obs), "decision", "key_decisions")
-    title = clip(_strip(F.concat(F.lit("Session on "), F.coalesce(lead, F.col("first_title")))), 120)
+    decisions = _listed(mine_decisions(obs, max_decisions), "decision", "key_decisions")
+    title = clip(_strip(F.concat(F.lit("Session on "), F.coalesce(lead, F.col("first_title")))), title_chars)
     joined = F.concat_ws(BULLET, "quotes")
     summaries = (
         out.join(narratives, "session_id", "left").join(decisions, "session_id", "left")
         .select(
             "session_id", "project", title.alias("title"),
-            clip(F.when(F.coalesce(joined, F.lit("")) == "", "(no narratives)").otherwise(joined), 2000).alias("narrative"),
+            clip(F.when(F.coalesce(joined, F.lit("")) == "", "(no narratives)").otherwise(joined), narrative_chars).alias("narrative"),
             F.coalesce("key_decisions", F.array().cast("array<string>")).alias("key_decisions"), "concepts", "observations",
         )
     )
