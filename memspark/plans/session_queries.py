@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from memspark.operators import lifecycle as life, mining
 from memspark.operators.index import build_keyword_index
 from memspark.operators.holds import dedup_window
-from memspark.operators.sessions import consolidate, memory_links, summarize_sessions
+from memspark.operators.sessions import DECISION, LEAD_SENTENCE, consolidate, memory_links, summarize_sessions
 from memspark.functions.privacy import redact
 from memspark.plans import oracle_text as o
 from memspark.plans.registry import View, query
 from memspark.plans.views import MEMORY_NOW, NOW
 
-_DECISION = r"(?i)\b(?:decide[ds]?\s+to|use|chose|chosen|adopt(?:ed)?|prefer)\b[^.!?\n]{4,160}"
-_LEAD = r"^([^.!?]{8,200})[.!?]?"
+# The other engine has no Unicode flag.
+_DECISION = DECISION.replace("(?iU)", "(?i)")
+_LEAD = LEAD_SENTENCE
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 _SUMMARY = f"""
