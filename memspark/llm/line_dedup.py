@@ -1,6 +1,6 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
-Lines are normalised to lower-case words. Equal lines are one class. Each class has a SimHash of 56 bits over its words;
+Lines are normalised to lower-case words. Equal lines are one class. Each class has a SimHash of 56 bits over its distinct words;
 two SimHashes that differ in at most two bits agree in two of four blocks, so classes meet on pairs of blocks, 28 bits
 each, and those within two bits are verified by edit similarity, counted in words. Of each connected group one occurrence
 stays, that with the least doc_id and place; the others are cut out.
@@ -29,7 +29,7 @@ MIN_WORDS = 3
 SIMILARITY = 0.75
 BITS_APART = 2
 #: Classes whose texts are fetched by sending their ids to every task; more are joined.
-BROADCAST_LINES = 500_000
+BROADCAST_LINES = 200_000
 _BLOCKS = ((0, 14), (14, 14), (28, 14), (42, 14))
 _LANES = 0x0001010101010101
 _TOP = 0x0080808080808080
@@ -61,7 +61,9 @@ def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     lines = lines.select("doc_id", "doc", "place", _words(F.col("line")).alias("words"))
     enough = F.size("words") >= min_words
-    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.when(enough, simhash("words")).alias("sim"))
+    # Each word counts once, else a word that fills a line is all that its SimHash shows.
+    lines = lines.withColumn("terms", F.array_distinct("words"))
+    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.when(enough, simhash("terms")).alias("sim"))
 
 
 def _words(line: Column) -> Column:

@@ -42,8 +42,8 @@ def brute(spark, rows, similarity=L.SIMILARITY):
             w = tuple(words(line))
             if len(w) >= L.MIN_WORDS:
                 first.setdefault(w, (k, place))
-                hashes = [hashed[x] for x in w]
-                sims[w] = majority(hashes) if len(w) <= 255 else majority([majority(hashes[s : s + 255]) for s in range(0, len(w), 255)])
+                hashes = [hashed[x] for x in dict.fromkeys(w)]
+                sims[w] = majority(hashes) if len(hashes) <= 255 else majority([majority(hashes[s : s + 255]) for s in range(0, len(hashes), 255)])
     group = {w: w for w in sims}
 
     def find(w):
@@ -72,7 +72,7 @@ def brute(spark, rows, similarity=L.SIMILARITY):
 def made():
     rng = random.Random(4)
     draw = lambda n: [f"word{rng.randint(0, 300)}" for _ in range(n)]
-    bases = [draw(rng.choice([3, 6, 40, 120, 300])) for _ in range(12)]
+    bases = [draw(rng.choice([3, 6, 40, 120, 300])) for _ in range(12)] + [[f"word{k}" for k in range(290)]]
     rows = []
     for i in range(70):
         text = []
