@@ -33,6 +33,8 @@ REGISTERS = BAND * BANDS
 BASE, RATE, LAST = 1.001, 20.0, 65534
 #: Five standard errors of the estimate below the threshold.
 SLACK = 0.2
+#: Bytes of text hashed together.
+PIECE = 500_000
 #: Rows and shingles of a block, two of which meet in a task.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 300_000
 
@@ -72,6 +74,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and its hash. Long texts are taken in pieces that end at a space."""
+    found, at = [], 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE) if at + PIECE < len(text) else -1
+        end = len(text) if end < 0 else end
+        chars = np.frombuffer(text, np.uint8, end - at, at)
+        inside = np.zeros(len(chars) + 2, np.int8)
+        inside[1:-1] = chars != 32
+        edge = np.diff(inside)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        power, back = _Powers.upto(len(chars) + 1)
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(_BYTE[chars] * power[: len(chars)], out=sums[1:])
+        found.append((starts + at, mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))))
+        at = end
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles."""
     joined = b" ".join((x or b"") for x in texts).translate(_FOLD)
@@ -79,17 +100,9 @@ def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndar
     empty = np.empty(0, np.uint64)
     if not joined:
         return [empty] * len(texts)
-    chars = np.frombuffer(joined, np.uint8)
-    inside = np.zeros(len(chars) + 2, np.int8)
-    inside[1:-1] = chars != 32
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, words = _hashed_words(joined)
     if not len(starts):
         return [empty] * len(texts)
-    power, back = _Powers.upto(len(chars) + 1)
-    sums = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum(_BYTE[chars] * power[: len(chars)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
     first = np.searchsorted(starts, np.concatenate([[0], ends_at[:-1]]))
     last = np.append(first[1:], len(words))
     out = []
@@ -165,7 +178,7 @@ def sketch(df: DataFrame) -> DataFrame:
             names=["doc_id", "n_shingles", "s1", "s2", "registers", "bands"],
         )
 
-    return map_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, s1 long, s2 long, registers binary, bands array<long>")
+    return map_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, s1 long, s2 long, registers binary, bands array<long>", rows=64)
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from memspark.llm.common import map_rows
 
 SPACE = "▁"
-MEMO_WORDS = 500_000
+#: Words remembered per worker process, in two generations; the older goes when the younger is full.
+MEMO_WORDS = 60_000
 MEMO_CHARS = 48
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 250_000
 
 
 def merged(symbols: list[str], order: dict[str, int]) -> list[str]:
@@ -168,6 +169,7 @@ class Codec:
         self.names = {i: piece for piece, i in v.ids.items()}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         known = "".join(c for c in v.ids if len(c) == 1)
         self.outside = re.compile(f"([^{re.escape(known)}])")
         self.units = re.compile(f"({SPACE}+)([^{SPACE}]*)")
@@ -235,7 +237,7 @@ class Codec:
             elif part:
                 found = self.words.get(part)
                 if found is None:
-                    found = self.part(part)
+                    found = self.older.get(part) or self.part(part)
                     if len(part) <= MEMO_CHARS:
                         self.words[part] = found
                 out.append(found)
@@ -253,7 +255,7 @@ class Codec:
         if not text:
             return begin + end
         if len(self.words) >= MEMO_WORDS:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         words, out = self.words, [begin]
         if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
             for word in (SPACE + text.replace(" ", " " + SPACE)).split(" "):
