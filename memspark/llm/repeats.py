@@ -32,7 +32,7 @@ from memspark.llm.near_dedup import _BYTE, _Powers, mix
 from memspark.runtime import ensure_checkpoint_dir
 
 LENGTH = 50
-GRAM = 20
+GRAM = 26
 SHALLOW = 2
 #: Text of one batch; text looked at together within it; text whose anchors make one bucket.
 BATCH_BYTES, CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 500_000, 4_000_000
