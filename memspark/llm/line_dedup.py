@@ -1,13 +1,15 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
-Lines are normalised to lower-case words. Equal lines are one class. Each class has a SimHash of 56 bits over its distinct words;
-two SimHashes that differ in at most two bits agree in two of four blocks, so classes meet on pairs of blocks, 28 bits
-each, and those within two bits are verified by edit similarity, counted in words. Of each connected group one occurrence
-stays, that with the least doc_id and place; the others are cut out.
+Lines are normalised to lower-case words. Equal lines are one class. Two classes are joined if at most 1 - similarity of
+the longer one's words are edited, whatever their SimHashes. One edit breaks at most two pairs of neighbouring words, so of two
+such lines each has most of its word pairs in the other, and they share one among the first few in any fixed order (prefix
+filter). Classes therefore meet on the first word pairs of each, those of long words first as these are rarer, and no pair of
+lines is missed for a similarity of 0.7 or more. Those whose lengths and word bits allow it are verified by edit similarity,
+counted in words. Of each connected group one occurrence stays, that with the least doc_id and place; the others are cut out.
 
-SimHash bits are counted in lanes of 8 bits, seven to a number; lines of more than 255 words are hashed in slices, whose
-SimHashes are hashed on in the same way. As in other groups of copies, a class is first compared with the first of its
-blocks, and only classes still apart are compared further, with both conditions inside the join.
+A word is kept as a code of 20 bits, its length's class and a hash. As in other groups of copies, a class is first compared
+with the first of its blocks, and only classes still apart are compared further, in tiles of bounded size, with all conditions
+inside the join.
 
 Edge cases: null and empty texts stay as they are; lines of fewer than min_words words are never cut; texts and lines of
 any length count whole; ties can't occur but between rows alike in doc_id and text, which are treated as one document and
@@ -17,8 +19,6 @@ empty, and drop_empty leaves out rows that lost lines and have only blank ones l
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,43 +27,21 @@ from memspark.llm.components import components
 
 MIN_WORDS = 3
 SIMILARITY = 0.75
-BITS_APART = 2
-#: Classes whose texts are fetched by sending their ids to every task; more are joined.
-BROADCAST_LINES = 200_000
-_BLOCKS = ((0, 14), (14, 14), (28, 14), (42, 14))
-_LANES = 0x0001010101010101
-_TOP = 0x0080808080808080
-
-
-def _majority(hashes: str) -> str:
-    """SQL of the bits set in more than half of an array of at most 255 hashes: 56 bits, the rest nought."""
-    names = "abcdefgh"
-    start = ", ".join(f"'{c}', 0L" for c in names)
-    add = ", ".join(f"'{c}', s.{c} + (shiftright(h, {i}) & {_LANES}L)" for i, c in enumerate(names))
-    # A lane over half its count reaches its top bit once 127 less the half is added to it.
-    bits = " | ".join(f"shiftleft(shiftright((s.{c} + (127 - size({hashes}) div 2) * {_LANES}L) & {_TOP}L, 7), {i})" for i, c in enumerate(names))
-    return f"aggregate({hashes}, named_struct({start}), (s, h) -> named_struct({add}), s -> {bits})"
-
-
-def simhash(words: str) -> Column:
-    """SimHash of an array of words (a column name)."""
-    plain = _majority("hashes")
-    slices = f"transform(sequence(0, (size({words}) - 1) div 255), i -> slice({words}, i * 255 + 1, 255))"
-    sliced = f"transform(transform({slices}, p -> transform(p, w -> xxhash64(w))), hashes -> {plain})"
-    outer = f"transform(array(transform({words}, w -> xxhash64(w))), hashes -> {plain})[0]"
-    again = f"transform(array(slice({sliced}, 1, 255)), hashes -> {plain})[0]"
-    return F.expr(f"CASE WHEN size({words}) = 0 THEN 0L WHEN size({words}) <= 255 THEN {outer} ELSE {again} END")
+#: Of 56 bits of a SimHash: lines however far apart by it are compared.
+BITS_APART = 56
+#: Rows of a block that meet those of another tile in one task.
+TILE = 1024
+#: Codes of one class of word lengths; four classes and 65,536 make five hexadecimal digits.
+_CODES = 245_760
 
 
 def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line: doc_id, the document's key, place, and for lines of enough words their class and SimHash."""
+    """Every line: doc_id, the document's key, place, and for lines of enough words their class and codes."""
     lines = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc")).where(F.col("text").isNotNull())
     lines = lines.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     lines = lines.select("doc_id", "doc", "place", _words(F.col("line")).alias("words"))
     enough = F.size("words") >= min_words
-    # Each word counts once, else a word that fills a line is all that its SimHash shows.
-    lines = lines.withColumn("terms", F.array_distinct("words"))
-    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.when(enough, simhash("terms")).alias("sim"))
+    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.when(enough, _codes("words")).alias("codes"))
 
 
 def _words(line: Column) -> Column:
@@ -74,27 +52,41 @@ def _class(words: Column) -> Column:
     return F.xxhash64(words)
 
 
-def _blocks(sim: str) -> Column:
-    """The pairs of blocks, each as one number with the pair's place in front."""
-    part = lambda b: f"(shiftright({sim}, {b[0]}) & {(1 << b[1]) - 1}L)"
-    pairs = combinations(_BLOCKS, 2)
-    return F.expr("array(" + ", ".join(f"shiftleft({i}L, 28) | shiftleft({part(a)}, 14) | {part(b)}" for i, (a, b) in enumerate(pairs)) + ")")
+def _codes(words: str) -> Column:
+    """A number for each word; those of long words, which are rarer, come first."""
+    rank = "CASE WHEN length(w) >= 9 THEN 0 WHEN length(w) >= 6 THEN 1 WHEN length(w) >= 4 THEN 2 ELSE 3 END"
+    return F.expr(f"transform({words}, w -> cast({rank} * {_CODES} + pmod(xxhash64(w), {_CODES}L) as int))")
+
+
+def _blocks(similarity: float) -> Column:
+    """The first word pairs of a line in a fixed order, as many as two close lines need to share one.
 
+    k edits leave a line of n words all but 2k of its pairs; one that is d words shorter than the other loses d fewer.
+    """
+    edits = 1 - similarity
+    pairs = f"transform(slice(codes, 1, greatest(size(codes) - 1, 0)), (c, i) -> shiftleft(cast(c div {_CODES} + codes[i + 1] div {_CODES} as long), 56) | (xxhash64(c, codes[i + 1]) & {(1 << 56) - 1}L))"
+    first = f"greatest(2 * cast(floor({edits:.6f}D * size(codes) + 1e-9D) as int) + 1, cast(floor({2 * edits:.6f}D * (size(codes) + 1) + 1e-9D) as int))"
+    return F.expr(f"slice(sort_array(array_distinct({pairs})), 1, {first})")
 
-def _close(a: str, b: str) -> Column:
-    return F.expr(f"bit_count({a} ^ {b}) <= {BITS_APART}")
+
+def _bits(codes: str) -> Column:
+    """128 bits, each whether an odd number of the distinct words fall on it, and the number of words."""
+    flip = lambda half: f"if((c & 64) = {64 * half}, shiftleft(1L, c & 63), 0L)"
+    return F.expr(
+        f"aggregate(array_distinct({codes}), named_struct('n', size({codes}), 'x', 0L, 'y', 0L), (s, c) -> named_struct('n', s.n, 'x', s.x ^ {flip(0)}, 'y', s.y ^ {flip(1)}))"
+    )
 
 
-def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The classes' words, read at their first occurrences: node and spelt, a character for each word by its hash."""
-    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc").alias("doc"), F.col("first.place").alias("place")))
-    few = wanted.count() <= BROADCAST_LINES
-    docs = F.broadcast(wanted.select("doc").distinct()) if few else wanted.select("doc").distinct()
-    lines = df.select("text", F.xxhash64("doc_id", "text").alias("doc")).join(docs, "doc", "left_semi")
-    lines = lines.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).join(F.broadcast(wanted) if few else wanted, ["doc", "place"])
-    # 50,000 characters, none of them a surrogate
-    code = F.transform(_words(F.col("line")), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50_000)) + 256), 4, "0"))
-    return lines.groupBy("node").agg(F.first(F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")).alias("spelt"))
+def _close(a: str, b: str, similarity: float) -> Column:
+    """Whether lengths and bits allow two lines to be close: an edit changes at most two of the words that occur."""
+    edits = f"floor({1 - similarity:.6f}D * greatest({a}.n, {b}.n) + 1e-9D)"
+    return F.expr(f"abs({a}.n - {b}.n) <= {edits} AND bit_count({a}.x ^ {b}.x) + bit_count({a}.y ^ {b}.y) <= 2 * {edits}")
+
+
+def _texts(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes' words: node and spelt, a character beyond the surrogates for each word."""
+    code = F.expr("concat('000', array_join(transform(codes, c -> hex(c + 65536)), '000'))")
+    return classes.join(nodes, "node", "left_semi").select("node", F.decode(F.unhex(code), "UTF-32").alias("spelt"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -105,18 +97,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.where(near).where(F.expr(f"levenshtein(spelt_a, spelt_b, {allowed}) >= 0")).select("a", "b")
 
 
-def line_groups(df: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _apart(named: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of rows of one block (block, node, bits, label) with different labels that may be close."""
+    sizes = named.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y")
+    left = stored(named.join(sizes.select("block", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles")), "block"))
+    left = left.withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    a = left.select("block", "own", other.alias("other"), F.col("node").alias("a"), F.col("bits").alias("bits_a"), F.col("label").alias("label_a"))
+    b = left.select("block", other.alias("own"), F.col("own").alias("other"), F.col("node").alias("b"), F.col("bits").alias("bits_b"), F.col("label").alias("label_b"))
+    meet = (a.block == b.block) & (a.own == b.own) & (a.other == b.other)
+    return a.join(b, meet & F.expr("a < b AND label_a <> label_b") & _close("bits_a", "bits_b", similarity)).select("a", "b").distinct()
+
+
+def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """Classes with more than one occurrence or in a group: node and the group's first occurrence."""
     classes = stored(
-        lines.where("node IS NOT NULL")
+        lines_of(df, min_words)
+        .where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"), F.first("sim").alias("sim"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("copies"))
     )
-    keyed = classes.select("node", "sim", F.explode(_blocks("sim")).alias("block")).repartition("block")
-    leaders = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.min_by("sim", "node").alias("leader_sim")).where("leader < last").drop("last")
+    keyed = classes.select("node", _bits("codes").alias("bits"), F.explode(_blocks(similarity)).alias("block")).repartition("block")
+    leaders = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.min_by("bits", "node").alias("leader_bits")).where("leader < last").drop("last")
     members = stored(keyed.join(leaders, "block"))
-    near = stored(members.where(_close("sim", "leader_sim")).where("leader < node").select("leader", "node").distinct())
-    links = labels = texts = None
+    near = stored(members.where("leader < node").where(_close("bits", "leader_bits", similarity)).select("leader", "node").distinct())
+    links = labels = None
     for step in range(3):
         if step == 0:
             pairs = near.groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
@@ -125,16 +130,12 @@ def line_groups(df: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
             apart = near.join(of("node"), "node", "left").join(of("leader"), "leader", "left")
             pairs = apart.where("coalesce(node_label, node) <> coalesce(leader_label, leader)").select(F.col("leader").alias("a"), F.col("node").alias("b"))
         else:
-            named = members.join(labels, "node", "left").select("block", "node", "sim", F.coalesce("component", "node").alias("label"), "leader")
-            mixed = named.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("block")
-            left = stored(named.join(mixed, "block", "left_semi"))
-            right = left.where("node <> leader").select("block", F.col("node").alias("b"), F.col("sim").alias("sim_b"), F.col("label").alias("label_b"))
-            pairs = left.where("node <> leader").join(right, (left.block == right.block) & F.expr("node < b AND label <> label_b") & _close("sim", "sim_b"))
-            pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
+            named = members.where("node <> leader").join(labels, "node", "left").select("block", "node", "bits", F.coalesce("component", "node").alias("label"))
+            pairs = _apart(named, similarity)
         pairs = stored(pairs)
         if step != 1:
             ends = pairs if step else near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-            texts = stored(_texts(df, classes, ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()))
+            texts = stored(_texts(classes, ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()))
         found = stored(_verified(pairs, texts, similarity))
         links = found if links is None else links.union(found)
         labels = components(links)
@@ -147,8 +148,8 @@ def line_groups(df: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
 
 def dedup_lines(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, counts: bool = False, drop_empty: bool = False) -> DataFrame:
     """The documents without the lines that occur before, exactly or nearly. counts adds n_lines and n_cut."""
-    lines = stored(lines_of(df, min_words))
-    groups = stored(line_groups(df, lines, similarity))
+    groups = stored(line_groups(df, similarity, min_words))
+    lines = lines_of(df, min_words).drop("codes", "doc_id")
     marked = lines.join(groups, "node", "left")
     keep = F.col("first").isNull() | ((F.col("first.doc") == F.col("doc")) & (F.col("first.place") == F.col("place")))
     marked = marked.select("doc", F.struct("place", keep.alias("keep")).alias("line"))

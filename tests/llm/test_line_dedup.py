@@ -105,3 +105,27 @@ def test_repeats_and_empty(spark):
     got = sorted((r.doc_id, r.text) for r in L.dedup_lines(df).collect())
     assert got == [(1, rows[0][1])] * 2 + [(2, "new line of words")]
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_recall_by_edit_similarity_alone(spark):
+    rng = random.Random(9)
+    draw = lambda n: [f"word{rng.randint(0, 5000)}" for _ in range(n)]
+    rows = []
+    for n in [3, 4, 5, 7, 8, 9, 11, 12, 20, 20, 20, 33, 60, 300]:
+        for _ in range(4):
+            line = draw(n)
+            near = list(line)
+            for at in rng.sample(range(n), n // 4):
+                near[at] = draw(1)[0]
+            more = list(line)
+            for at in sorted(rng.sample(range(n), n // 3), reverse=True):
+                more.insert(at, draw(1)[0])
+            far = list(line)
+            for at in rng.sample(range(n), n // 4 + 1):
+                far[at] = f"other{at}"
+            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near)), (len(rows) + 2, " ".join(more)), (len(rows) + 3, " ".join(far))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_cut for r in L.dedup_lines(df, counts=True).collect()}
+    assert all(got[i] == 0 and got[i + 1] == 1 for i, _ in rows[::4])
+    assert all(got[i] == int(edit(rows[i - 2][1].split(), t.split()) * 4 <= len(t.split())) for i, t in rows[2::4])
+    assert all(got[i] == 0 for i, _ in rows[3::4])
