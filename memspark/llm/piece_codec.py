@@ -247,7 +247,8 @@ class Codec:
         if length < len(self.v.runs):
             return self.v.runs[length]
         longest = len(self.v.runs) // 2
-        return self.v.runs[longest] + self.run(length - longest)
+        times = (length - len(self.v.runs)) // longest + 1
+        return self.v.runs[longest] * times + self.v.runs[length - longest * times]
 
     def __call__(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers, with begin and end ids."""

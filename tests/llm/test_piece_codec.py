@@ -54,3 +54,11 @@ def test_nulls_repeats_and_clashing_columns(spark, library):
     assert len(out) == 4 and all(r.decoded == (r.text or "") for r in out)
     assert out[0].asDict()["ids"] == struct.pack("<2I", 1, 2)
     assert encode_texts(df.limit(0), MODEL).count() == 0
+
+
+def test_very_long_runs_of_spaces(library):
+    codec = Codec(read_vocabulary(MODEL))
+    for text in (" " * 100_000, "x" + " " * 99_999 + "y", "x " + "▁" * 16_017, *(" " * n for n in range(25, 60))):
+        coded = codec(text)
+        assert list(struct.unpack(f"<{len(coded) // 4}I", coded)) == [1, *library.encode(text), 2]
+        assert codec.decode(coded).decode() == library.decode(library.encode(text))
