@@ -3,7 +3,9 @@
 Each page's containers are scored by the article text in them. The pages of a host vote with these scores on generalised
 tag-class paths, such as html/body/div.content/article, and each page's text is taken from the containers on its host's
 winning path, or, if it has none, from its own best container. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out wherever they stand.
+forms, scripts, styles, drawings and reader comments are left out wherever they stand. What is known by its name only is
+kept if it is an article or main element, has a name that speaks for an article as well, or holds most of a page without
+any; a page that would have no text is read without regard to names.
 
 Edge cases: null, empty and tagless pages (a tagless page is one block of text); broken, unclosed and cut-off markup;
 pages of any length; a null or odd url has no host, and its page decides alone; equal votes go to the first path by name;
@@ -35,7 +37,7 @@ BLOCK_TAGS = frozenset(
 )
 CONTAINERS = frozenset("article body div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math select object audio video canvas".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg select audio video canvas annotation annotation-xml".split())
 LEFT_OUT = frozenset("aside button dialog fieldset footer form head label menu nav option search".split())
 #: A block-level start tag ends an open paragraph; these end an open element of their own kind as well.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -46,40 +48,83 @@ NOISE = frozenset(
     "popup promo promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "teaser toolbar tooltip widget complementary contentinfo".split()
 )
+#: Of these, such whose text is never the article's, however long, unless the page has no other.
+READERS = frozenset("comment comments commentlist consent cookie cookies disqus gdpr replies reply respond".split())
+#: Words before a name that say what an element is beside or without.
+ABOUT = re.compile(r"(?:has|have|no|not|with|without|hide|show)[-_]")
 GOOD = frozenset("article main content story post entry body text".split())
 
 
 class Node:
     """An element that bears on where text belongs."""
 
-    __slots__ = ("tag", "parent", "path", "noise", "chars", "linked", "order", "favour")
+    __slots__ = ("tag", "parent", "path", "noise", "named", "chars", "linked", "order", "favour")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, noise: bool, order: int, favour: bool):
-        self.tag, self.parent, self.noise, self.order, self.favour = tag, parent, noise, order, favour
+    def __init__(self, tag: str, parent: Node | None, label: str, noise: bool, order: int, favour: bool, named: frozenset = frozenset()):
+        self.tag, self.parent, self.noise, self.order, self.favour, self.named = tag, parent, noise, order, favour, named
         self.path = f"{parent.path}/{label}" if parent else label
         self.chars = self.linked = 0
 
 
-def _label(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
-    """Generalised name of an element, whether it is noise, and whether its name speaks for an article."""
+def _label(tag: str, attributes: str, inside: bool, within: bool = False) -> tuple[str, bool, bool, frozenset]:
+    """Generalised name of an element, whether it is noise, whether its name speaks for an article, and the words in it that speak against.
+
+    inside and within: whether it stands in an article or main element, or in one whose name speaks for an article.
+    """
     if not attributes:
-        return tag, tag in LEFT_OUT or (tag == "header" and not inside), tag in ("article", "main")
-    classes, words, hidden = "", set(), False
+        return tag, tag in LEFT_OUT or (tag == "header" and not inside), tag in ("article", "main"), frozenset()
+    classes, good, bad, hidden = "", False, set(), False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
         elif name in ("class", "id", "role"):
-            words.update(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+            for token in value.split():
+                words = set(_NAME.findall(_CAMEL.sub(" ", token).lower()))
+                against = set() if ABOUT.match(token.lower()) else words & NOISE
+                if inside or (within and words != {"header"}):
+                    against.discard("header")
+                bad |= against
+                good = good or bool(words & GOOD and not words & NOISE)
             if name == "class":
                 classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in value.lower().split()} - {""}))
-    favoured = tag in ("article", "main") or bool(words & GOOD)
-    noise = tag in LEFT_OUT or hidden or (tag == "header" and not inside) or bool(words & NOISE and not (tag in ("html", "body", "main")))
-    return f"{tag}.{classes}" if classes else tag, noise, favoured
+    if tag in ("html", "body", "main", "article") or (good and not bad & READERS):
+        bad = set()
+    noise = tag in LEFT_OUT or hidden or (tag == "header" and not inside)
+    return f"{tag}.{classes}" if classes else tag, noise, tag in ("article", "main") or (good and not bad), frozenset(bad)
+
+
+def _lineage(node: Node | None):
+    while node is not None:
+        yield node
+        node = node.parent
 
 
-def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
-    """Blocks of text outside noise, as innermost element, text and characters in links; and all containers, in page order."""
+def _believed(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks outside elements whose names speak against them.
+
+    A name isn't believed of an element that holds most of the page's unlinked text while no article stands outside such
+    elements; it is believed of readers' comments.
+    """
+    held: dict[Node, int] = {}
+    total = article = 0
+    for node, text, linked in found:
+        above, size = list(_lineage(node)), len(text) - linked
+        named = [x for x in above if x.named]
+        total += size
+        if not named and any(x.favour for x in above):
+            article += size
+        for x in named:
+            held[x] = held.get(x, 0) + size
+    doubted = {x for x, size in held.items() if not article and size * 2 > total and not x.named & READERS}
+    return [block for block in found if not any(x.named and x not in doubted for x in _lineage(block[0]))] if held else found
+
+
+def blocks(page: str, by_name: bool = True) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """Blocks of text outside noise, as innermost element, text and characters in links; and all containers, in page order.
+
+    Without by_name, names of classes, ids and roles don't count against an element.
+    """
     root = Node("html", None, "html", False, 0, False)
     stack, nodes, out = [root], [root], []
     parts: list[str] = []
@@ -134,8 +179,8 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
             continue
         if tag not in BLOCK_TAGS:
             if attributes or tag in LEFT_OUT:  # an inline element that hides or is noise stands as an element of its own
-                label, noise, _ = _label(tag, attributes, False)
-                if noise and not attributes.endswith("/"):
+                label, noise, _, named = _label(tag, attributes, False)
+                if (noise or (named and by_name)) and not attributes.endswith("/"):
                     close = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
                     at = close.end() if close else at
             continue
@@ -154,12 +199,12 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
         if tag == "body":  # whatever head was left open ends here
             del stack[1:]
         inside = any(x.tag in ("article", "main") for x in stack)
-        label, noise, favoured = _label(tag, attributes, inside)
-        node = Node(tag, stack[-1], label, noise or stack[-1].noise, len(nodes), favoured)
+        label, noise, favoured, named = _label(tag, attributes, inside, any(x.favour for x in stack))
+        node = Node(tag, stack[-1], label, noise or stack[-1].noise, len(nodes), favoured, named)
         nodes.append(node)
         stack.append(node)
     flush()
-    return out, nodes
+    return _believed(out) if by_name else out, nodes
 
 
 def scores(found: list[tuple[Node, str, int]]) -> dict[Node, float]:
@@ -187,6 +232,8 @@ def page_votes(page: str | None) -> list[tuple[str, int]]:
 def page_text(page: str | None, path: str | None) -> str:
     """The text of the containers on a path, or of the best container if the page has no text there."""
     found, _ = blocks(page or "")
+    if not found:
+        found, path = blocks(page or "", by_name=False)[0], None
     if not found:
         return ""
 

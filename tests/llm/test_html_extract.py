@@ -3,7 +3,7 @@
 import html
 import re
 
-from memspark.llm.html_extract import extract, host_paths
+from memspark.llm.html_extract import extract, host_paths, page_text
 
 NOISE = (
     '<nav><ul><li><a href="/x">Menu</a></ul></nav><header>Site name</header><div class="cookie-notice">We use cookies</div>'
@@ -50,3 +50,20 @@ def test_table(spark, sf_dir):
         article = r.html[r.html.index("<article>") + 9 :].split("</article>")[0]
         parts = [" ".join(html.unescape(re.sub("<br>", " ", x).replace("<b>", "").replace("</b>", "")).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert got[r.page_id] == "\n\n".join(x for x in parts if x)
+
+
+def test_names_do_not_cost_the_article():
+    words = "<p>These are the words of the article and there are quite a few of them</p>"
+    text = words[3:-4]
+    for body in (
+        f'<article class="post has-comments">{words}</article>',
+        f'<div id="page" class="no-sidebar">{words}</div>',
+        f'<div class="content search-result">{words}</div>',
+        f'<section class="related-work">{words}</section>',
+        f'<div class="widget">{words}</div>',
+    ):
+        assert page_text(f"<html><body><nav>Menu</nav>{body}<footer>Foot</footer></body></html>", None) == text, body
+    kept = page_text(page(f'<article><header class="entry-header"><h1>Title</h1></header>{words}<p>x <math><mi>y</mi></math> z</p><div class="share">Share</div></article>'), None)
+    assert kept == f"Title\n\n{text}\n\nx y z"
+    assert page_text(f'<div id="comments">{words * 9}</div><div><p>Short text</p></div>', None) == "Short text"
+    assert page_text('<div class="comments"><p>Nothing else</p></div>', None) == "Nothing else"
