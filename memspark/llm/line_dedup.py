@@ -11,7 +11,9 @@ A word is kept as a code of 20 bits, its length's class and a hash. As in other
 with the first of its blocks, and only classes still apart are compared further, in tiles of bounded size, with all conditions
 inside the join.
 
-Edge cases: null and empty texts stay as they are; lines of fewer than min_words words are never cut; texts and lines of
+Edge cases: null and empty texts stay as they are; lines without words are never cut, and those of one or two only
+as exact copies, as one edit is more than a quarter; letters of scripts without spaces count as words, and such lines are
+compared with others from UNSPACED_WORDS on; texts and lines of
 any length count whole; ties can't occur but between rows alike in doc_id and text, which are treated as one document and
 come out alike, as often as given; a null doc_id is less than all others; a text all of whose lines are cut becomes
 empty, and drop_empty leaves out rows that lost lines and have only blank ones left; other columns are carried on.
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from memspark.llm.common import stored
 from memspark.llm.components import components
 
-MIN_WORDS = 3
+MIN_WORDS = 1
+#: Letters of scripts without spaces are words of their own; lines with such are compared from that many words on.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+UNSPACED_WORDS = 12
 SIMILARITY = 0.75
 #: Of 56 bits of a SimHash: lines however far apart by it are compared.
 BITS_APART = 56
@@ -39,13 +44,14 @@ def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every line: doc_id, the document's key, place, and for lines of enough words their class and codes."""
     lines = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc")).where(F.col("text").isNotNull())
     lines = lines.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.select("doc_id", "doc", "place", _words(F.col("line")).alias("words"))
+    lines = lines.select("doc_id", "doc", "place", _words(F.col("line")).alias("words"), F.col("line").rlike(UNSPACED).alias("unspaced"))
     enough = F.size("words") >= min_words
-    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.when(enough, _codes("words")).alias("codes"))
+    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.when(enough & (~F.col("unspaced") | (F.size("words") >= UNSPACED_WORDS)), _codes("words")).alias("codes"))
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+    apart = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED}\\p{{M}}*)", " $1 ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(apart), r"[^\p{L}\p{N}\p{M}]+"), "")
 
 
 def _class(words: Column) -> Column:
@@ -116,11 +122,12 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
         .where("node IS NOT NULL")
         .groupBy("node")
         .agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("bits", _bits("codes"))
     )
-    keyed = classes.select("node", _bits("codes").alias("bits"), F.explode(_blocks(similarity)).alias("block")).repartition("block")
+    keyed = classes.select("node", "bits", F.explode(_blocks(similarity)).alias("block")).repartition("block")
     leaders = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.min_by("bits", "node").alias("leader_bits")).where("leader < last").drop("last")
-    members = stored(keyed.join(leaders, "block"))
-    near = stored(members.where("leader < node").where(_close("bits", "leader_bits", similarity)).select("leader", "node").distinct())
+    members = stored(keyed.join(leaders, "block").withColumn("near", _close("bits", "leader_bits", similarity)).drop("leader_bits"))
+    near = stored(members.where("leader < node AND near").select("leader", "node").distinct())
     links = labels = None
     for step in range(3):
         if step == 0:

@@ -129,3 +129,11 @@ def test_recall_by_edit_similarity_alone(spark):
     assert all(got[i] == 0 and got[i + 1] == 1 for i, _ in rows[::4])
     assert all(got[i] == int(edit(rows[i - 2][1].split(), t.split()) * 4 <= len(t.split())) for i, t in rows[2::4])
     assert all(got[i] == 0 for i, _ in rows[3::4])
+
+
+def test_short_and_unspaced_lines(spark):
+    thai, chinese = "\u0e01\u0e34\u0e19", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
+    texts = [f"Read more\n---\nShare\n{chinese}\n{thai}", f"read more!\n---\nshare\nRead less\n{chinese}\u3002", f"{chinese[:-1]}\u8dd1\n{thai[0]}\u0e35{thai[2]}", f"{chinese[:4]}", f"{chinese[:3]}\u51b7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
+    assert got == {0: texts[0], 1: "---\nRead less", 2: texts[2].split("\n")[1], 3: texts[3], 4: texts[4]}
