@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import chat, decontaminate, fill_middle, html_extract, line_dedup, metric_topk, near_dedup, piece_codec, quality, repeats, sharding
+from memspark.llm import chat, decontaminate, fill_middle, html_extract, line_dedup, merkle, metric_topk, near_dedup, piece_codec, quality, repeats, sharding
 from memspark.llm.common import table
 
 TOKENIZERS = os.environ.get("MEMSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -60,6 +60,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_repeats": op9_repeats,
     "op10_html_extract": op10_html_extract,
+    "op11_merkle": op11_merkle,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -88,5 +93,6 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([z[1] * z[2] for z in
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10""",
     "op8_sharding": sharding.oracle(SHARD_BYTES),
+    "op11_merkle": merkle.oracle(),
     "op13_fill_middle": fill_middle.ORACLE,
 }
