@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import chat, decontaminate, fill_middle, html_extract, line_dedup, merkle, metric_topk, near_dedup, piece_codec, quality, repeats, sharding
+from memspark.llm import chat, decontaminate, fill_middle, html_extract, line_dedup, merkle, metric_topk, near_dedup, personal_data, piece_codec, quality, repeats, sharding
 from memspark.llm.common import table
 
 TOKENIZERS = os.environ.get("MEMSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -64,6 +64,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_html_extract": op10_html_extract,
     "op11_merkle": op11_merkle,
+    "op12_personal_data": op12_personal_data,
     "op13_fill_middle": op13_fill_middle,
 }
 
