@@ -90,7 +90,7 @@ def capture(events: DataFrame, seconds: float = 300, strict: bool = False) -> Ca
     # The same event sent twice has the same id. Only then the expensive columns: the dedup branch computes just its key.
     single = with_event_id(good.filter(F.col("hook_type") != "session_end")).dropDuplicates(["id"])
     ready = prepare(single, strict)
-    kept = dedup_window(ready, ["session_id", "dedup_key"], "ts", "id", seconds).filter("NOT is_duplicate")
+    kept = dedup_window(ready, ["session_id", "dedup_key"], "ts", "id", seconds, crowd=good).filter("NOT is_duplicate")
     observations = kept.select(
         "id", "session_id", "project", "hook_type", "tool_name", "tool_input", "tool_output", "user_prompt",
         "raw", "modality", "has_secrets", F.col("ts").alias("created_at"),

@@ -1,14 +1,17 @@
 """Timed holds on keys: rolling deduplication and lease replay, exact also for one very hot key.
 
 An event takes a free key and holds it for ``ttl``; events that meet a live hold are refused, unless they come from the
-holder itself, which renews. Which events win depends on all earlier ones of the key, so a plain fold would put a hot key
-into one task. Instead the time line of a key is cut into chunks of ``CHUNK_TTLS`` lifetimes:
+holder itself, which renews. If an event is granted, the next granted event of its key is known from it alone, so the
+granted events are those on the path of these steps from the key's first one.
 
-1. every (key, chunk) works out, for each event that could take the key first, the hold left at the chunk's end;
-2. per key those few rows are chained, which gives the hold each chunk starts with;
-3. every (key, chunk) replays its events from that hold.
+Keys of up to ``piece_rows`` events are whole frames. For larger keys no frame has more rows than that:
 
-Steps 1 and 3 shuffle by (key, chunk), step 2 sees only the summary of step 1.
+1. every event's step is found by sorting for the next event past its time and the next renewal and release;
+2. a key's events are cut into pieces of ``piece_rows`` by place, and each event's path is followed to where it leaves
+   its piece, which leaves only the events that some path enters a piece by;
+3. these jumps are doubled, round by round, and read back from the longest to the shortest: the entries on the path from
+   the key's first event, at most one for each piece;
+4. every piece follows the path on from its entry.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-CHUNK_TTLS = 16
-FRESH, OWN, FREED = 0, 1, 2  # rows of a chunk summary
-NEVER = np.iinfo(np.int64).max
+from memspark.operators.placing import next_values, rank_rows
+from memspark.runtime import cut_lineage
+
+#: The most events of one key in one frame.
+PIECE_ROWS = 50_000
 
 
 def _whole_groups(run: Callable[[pd.DataFrame], pd.DataFrame], by: list[str]) -> Callable:
@@ -54,202 +59,160 @@ def _text(values) -> pd.Series:
     return pd.Series(values, dtype=object)
 
 
-class _Chunks:
-    """Arrays over the events of many (key, chunk) groups, in (key, chunk, ts, id) order."""
-
-    def __init__(self, pdf: pd.DataFrame, ttl: int, length: int, holders: bool):
-        self.n = n = len(pdf)
-        self.index = np.arange(n)
-        key, chunk = pdf["key"].to_numpy(), pdf["chunk"].to_numpy()
-        start = np.ones(n, dtype=bool)
-        start[1:] = (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])
-        self.first = np.flatnonzero(start)
-        self.group = np.cumsum(start) - 1
-        self.end = np.append(self.first[1:], n)[self.group]
-        self.origin = chunk.astype(np.int64) * length
-        self.ts = pdf["ts"].to_numpy().astype(np.int64)
-        self.since = self.ts - self.origin
-        self.ttl = ttl
-        # One increasing axis over all groups, with a ttl of room between them.
-        self.span = length + ttl + 1
-        self.axis = self.group * self.span + self.since
-        self.takes = pdf["takes"].to_numpy().astype(bool)
-        self.holders = holders
-        taken = np.flatnonzero(self.takes)
-        # Next event at or after a position that can take the key, within the group.
-        self.next_take = np.full(n + 1, n)
-        if len(taken):
-            at = np.searchsorted(taken, np.arange(n + 1))
-            self.next_take = np.where(at < len(taken), taken[np.minimum(at, len(taken) - 1)], n)
-        expiry = np.searchsorted(self.axis, self.axis + ttl, side="left")
-        self.freed = np.full(n, n)
-        follow = np.full(n, n)
-        if holders:
-            holder = pdf["holder"].fillna("").to_numpy()
-            self.holder = holder
-            self.owner = pd.factorize(pd.Series(self.group).astype(str) + "\u0001" + pd.Series(holder))[0].astype(np.int64)
-            follow = self._next_of(taken, self.owner, self.owner)
-            releases = np.flatnonzero(~self.takes)
-            own = self._next_of(releases, self.owner, self.owner)
-            forced = self._next_of(releases[holder[releases] == ""], self.group, self.group)
-            self.freed = np.minimum(own, forced)
-        cut = np.minimum(np.minimum(expiry, self.freed + 1), self.end)
-        other = self.next_take[cut]
-        step = np.where(follow < cut, follow, other)
-        self.step = np.where(step < self.end, step, n)
-        self.expires = np.where(self.freed < expiry, 0, self.ts + ttl)
-
-    def _next_of(self, targets: np.ndarray, target_code: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """For each event the next later target with the same code, or n."""
-        if not len(targets):
-            return np.full(self.n, self.n)
-        width = self.n + 1
-        packed = np.sort(target_code[targets] * width + targets)
-        at = np.searchsorted(packed, code * width + self.index, side="right")
-        hit = packed[np.minimum(at, len(packed) - 1)]
-        same = (at < len(packed)) & (hit // width == code)
-        return np.where(same, hit % width, self.n)
-
-    def last(self) -> np.ndarray:
-        """The final link of the chain that starts at each event."""
-        jump = np.where(self.step < self.n, self.step, self.index)
-        while True:
-            further = jump[jump]
-            if np.array_equal(further, jump):
-                return jump
-            jump = further
-
-
-def _summarise(ttl: int, length: int, holders: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = _Chunks(pdf, ttl, length, holders)
-        last = c.last()
-        zone = c.since < ttl
-        # Events that may take the key first: those of the first lifetime and the one after.
-        late = np.searchsorted(c.axis, c.group[c.first] * c.span + ttl, side="left")
-        late = c.next_take[np.minimum(late, c.n)]
-        may = c.takes & zone
-        late = late[late < np.append(c.first[1:], c.n)]
-        may[late] = True
-        rows = np.flatnonzero(may)
-        if len(rows):
-            # Neighbours that lead to the same end are one row, the last of them.
-            keep = np.ones(len(rows), dtype=bool)
-            keep[:-1] = (c.group[rows[1:]] != c.group[rows[:-1]]) | (last[rows[1:]] != last[rows[:-1]])
-            rows = rows[keep]
-        kinds, picks = [np.full(len(rows), FRESH)], [rows]
-        if holders:
-            for kind, mask in ((OWN, c.takes & zone), (FREED, ~c.takes & zone)):
-                at = np.flatnonzero(mask)
-                at = at[np.unique(c.owner[at], return_index=True)[1]]
-                kinds.append(np.full(len(at), kind))
-                picks.append(at)
-        pick = np.concatenate(picks)
-        end = last[pick]
-        empty = np.full(len(pick), "", dtype=object)
-        return pd.DataFrame(
-            {
-                "key": _text(pdf["key"].to_numpy()[pick]),
-                "chunk": pdf["chunk"].to_numpy()[pick],
-                "kind": np.concatenate(kinds).astype(np.int32),
-                "pos": (pick - c.first[c.group[pick]]).astype(np.int64),
-                "ts": c.ts[pick],
-                "holder": _text(c.holder[pick] if holders else empty),
-                "end_holder": _text(c.holder[end] if holders else empty),
-                "end_expires": c.expires[end],
-            }
-        )
-
-    return run
-
-
-def _enter(kind, pos, ts, holder, carried: str, expires: int, holders: bool) -> tuple[int, bool]:
-    """Row of the chunk summary that takes the key first under a carried hold (-1: none), and whether the hold was freed."""
-    freed_at = NEVER
-    if holders:
-        free = np.flatnonzero((kind == FREED) & ((holder == carried) | (holder == "")) & (ts < expires))
-        if len(free):
-            freed_at = pos[free].min()
-        own = np.flatnonzero((kind == OWN) & (holder == carried) & (ts < expires) & (pos < freed_at))
-        if len(own):
-            return int(own[np.argmin(pos[own])]), False
-    fresh = np.flatnonzero((kind == FRESH) & ((ts >= expires) | (pos > freed_at)))
-    return (int(fresh[np.argmin(pos[fresh])]) if len(fresh) else -1), freed_at < NEVER
-
-
-def _chain(ttl: int, length: int, holders: bool):
-    """Per key: the live hold every chunk starts with."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, chunk = pdf["key"].to_numpy(), pdf["chunk"].to_numpy().astype(np.int64)
-        kind, pos, ts = (pdf[c].to_numpy() for c in ("kind", "pos", "ts"))
-        holder, end_holder, end_expires = (pdf[c].to_numpy() for c in ("holder", "end_holder", "end_expires"))
-        new = np.ones(len(pdf), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])
-        first = np.flatnonzero(new)
-        stop = np.append(first[1:], len(pdf))
-        out, state, before = [], ("", 0), None
-        for a, b in zip(first, stop):
-            # A hold never outlives the chunk after its own.
-            joined = before is not None and key[before] == key[a] and chunk[before] + 1 == chunk[a]
-            carried, expires = state if joined else ("", 0)
-            opened = chunk[a] * length
-            if expires > opened:
-                out.append((key[a], chunk[a], carried, expires))
-                row, freed = _enter(kind[a:b], pos[a:b], ts[a:b], holder[a:b], carried, expires, holders)
-                if row >= 0:
-                    state = (end_holder[a + row], end_expires[a + row])
-                elif freed:
-                    state = ("", 0)
-            else:
-                fresh = np.flatnonzero(kind[a:b] == FRESH)
-                if len(fresh):
-                    row = a + fresh[np.argmin(pos[a:b][fresh])]
-                    state = (end_holder[row], end_expires[row])
-                else:
-                    state = ("", 0)
-            before = a
-        keys, chunks, names, ends = zip(*out) if out else ((), (), (), ())
-        return pd.DataFrame(
-            {"key": _text(keys), "chunk": np.array(chunks, dtype=np.int64), "holder": _text(names), "expires": np.array(ends, dtype=np.int64)}
+def _next_of(n: int, targets: np.ndarray, target_code: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each of n events the next later target with the same code, or n."""
+    if not len(targets):
+        return np.full(n, n)
+    width = n + 1
+    packed = np.sort(target_code[targets] * width + targets)
+    at = np.searchsorted(packed, code * width + np.arange(n), side="right")
+    hit = packed[np.minimum(at, len(packed) - 1)]
+    return np.where((at < len(packed)) & (hit // width == code), hit % width, n)
+
+
+def _steps(ts: np.ndarray, takes: np.ndarray, holder: np.ndarray | None, start: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over events of whole keys in time order: the next event granted if this one is (n: none), and each key's first one."""
+    n = len(ts)
+    first = np.flatnonzero(start)
+    group = np.cumsum(start) - 1
+    end = np.append(first[1:], n)
+    # One increasing axis over all keys; gaps count up to a lifetime.
+    gap = np.minimum(np.diff(ts, prepend=ts[0]), ttl)
+    axis = np.cumsum(np.where(start, ttl, gap))
+    taken = np.flatnonzero(takes)
+    next_take = np.full(n + 1, n)
+    if len(taken):
+        at = np.searchsorted(taken, np.arange(n + 1))
+        next_take = np.where(at < len(taken), taken[np.minimum(at, len(taken) - 1)], n)
+    cut = np.searchsorted(axis, axis + ttl, side="left")
+    follow = np.full(n, n)
+    if holder is not None:
+        owner = pd.factorize(pd.Series(group).astype(str) + "\u0001" + pd.Series(holder))[0].astype(np.int64)
+        follow = _next_of(n, taken, owner, owner)
+        releases = np.flatnonzero(~takes)
+        freed = np.minimum(_next_of(n, releases, owner, owner), _next_of(n, releases[holder[releases] == ""], group, group))
+        cut = np.minimum(cut, freed + 1)
+    cut = np.minimum(cut, end[group])
+    step = np.where(follow < cut, follow, next_take[cut])
+    entry = next_take[first]
+    return np.where(step < end[group], step, n), entry[entry < end]
+
+
+def _granted(step: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """All events on the paths from these."""
+    out = np.zeros(len(step), dtype=bool)
+    while len(at):
+        out[at] = True
+        at = step[at]
+        at = at[at < len(step)]
+    return out
+
+
+def _ids(events: pd.DataFrame) -> pd.Series:
+    return events["id"] if pd.api.types.is_integer_dtype(events["id"]) else _text(events["id"].to_numpy())
+
+
+def _replay(ttl: int, holders: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(events: pd.DataFrame) -> pd.DataFrame:
+        key = events["key"].to_numpy()
+        start = np.ones(len(events), dtype=bool)
+        start[1:] = key[1:] != key[:-1]
+        step, entry = _steps(
+            events["ts"].to_numpy().astype(np.int64), events["takes"].to_numpy().astype(bool), events["holder"].to_numpy() if holders else None, start, ttl
         )
+        return pd.DataFrame({"id": _ids(events), "granted": _granted(step, entry)})
 
     return run
 
 
-def _replay(ttl: int, length: int, holders: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_carry = pdf["carry"].to_numpy().astype(bool)
-        carry, events = pdf[is_carry], pdf[~is_carry].reset_index(drop=True)
-        if events.empty:
-            return pd.DataFrame({"id": _text([]), "granted": np.zeros(0, dtype=bool)})
-        c = _Chunks(events, ttl, length, holders)
-        stops = np.append(c.first[1:], c.n)
-        entry = c.next_take[c.first].copy()
-        if len(carry):
-            names = {(k, ch): g for g, (k, ch) in enumerate(zip(events["key"].to_numpy()[c.first], events["chunk"].to_numpy()[c.first]))}
-            for k, ch, h, expires in zip(carry["key"], carry["chunk"], carry["holder"], carry["expires"]):
-                g = names[(k, ch)]
-                a, b = c.first[g], stops[g]
-                cut = a + int(np.searchsorted(c.ts[a:b], expires, side="left"))
-                if holders:
-                    free = np.flatnonzero(~c.takes[a:cut] & ((c.holder[a:cut] == h) | (c.holder[a:cut] == "")))
-                    cut = min(cut, a + int(free[0]) + 1) if len(free) else cut
-                    own = np.flatnonzero(c.takes[a:cut] & (c.holder[a:cut] == h))
-                    if len(own):
-                        entry[g] = a + own[0]
-                        continue
-                entry[g] = c.next_take[cut]
-        granted = np.zeros(c.n, dtype=bool)
-        at = entry[entry < stops]
-        while len(at):
-            granted[at] = True
-            at = c.step[at]
-            at = at[at < c.n]
-        ids = events["id"] if pd.api.types.is_integer_dtype(events["id"]) else _text(events["id"].to_numpy())
-        return pd.DataFrame({"id": ids, "granted": granted})
-
-    return run
+def _local(events: pd.DataFrame) -> np.ndarray:
+    """Steps within a frame of pieces (key, piece), in order of place; n where a path leaves the piece or ends."""
+    n = len(events)
+    key, piece, pos = events["key"].to_numpy(), events["piece"].to_numpy(), events["pos"].to_numpy().astype(np.int64)
+    start = np.ones(n, dtype=bool)
+    start[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
+    first = np.flatnonzero(start)
+    group = np.cumsum(start) - 1
+    to = np.where(events["has_step"].to_numpy(), events["step"].to_numpy().astype(np.int64), -1)
+    # A piece has every place from its first to its last.
+    at = first[group] + to - pos[first][group]
+    return np.where((to >= 0) & (at < np.append(first[1:], n)[group]), at, n)
+
+
+def _leave(events: pd.DataFrame) -> pd.DataFrame:
+    """Where the path from each event leaves its piece (-1: it ends there)."""
+    n, step = len(events), _local(events)
+    last = np.where(step < n, step, np.arange(n))
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    to = np.where(events["has_step"].to_numpy()[last], events["step"].to_numpy().astype(np.int64)[last], -1)
+    out = pd.DataFrame({"key": _text(events["key"].to_numpy()), "pos": events["pos"].to_numpy(), "to": to})
+    return out[events["takes"].to_numpy().astype(bool)]
+
+
+def _follow(events: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"id": _ids(events), "granted": _granted(_local(events), np.flatnonzero(events["entered"].to_numpy()))})
+
+
+def _stepped(slim: DataFrame, ttl: int, holders: bool) -> DataFrame:
+    """Events with their place in their key (pos) and the place of the event that is granted next if they are (step)."""
+    rows = cut_lineage(rank_rows(slim, "key", ["ts", "id"]))
+    # Each event looks for the first one at the end of its hold or later; among equal times, the looks come before.
+    takes = F.when(F.col("takes"), F.col("pos"))
+    looks = rows.filter("takes").select("key", (F.col("ts") + ttl).alias("time"), F.lit(0).alias("turn"), "pos", F.lit(None).cast("bigint").alias("take"))
+    seen = rows.select("key", F.col("ts").alias("time"), F.lit(1).alias("turn"), "pos", takes.alias("take"))
+    ahead = next_values(looks.unionByName(seen), "key", ["time", "turn", "pos"], ["take"])
+    rows = rows.join(ahead.filter("turn = 0").select("key", "pos", F.col("next_take").alias("later")), ["key", "pos"], "left")
+    if not holders:
+        return rows.withColumnRenamed("later", "step")
+    rows = rows.join(ahead.filter("turn = 1").select("key", "pos", F.col("next_take").alias("after")), ["key", "pos"])
+    place = F.struct("pos", "ts", "after")
+    marked = rows.withColumns(
+        {
+            "release": F.when(~F.col("takes"), place),
+            "forced": F.when(~F.col("takes") & (F.col("holder") == ""), place),
+            "again": F.when(F.col("takes"), place),
+            "owner": F.concat_ws("\u0001", "key", "holder"),
+        }
+    )
+    own = next_values(marked, "owner", ["pos"], ["release", "again"]).drop("release", "again", "owner")
+    found = next_values(own, "key", ["pos"], ["forced"])
+    end = F.col("ts") + ttl
+    freed = F.least("next_release", "next_forced")  # by place
+    renewed = (F.col("next_again.ts") < end) & (freed.isNull() | (F.col("next_again.pos") < freed["pos"]))
+    step = F.when(renewed, F.col("next_again.pos")).when(freed["ts"] < end, freed["after"]).otherwise(F.col("later"))
+    return found.withColumn("step", F.when(F.col("takes"), step)).select(*slim.columns, "pos", "step")
+
+
+def _path(exits: DataFrame, heads: DataFrame) -> DataFrame:
+    """The entries (key, pos) on the path from the heads along exits(key, pos, to)."""
+    entries = exits.filter("to >= 0").select("key", F.col("to").alias("pos")).union(heads).distinct()
+    jumps, levels = cut_lineage(exits.filter("to >= 0").join(entries, ["key", "pos"])), []
+    while not jumps.isEmpty():
+        levels.append(jumps)
+        further = jumps.select("key", F.col("pos").alias("to"), F.col("to").alias("end"))
+        jumps = cut_lineage(jumps.join(further, ["key", "to"]).select("key", "pos", F.col("end").alias("to")))
+    # From jumps over 2 ** k pieces to jumps over one.
+    reached = heads
+    for jumps in reversed(levels):
+        reached = cut_lineage(reached.union(reached.join(jumps, ["key", "pos"]).select("key", F.col("to").alias("pos"))))
+    return reached
+
+
+def _replay_pieces(slim: DataFrame, ttl: int, holders: bool, rows: int, schema: str) -> DataFrame:
+    stepped = _stepped(slim, ttl, holders).withColumns({"piece": F.expr(f"pos div {rows}"), "has_step": F.col("step").isNotNull(), "step": F.coalesce("step", F.lit(-1))})
+    stepped = cut_lineage(stepped.drop("ts", "holder"))
+
+    def by_piece(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], out: str) -> DataFrame:
+        return df.repartition("key", "piece").sortWithinPartitions("key", "piece", "pos").mapInPandas(_whole_groups(run, ["key", "piece"]), out)
+
+    exits = cut_lineage(by_piece(stepped, _leave, "key string, pos bigint, `to` bigint"))
+    heads = stepped.filter("takes").groupBy("key").agg(F.min("pos").alias("pos"))
+    entered = _path(exits, heads).withColumn("entered", F.lit(True))
+    return by_piece(stepped.join(entered, ["key", "pos"], "left").fillna(False, ["entered"]), _follow, schema)
 
 
 def replay_holds(
@@ -260,54 +223,45 @@ def replay_holds(
     ttl_seconds: float,
     holder: Column | None = None,
     takes: Column | None = None,
-    chunk_ttls: int = CHUNK_TTLS,
+    piece_rows: int = PIECE_ROWS,
+    crowd: DataFrame | None = None,
 ) -> DataFrame:
     """(id, granted) of every event. Equal times are ordered by id. Rows with ``takes`` false release the holder's hold
-    (an empty holder releases anyone's)."""
+    (an empty holder releases anyone's). ``crowd``, where events are dear to compute, is a table that they come from: it
+    has the columns of the first key and as many rows for it or more."""
     ttl = int(ttl_seconds * 1_000_000)
-    length = ttl * chunk_ttls
     holders = holder is not None
-    key = F.concat_ws("\u0001", *[F.coalesce(k.cast("string"), F.lit("\u0002")) for k in keys])
-    micros = F.unix_micros(ts)
     slim = events.select(
-        key.alias("key"),
-        F.floor(micros / F.lit(length)).cast("bigint").alias("chunk"),
-        micros.alias("ts"),
+        F.concat_ws("\u0001", *[F.coalesce(k.cast("string"), F.lit("\u0002")) for k in keys]).alias("key"),
+        F.unix_micros(ts).alias("ts"),
         event_id.alias("id"),
         (F.coalesce(holder, F.lit("")) if holders else F.lit("")).alias("holder"),
         (F.coalesce(takes, F.lit(True)) if takes is not None else F.lit(True)).alias("takes"),
     )
-    id_type = dict(slim.dtypes)["id"]
-    order = ["key", "chunk", "ts", "id"]
-    summary = (
-        slim.repartition("key", "chunk")
-        .sortWithinPartitions(*order)
-        .mapInPandas(
-            _whole_groups(_summarise(ttl, length, holders), ["key", "chunk"]),
-            "key string, chunk bigint, kind int, pos bigint, ts bigint, holder string, end_holder string, end_expires bigint",
-        )
-    )
-    carried = (
-        summary.repartition("key")
-        .sortWithinPartitions("key", "chunk", "kind", "pos")
-        .mapInPandas(_whole_groups(_chain(ttl, length, holders), ["key"]), "key string, chunk bigint, holder string, expires bigint")
-    )
-    # A filler id, not null: a null would turn whole-number ids into floats on the way to pandas.
-    carry_rows = carried.select(
-        "key", "chunk", F.lit(-(2**62)).cast("bigint").alias("ts"), F.lit(0).cast(id_type).alias("id"), "holder",
-        F.lit(False).alias("takes"), F.lit(True).alias("carry"), "expires",
-    )
-    all_rows = slim.withColumns({"carry": F.lit(False), "expires": F.lit(0).cast("bigint")}).unionByName(carry_rows)
-    return (
-        all_rows.repartition("key", "chunk")
-        .sortWithinPartitions(*order)
-        .mapInPandas(_whole_groups(_replay(ttl, length, holders), ["key", "chunk"]), f"id {id_type}, granted boolean")
-    )
-
-
-def dedup_window(events: DataFrame, keys: list[str], ts: str, event_id: str, seconds: float = 300) -> DataFrame:
+    schema = f"id {dict(slim.dtypes)['id']}, granted boolean"
+    # Keys may be dear to compute: none is large if no group by the first of them is.
+    crowded = [(events if crowd is None else crowd).select(keys[0].alias("key")), slim]
+    large = None
+    for rows in crowded:
+        large = rows.groupBy("key").count().filter(F.col("count") > piece_rows).select("key")
+        if large.isEmpty():
+            large = None
+            break
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(_whole_groups(_replay(ttl, holders), ["key"]), schema)
+
+    if large is None:
+        return whole(slim)
+    # Fewer keys than events by piece_rows.
+    large, slim = cut_lineage(large), cut_lineage(slim)
+    pieces = _replay_pieces(slim.join(large, "key", "left_semi"), ttl, holders, piece_rows, schema)
+    return whole(slim.join(large, "key", "left_anti")).unionByName(pieces)
+
+
+def dedup_window(events: DataFrame, keys: list[str], ts: str, event_id: str, seconds: float = 300, crowd: DataFrame | None = None) -> DataFrame:
     """Add ``is_duplicate``: true within ``seconds`` of the first event of a run of its key; repeats do not extend the run."""
-    verdict = replay_holds(events, [F.col(k) for k in keys], F.col(ts), F.col(event_id), seconds)
+    verdict = replay_holds(events, [F.col(k) for k in keys], F.col(ts), F.col(event_id), seconds, crowd=crowd)
     return events.join(verdict.select(F.col("id").alias(event_id), (~F.col("granted")).alias("is_duplicate")), event_id)
 
 

@@ -68,13 +68,13 @@ def bm25_search(queries: DataFrame, index: KeywordIndex, k1: float = 1.2, b: flo
 QUERY_BLOCK, DOCUMENT_BLOCK = 512, 4096
 
 
-def _packed(batches: Iterator[pd.DataFrame], salts: int) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pd.DataFrame], salts: int, block: int) -> Iterator[pd.DataFrame]:
     """Document rows as blocks of one vector size, with the vectors as one array of doubles."""
     n = TaskContext.get().partitionId()
     for batch in batches:
         for dim, part in batch.groupby("dim"):
-            for start in range(0, len(part), DOCUMENT_BLOCK):
-                rows = part.iloc[start : start + DOCUMENT_BLOCK]
+            for start in range(0, len(part), block):
+                rows = part.iloc[start : start + block]
                 n += 1
                 vectors = np.concatenate([np.asarray(x, np.float64) for x in rows["embedding"]])
                 yield pd.DataFrame({"dim": [dim], "salt": [n % salts], "ids": [rows["doc_id"].to_list()], "projects": [rows["project"].to_list()], "packed": [vectors.tobytes()]})
@@ -107,7 +107,9 @@ def _score_tiles(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFra
                 yield pd.DataFrame({"query_id": out_q, "doc_id": out_d, "score": out_s})
 
 
-def vector_search(query_vectors: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
+def vector_search(
+    query_vectors: DataFrame, vectors: DataFrame, limit: int = 10, query_block: int = QUERY_BLOCK, document_block: int = DOCUMENT_BLOCK
+) -> DataFrame:
     """Exact cosine top-k. ``query_vectors(query_id, project, embedding)``, ``vectors(doc_id, project, embedding)``.
 
     Queries and documents are packed into blocks of one vector size; every block of queries meets every block of documents
@@ -119,12 +121,12 @@ def vector_search(query_vectors: DataFrame, vectors: DataFrame, limit: int = 10)
     salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.row_number().over(W.partitionBy("dim", "lane").orderBy("query_id"))
     # Lanes bound what is numbered together; each lane is cut into blocks.
-    placed = queries.withColumns({"dim": F.size("embedding"), "lane": F.pmod(F.xxhash64("query_id"), F.lit(salts))}).withColumn("block", F.floor((place - 1) / QUERY_BLOCK))
+    placed = queries.withColumns({"dim": F.size("embedding"), "lane": F.pmod(F.xxhash64("query_id"), F.lit(salts))}).withColumn("block", F.floor((place - 1) / query_block))
     blocks = placed.groupBy("dim", "lane", "block").agg(F.collect_list(F.struct("query_id", "project", "embedding")).alias("queries"))
     spread = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "queries")
     kind = dict(vectors.dtypes)["doc_id"]
     slim = vectors.select(F.size("embedding").alias("dim"), "doc_id", F.coalesce("project", F.lit("")).alias("project"), "embedding").filter("dim > 0")
-    packed = slim.mapInPandas(lambda it: _packed(it, salts), f"dim int, salt int, ids array<{kind}>, projects array<string>, packed binary")
+    packed = slim.mapInPandas(lambda it: _packed(it, salts, document_block), f"dim int, salt int, ids array<{kind}>, projects array<string>, packed binary")
     tiles = packed.join(spread, ["dim", "salt"]).drop("salt", "dim")
     schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {kind}, score double"
     return ranked(tiles.mapInPandas(lambda it: _score_tiles(it, limit), schema), limit)

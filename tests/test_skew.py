@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from memspark.operators import duplicates as dup, holds, views as vw
+from memspark.operators import duplicates as dup, holds, placing, views as vw
 from memspark.operators.graph import bfs, neighbours
 from memspark.operators.matching import substring_pairs
 from memspark.operators.ranking import top_per_group
@@ -44,8 +44,8 @@ def test_holds(spark, seed, span):
         [(i, k, h, BASE + dt.timedelta(seconds=t), op) for i, k, h, t, op in rows], "event_id long, action_id string, holder_id string, ts timestamp, op string"
     )
     want, _ = brute_holds(rows, 50, True)
-    for chunk in (2, 16):
-        got = holds.replay_holds(df, [F.col("action_id")], F.col("ts"), F.col("event_id"), 50, F.col("holder_id"), F.col("op") == "acquire", chunk)
+    for rows_of_piece in (20, 100_000):
+        got = holds.replay_holds(df, [F.col("action_id")], F.col("ts"), F.col("event_id"), 50, F.col("holder_id"), F.col("op") == "acquire", rows_of_piece)
         assert {r.id: r.granted for r in got.collect() if r.id in want} == want
     want, _ = brute_holds([(*r[:4], "acquire") for r in rows], 50, False)
     got = holds.dedup_window(df, ["action_id"], "ts", "event_id", 50)
@@ -56,6 +56,45 @@ def test_holds(spark, seed, span):
     assert {r.action_id: r.holder_id for r in live.collect()} == {k: s[0] for k, s in state.items() if s and s[1] > at}
 
 
+@pytest.mark.parametrize("ttl,holders", [(100_000, False), (700, False), (100_000, True), (700, True)])
+def test_holds_of_a_burst_stay_in_pieces(spark, ttl, holders):
+    """One key, many events within one lifetime or a few, much more than a piece."""
+    rnd = random.Random(ttl)
+    rows = [(i, "hot", rnd.choice("abc") if rnd.random() < 0.97 else "", rnd.randrange(5000), "release" if rnd.random() < 0.05 else "acquire") for i in range(4000)]
+    rows = [r for r in rows if r[2] or r[4] == "release"] if holders else [(*r[:4], "acquire") for r in rows]
+    df = spark.createDataFrame(
+        [(i, k, h, BASE + dt.timedelta(seconds=t), op) for i, k, h, t, op in rows], "event_id long, action_id string, holder_id string, ts timestamp, op string"
+    ).repartition(5)
+    want, _ = brute_holds(rows, ttl, holders)
+    who = (F.col("holder_id"), F.col("op") == "acquire") if holders else (None, None)
+    got = holds.replay_holds(df, [F.col("action_id")], F.col("ts"), F.col("event_id"), ttl, *who, 64)
+    assert {r.id: r.granted for r in got.collect() if r.id in want} == want
+    slim = df.select(F.col("action_id").alias("key"), F.unix_micros("ts").alias("ts"), F.col("event_id").alias("id"), F.col("holder_id").alias("holder"), (F.col("op") == "acquire").alias("takes"))
+    places = holds._stepped(slim, ttl * 1_000_000, holders).select("pos").collect()
+    assert sorted(r.pos for r in places) == list(range(len(rows)))
+
+
+def test_next_values_and_places(spark):
+    rnd = random.Random(1)
+    rows = [("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(9)}", i, i if rnd.random() < 0.02 else None, (i, "x") if rnd.random() < 0.3 else None) for i in range(2000)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t long, a long, b struct<p:long,q:string>").repartition(6)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "37")
+    try:
+        got = {r.t: r for r in placing.next_values(df, "k", ["t"], ["a", "b"]).collect()}
+        place = {r.t: r.pos for r in placing.rank_rows(df, "k", ["t"]).collect()}
+    finally:
+        spark.conf.set(size, old)
+    for k in {r[0] for r in rows}:
+        a = b = None
+        group = sorted((r for r in rows if r[0] == k), key=lambda r: r[1])
+        for i, (_, t, own_a, own_b) in reversed(list(enumerate(group))):
+            assert (got[t].next_a, got[t].next_b and tuple(got[t].next_b), place[t]) == (a, b, i)
+            a, b = own_a if own_a is not None else a, own_b or b
+
+
 def test_dedup_literals(spark):
     rows = [(1, "s1", 0), (2, "s1", 299), (3, "s1", 300), (4, "s2", 10), (5, "s1", 599), (6, "s1", 600)]
     df = spark.createDataFrame([(i, s, BASE + dt.timedelta(seconds=t)) for i, s, t in rows], "id long, s string, ts timestamp")
@@ -164,9 +203,9 @@ def test_vector_search_passes_and_ties(spark):
     for i, p, e in qs:
         hits = sorted((-score(e, v), n) for n, dp, v in docs if len(v) == 3 and p in ("", dp))[:5]
         want[i] = [(n, -s + 0.0) for s, n in hits]
-    for budget in (1 << 20, 64):
+    for blocks in ((512, 4096), (3, 16)):
         got = {}
-        for r in vector_search(q, d, 5, budget).orderBy("query_id", "rank").collect():
+        for r in vector_search(q, d, 5, *blocks).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.doc_id, r.score))
         assert got == want
 
