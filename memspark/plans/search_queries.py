@@ -11,6 +11,7 @@ from memspark.functions.vectors import hash_embedding, hash_embedding_sparse
 from memspark.operators.graph import bfs, graph_search, match_entities, neighbours
 from memspark.operators.index import build_keyword_index, corpus_stats, delete_documents, read_for_queries, term_frequencies, upsert_keyword_index, write_keyword_index
 from memspark.operators.search import bm25_search, diversity_cap, hybrid_search, hydrate, rrf_fuse, vector_search
+from memspark.operators.vector_index import change_vector_index, search_stored_vectors, write_vector_index
 from memspark.plans import oracle_text as o
 from memspark.plans.registry import View, query
 from memspark.runtime import ensure_checkpoint_dir
@@ -111,6 +112,31 @@ def vector_topk(v: View) -> DataFrame:
     return vector_search(v("query_vectors"), v("vectors")).select(*HITS)
 
 
+def stored_vectors(v: View) -> str:
+    vectors = v("vectors")
+    path = f"{ensure_checkpoint_dir(vectors.sparkSession)}/memspark-vectors-{uuid.uuid4().hex}"
+    write_vector_index(vectors, path, "local")
+    return path
+
+
+@query("vector_stored_topk", ["query_vectors", "vectors"], f"WITH {o.vector('query_vectors', 'vectors', 10)} SELECT query_id, doc_id, score, rank FROM vector_hits")
+def vector_stored_topk(v: View) -> DataFrame:
+    return search_stored_vectors(v("query_vectors"), stored_vectors(v), "local").select(*HITS)
+
+
+_MOVED = """(SELECT doc_id, project, CASE WHEN doc_id LIKE '%3' THEN [-x for x in embedding] ELSE embedding END AS embedding
+             FROM vectors WHERE doc_id NOT LIKE '%7')"""
+
+
+@query("vector_index_change", ["query_vectors", "vectors"], f"WITH {o.vector('query_vectors', _MOVED, 10)} SELECT query_id, doc_id, score, rank FROM vector_hits")
+def vector_index_change(v: View) -> DataFrame:
+    """Ids that end in 3 get the opposite vector, those that end in 7 go."""
+    path, vectors = stored_vectors(v), v("vectors")
+    moved = vectors.filter("doc_id LIKE '%3'").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    change_vector_index(vectors.sparkSession, path, "local", moved, vectors.filter("doc_id LIKE '%7'").select("doc_id"))
+    return search_stored_vectors(v("query_vectors"), path, "local").select(*HITS)
+
+
 _SIZES = "SELECT {id}, '' AS project, list_slice(embedding, 1, 4 + CAST(vec_id % 3 AS INTEGER)) AS embedding FROM embeddings"
 
 

@@ -11,12 +11,12 @@ PYTHON = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInP
 # Exact replay of holds, exact vector scan and the BLAKE2b embedder.
 PYTHON_QUERIES = {
     "vector_topk", "vector_mixed_sizes", "rrf_fuse", "diversity_cap", "hybrid_search", "smart_search", "hash_embed", "dedup_window", "dedup_window_default",
-    "dedup_counters", "capture_observations", "lease_replay", "lease_live",
+    "dedup_counters", "capture_observations", "lease_replay", "lease_live", "vector_stored_topk", "vector_index_change",
 }
 
 
 # Made of the engines and traversals tested by name here; they write intermediate tables, so planning them takes a run.
-EAGER = {"rrf_fuse", "smart_search", "graph_bfs", "bm25_stored_topk"}
+EAGER = {"rrf_fuse", "smart_search", "graph_bfs", "bm25_stored_topk", "vector_stored_topk", "vector_index_change"}
 
 
 def test_registered_plans(spark, sf_dir):
