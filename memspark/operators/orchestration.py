@@ -30,10 +30,14 @@ def crystallize_lines(groups: DataFrame, actions: DataFrame) -> DataFrame:
     return groups.join(actions.select(F.col("id").alias("action_id"), "project", "title"), "action_id").select("group_id", "project", "pos", "action_id", "title")
 
 
-def crystallize(groups: DataFrame, actions: DataFrame, shown: int | None = None) -> DataFrame:
+SHOWN = 100
+
+
+def crystallize(groups: DataFrame, actions: DataFrame, shown: int | None = SHOWN) -> DataFrame:
     """``groups(group_id, action_id, pos)`` -> one completed summary action per group; unknown ids are skipped.
 
-    The description lists the titles of the first ``shown`` actions, all if None; ``crystallize_lines`` has them in long form.
+    The description lists the titles of the first ``shown`` actions, so that a row doesn't grow with its group; None lists
+    all, for groups known to be small. ``crystallize_lines`` has all in long form.
     """
     titled = crystallize_lines(groups, actions)
     if shown is not None:

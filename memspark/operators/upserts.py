@@ -30,22 +30,31 @@ def ensure_users(users: DataFrame, seen: DataFrame) -> DataFrame:
     return users.unionByName(new.join(users.select("identifier"), "identifier", "left_anti"), allowMissingColumns=True)
 
 
+COPIES = 1000
+
+
 def remember(memories: DataFrame, new: DataFrame, now) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``new(project, type, title, content, tier, strength)`` -> (memories, hints about similar ones, rejected).
 
     Defaults: type fact, tier semantic, a title from the first words, strength 1 for 0 or less. Content is required.
+    Equal rows of one call are memories of their own; the same call again adds none.
     """
     text = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), default)
     at = F.lit(now).cast("timestamp")
     valid = F.coalesce("content", F.lit("")) != ""
     rows = new.filter(valid).select(
-        stable_id("mem", F.col("project"), F.col("content"), F.col("title"), at).alias("id"), F.coalesce("project", F.lit("")).alias("project"),
-        text("type", F.lit("fact")).alias("type"), text("tier", F.lit("semantic")).alias("tier"),
+        F.coalesce("project", F.lit("")).alias("project"), text("type", F.lit("fact")).alias("type"), text("tier", F.lit("semantic")).alias("tier"),
         text("title", auto_title(F.col("content"))).alias("title"), "content",
         F.when(F.coalesce("strength", F.lit(0.0)) <= 0, 1.0).otherwise(F.col("strength")).alias("strength"),
-        F.lit(True).alias("is_latest"), at.alias("created_at"), at.alias("updated_at"),
     )
-    fresh = rows.dropDuplicates(["id"]).join(memories.select("id"), "id", "left_anti")
+    given = ["project", "type", "tier", "title", "content", "strength"]
+    # Equal rows are told apart by a number, in two steps so that no array grows with their count.
+    counted = rows.groupBy(*given).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = counted.withColumn("__block", F.explode(F.expr(f"sequence(0L, (__n - 1) div {COPIES})")))
+    copies = blocks.withColumn("__copy", F.explode(F.expr(f"sequence(__block * {COPIES}, least(__n, (__block + 1) * {COPIES}) - 1)")))
+    named = stable_id("mem", F.col("project"), F.col("content"), F.col("title"), at, *[F.col(c) for c in ("type", "tier", "strength", "__copy")])
+    rows = copies.select(named.alias("id"), *given, F.lit(True).alias("is_latest"), at.alias("created_at"), at.alias("updated_at"))
+    fresh = rows.join(memories.select("id"), "id", "left_anti")
     return memories.unionByName(fresh, allowMissingColumns=True), similar_memories(rows, memories), new.filter(~valid)
 
 

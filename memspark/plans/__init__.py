@@ -14,4 +14,4 @@ def load_registry():
     return REGISTRY
 
 
-MODULES = ("search_queries", "capture_queries", "graph_queries", "session_queries", "store_queries")
+MODULES = ("search_queries", "capture_queries", "graph_queries", "session_queries", "store_queries", "upkeep_queries")

@@ -137,19 +137,20 @@ def vector_index_change(v: View) -> DataFrame:
     return search_stored_vectors(v("query_vectors"), path, "local").select(*HITS)
 
 
-_SIZES = "SELECT {id}, '' AS project, list_slice(embedding, 1, 4 + CAST(vec_id % 3 AS INTEGER)) AS embedding FROM embeddings"
+_SIZES = "SELECT {id}, '' AS project, list_slice(embedding, 1, len(embedding) - CAST(vec_id % 3 AS INTEGER)) AS embedding FROM embeddings"
 
 
 @query(
     "vector_mixed_sizes", [],
-    f"""WITH mq AS ({_SIZES.format(id="vec_id AS query_id")} WHERE vec_id % 5 = 0), mv AS ({_SIZES.format(id="vec_id AS doc_id")}),
+    f"""WITH mq AS ({_SIZES.format(id="vec_id AS query_id")} WHERE vec_id % 100 = 0), mv AS ({_SIZES.format(id="vec_id AS doc_id")}),
         s AS (SELECT query_id, doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score
               FROM mq q JOIN mv v ON len(q.embedding) = len(v.embedding))
         SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) r WHERE rank <= 5""",
 )
 def vector_mixed_sizes(v: View) -> DataFrame:
-    sizes = v("embeddings").select("vec_id", F.lit("").alias("project"), F.slice("embedding", F.lit(1), (F.col("vec_id") % 3 + 4).cast("int")).alias("embedding"))
-    return vector_search(sizes.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), sizes.withColumnRenamed("vec_id", "doc_id"), 5).select(*HITS)
+    """Whole vectors beside some that lack one or two numbers."""
+    sizes = v("embeddings").select("vec_id", F.lit("").alias("project"), F.slice("embedding", F.lit(1), (F.size("embedding") - F.col("vec_id") % 3).cast("int")).alias("embedding"))
+    return vector_search(sizes.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), sizes.withColumnRenamed("vec_id", "doc_id"), 5).select(*HITS)
 
 
 @query("graph_match", ["queries", "g_entities"], f"WITH {o.seeds('queries')} SELECT query_id, entity_id, confidence, rank FROM seeds")

@@ -324,28 +324,28 @@ def governance_audit(v: View) -> DataFrame:
 @query(
     "audit_trail", ["memories", "delete_requests"],
     """WITH d AS (SELECT DISTINCT memory_id, reason, CASE WHEN actor = '' THEN 'governance' ELSE actor END AS actor FROM delete_requests WHERE reason <> ''),
-       days AS (SELECT d.*, day FROM d, (SELECT unnest(range(1, 7)) AS day)),
+       days AS (SELECT d.*, day FROM d, (SELECT unnest(range(0, 10)) AS day)),
        a AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + day * INTERVAL '1' DAY AS ts, memory_id AS target_id, actor FROM days WHERE memory_id LIKE '%' || day),
        n AS (SELECT ts, target_id, actor, max(ts) OVER () AS newest FROM a)
        SELECT ts, count(*) AS n FROM n GROUP BY ts""",
 )
 def audit_trail(v: View) -> DataFrame:
-    """Deletions of six days, as audited; the query gives them newest first."""
+    """Deletions of ten days, a tenth of all requests on each, as audited; the query gives them newest first."""
     requests = v("delete_requests").distinct()
     audit = None
-    for day in range(1, 7):
-        _, rows, _ = gov.governance_delete(v("memories"), requests.filter(F.col("memory_id").endswith(str(day))), f"2024-01-0{day + 1} 00:00:00")
+    for day in range(10):
+        _, rows, _ = gov.governance_delete(v("memories"), requests.filter(F.col("memory_id").endswith(str(day))), f"2024-01-{day + 1:02d} 00:00:00")
         audit = rows if audit is None else audit.unionByName(rows)
     return gov.audit_query(audit, action="governance_delete", limit=2**31 - 1).groupBy("ts").agg(F.count_distinct("id").alias("n"))
 
 
 @query(
     "audit_newest", ["memories", "delete_requests"],
-    """SELECT DISTINCT memory_id AS target_id, TIMESTAMP '2024-01-03 00:00:00' AS ts FROM delete_requests WHERE reason <> '' AND memory_id LIKE '%00'""",
+    """SELECT DISTINCT memory_id AS target_id, TIMESTAMP '2024-01-03 00:00:00' AS ts FROM delete_requests WHERE reason <> ''""",
 )
 def audit_newest(v: View) -> DataFrame:
     """Of two days of deletions the newer day's, by the limit of the query alone."""
-    gone = v("delete_requests").filter(F.col("memory_id").endswith("00")).distinct()
+    gone = v("delete_requests").distinct()
     older = gov.governance_delete(v("memories"), gone, "2024-01-02 00:00:00")[1]
     newer = gov.governance_delete(v("memories"), gone, "2024-01-03 00:00:00")[1]
     shown = newer.count()
@@ -382,13 +382,19 @@ def next_action(v: View) -> DataFrame:
 
 @query(
     "crystallize", ["actions", "action_groups"],
-    """SELECT group_id, project, 'Crystallized: ' || CAST(count(*) AS VARCHAR) || ' actions' AS title, string_agg(title, '; ' ORDER BY pos, action_id) AS description, 'completed' AS status, count(*) AS n
-       FROM action_groups JOIN actions ON id = action_id GROUP BY group_id, project""",
+    f"""SELECT group_id, project, 'Crystallized: ' || CAST(count(*) AS VARCHAR) || ' actions' AS title,
+        string_agg(title, '; ' ORDER BY pos, action_id) FILTER (WHERE rn <= {orch.SHOWN}) AS description, 'completed' AS status, count(*) AS n
+       FROM (SELECT *, row_number() OVER (PARTITION BY group_id, project ORDER BY pos, action_id) AS rn FROM action_groups JOIN actions ON id = action_id) x GROUP BY group_id, project""",
 )
 def crystallize(v: View) -> DataFrame:
     return orch.crystallize(v("action_groups"), v("actions")).drop("id")
 
 
+@query("crystallize_lines", ["actions", "action_groups"], "SELECT group_id, project, pos, action_id, title FROM action_groups JOIN actions ON id = action_id")
+def crystallize_lines(v: View) -> DataFrame:
+    return orch.crystallize_lines(v("action_groups"), v("actions"))
+
+
 @query(
     "sentinel_match", ["hooks"],
     """WITH s AS (SELECT DISTINCT 'sen-' || project || tool_name AS id, project, tool_name AS event_pattern FROM hooks UNION SELECT 'sen-none', 'proj-1', 'crash')
@@ -424,13 +430,13 @@ def recall_marks(v: View) -> DataFrame:
 @query(
     "remember", ["new_memories", "memories"],
     """SELECT project, 'fact' AS type, 'semantic' AS tier, CASE WHEN length(content) > 60 THEN left(content, 57) || '...' ELSE content END AS title, content, 1.0 AS strength, count(*) AS n
-       FROM (SELECT DISTINCT project, content FROM new_memories) x GROUP BY ALL""",
+       FROM new_memories GROUP BY ALL""",
 )
 def remember(v: View) -> DataFrame:
     new = v("new_memories").select("project", "content", F.lit("").alias("type"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("tier"), F.lit(0.0).alias("strength"))
     table, _, _ = up.remember(v("memories"), new, NOW)
     added = table.filter(F.col("created_at") == F.lit(NOW).cast("timestamp"))
-    return added.groupBy("project", "type", "tier", "title", "content", "strength").agg(F.count(F.lit(1)).alias("n"))
+    return added.groupBy("project", "type", "tier", "title", "content", "strength").agg(F.count_distinct("id").alias("n"))
 
 
 @query(

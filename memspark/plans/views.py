@@ -178,7 +178,7 @@ VIEWS = {
         UNION ALL
         SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')""",
     "action_groups": """
-        SELECT CAST(l_suppkey AS STRING) AS group_id, l_orderkey AS action_id, l_linenumber AS pos FROM lineitem WHERE l_returnflag = 'R'""",
+        SELECT CAST(l_suppkey AS STRING) AS group_id, l_orderkey AS action_id, l_linenumber AS pos FROM lineitem""",
     "lease_log": """
         SELECT event_id, 'act-' || CAST(user_id AS STRING) AS action_id, 'agent-' || event_type AS holder_id, CAST(ts AS TIMESTAMP) AS ts FROM events""",
     "traces": f"""
@@ -239,7 +239,7 @@ VIEWS = {
                CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'area ' || CAST(conv_id % 7 AS STRING) ELSE 'Located In' END AS query
         FROM conversations""",
     "query_log": """
-        SELECT CASE event_type WHEN 'click' THEN 'bm25' WHEN 'view' THEN 'vector' ELSE 'hybrid' END AS mode, value / 100 AS seconds FROM events""",
+        SELECT CASE event_type WHEN 'click' THEN 'bm25' WHEN 'view' THEN 'vector' ELSE 'hybrid' END AS mode, value / 100 AS seconds, CAST(ts AS TIMESTAMP) AS ts FROM events""",
 }
 
 _BASE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(BASE_TABLES) + r")\b")

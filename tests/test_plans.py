@@ -11,7 +11,7 @@ PYTHON = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInP
 # Exact replay of holds, exact vector scan and the BLAKE2b embedder.
 PYTHON_QUERIES = {
     "vector_topk", "vector_mixed_sizes", "rrf_fuse", "diversity_cap", "hybrid_search", "smart_search", "hash_embed", "dedup_window", "dedup_window_default",
-    "dedup_counters", "capture_observations", "lease_replay", "lease_live", "vector_stored_topk", "vector_index_change",
+    "dedup_counters", "capture_observations", "lease_replay", "lease_live", "lease_release", "vector_stored_topk", "vector_index_change",
 }
 
 
