@@ -1,15 +1,17 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
-Lines are normalised to lower-case words. Equal lines are one class. Two classes are joined if at most 1 - similarity of
-the longer one's words are edited, whatever their SimHashes. One edit breaks at most two pairs of neighbouring words, so of two
-such lines each has most of its word pairs in the other, and they share one among the first few in any fixed order (prefix
-filter). Classes therefore meet on the first word pairs of each, those of long words first as these are rarer, and no pair of
-lines is missed for a similarity of 0.7 or more. Those whose lengths and word bits allow it are verified by edit similarity,
-counted in words. Of each connected group one occurrence stays, that with the least doc_id and place; the others are cut out.
-
-A word is kept as a code of 20 bits, its length's class and a hash. As in other groups of copies, a class is first compared
-with the first of its blocks, and only classes still apart are compared further, in tiles of bounded size, with all conditions
-inside the join.
+Lines are normalised to lower-case words. Equal lines are one class. A class has a SimHash of 56 bits in eight blocks: a
+word votes in one block only, chosen by its hash, with seven numbers of four bits, and a bit is set if its votes are over
+their mean. An edit changes the votes of two blocks at most, so of two lines within a few edits some blocks have the very
+same votes (pigeonhole), and classes meet on these: single blocks of long lines, pairs of neighbouring blocks of shorter
+ones, and pairs of quarters of the shortest, whose blocks have few words. A line near the end of a length range has the
+keys of both. Those that meet and whose SimHashes are within BITS_APART bits are verified by edit similarity, counted in
+words and on the words themselves. Of each connected group one occurrence stays, that with the least doc_id and place;
+the others are cut out.
+
+Keys that one class has alone are dropped before anything but the class is with them. As in other groups of copies, a
+class is first compared with the first of its key, and only classes still apart are compared further, in tiles of bounded
+size, with all conditions inside the join. Lines with many edits may have no key in common; the README gives the recall.
 
 Edge cases: null and empty texts stay as they are; lines without words are never cut, and those of one or two only
 as exact copies, as one edit is more than a quarter; letters of scripts without spaces count as words, and such lines are
@@ -28,29 +30,43 @@ from memspark.llm.common import stored
 from memspark.llm.components import components
 
 MIN_WORDS = 1
-#: Letters of scripts without spaces are words of their own; lines with such are compared from that many words on.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Letters of scripts without spaces (Thai to Lao, Burmese, Khmer, kana, Han) are words of their own; lines with such are
+#: compared from that many words on.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
 UNSPACED_WORDS = 12
 SIMILARITY = 0.75
-#: Of 56 bits of a SimHash: lines however far apart by it are compared.
-BITS_APART = 56
+#: Of 56 bits of a SimHash. Lines of more words have blocks that say more than their bits, which aren't compared.
+BITS_APART = 14
+BIT_WORDS = 150
+#: Words from which a line's keys are quarters, pairs of neighbouring blocks, and single blocks.
+QUARTERS, NEIGHBOURS, SINGLES = 8, 12, 24
 #: Rows of a block that meet those of another tile in one task.
 TILE = 1024
-#: Codes of one class of word lengths; four classes and 65,536 make five hexadecimal digits.
-_CODES = 245_760
+#: Classes whose texts are fetched by sending their ids to every task (16 bytes each); more are joined.
+BROADCAST_LINES = 500_000
+#: Words of pairs up to this are told apart by their place, which takes their square; those of longer ones by a hash to
+#: this many characters, when a chance in a million for each word doesn't matter.
+WORDS_IN_PLACE = 4000
+_CODES = 983_040
+#: Votes: seven lanes of eight bits, then the number of words in six.
+_VOTES, _WORD, _KEEP = 0x000F0F0F0F0F0F0F, 1 << 56, (1 << 62) - 1
 
 
 def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line: doc_id, the document's key, place, and for lines of enough words their class and codes."""
-    lines = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc")).where(F.col("text").isNotNull())
-    lines = lines.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.select("doc_id", "doc", "place", _words(F.col("line")).alias("words"), F.col("line").rlike(UNSPACED).alias("unspaced"))
+    """Every line: doc_id, the document's key, place, and for lines of enough words their class, number of words and votes."""
+    unspaced = (F.octet_length("text") > F.length("text")) & F.col("text").rlike(UNSPACED)
+    lines = df.select("doc_id", "text", unspaced.alias("mixed"), F.xxhash64("doc_id", "text").alias("doc")).where(F.col("text").isNotNull())
+    lines = lines.select("doc_id", "doc", "mixed", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    lines = lines.withColumn("unspaced", F.col("mixed") & F.col("line").rlike(UNSPACED))
+    lines = lines.select("doc_id", "doc", "place", _words(F.col("line"), F.col("unspaced")).alias("words"), "unspaced")
     enough = F.size("words") >= min_words
-    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.when(enough & (~F.col("unspaced") | (F.size("words") >= UNSPACED_WORDS)), _codes("words")).alias("codes"))
+    compared = enough & (F.size("words") >= 3) & (~F.col("unspaced") | (F.size("words") >= UNSPACED_WORDS))
+    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.size("words").alias("n"), F.when(compared, _votes("words")).alias("votes"))
 
 
-def _words(line: Column) -> Column:
-    apart = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED}\\p{{M}}*)", " $1 ")).otherwise(line)
+def _words(line: Column, unspaced: Column | None = None) -> Column:
+    unspaced = line.rlike(UNSPACED) if unspaced is None else unspaced
+    apart = F.when(unspaced, F.regexp_replace(line, f"({UNSPACED}\\p{{M}}*)", " $1 ")).otherwise(line)
     return F.array_remove(F.split(F.lower(apart), r"[^\p{L}\p{N}\p{M}]+"), "")
 
 
@@ -58,49 +74,65 @@ def _class(words: Column) -> Column:
     return F.xxhash64(words)
 
 
-def _codes(words: str) -> Column:
-    """A number for each word; those of long words, which are rarer, come first."""
-    rank = "CASE WHEN length(w) >= 9 THEN 0 WHEN length(w) >= 6 THEN 1 WHEN length(w) >= 4 THEN 2 ELSE 3 END"
-    return F.expr(f"transform({words}, w -> cast({rank} * {_CODES} + pmod(xxhash64(w), {_CODES}L) as int))")
-
+def _votes(words: str) -> Column:
+    """The votes of the words in their blocks, as eight numbers."""
+    names = "abcdefgh"
+    start = ", ".join(f"'{c}', 0L" for c in names)
+    add = ", ".join(f"'{c}', if(shiftrightunsigned(h, 61) = {i}, (s.{c} & {_KEEP}L) + (h & {_VOTES}L) + {_WORD}L, s.{c})" for i, c in enumerate(names))
+    out = ", ".join(f"s.{c} & {_KEEP}L" for c in names)
+    return F.expr(f"aggregate(transform({words}, w -> xxhash64(w)), named_struct({start}), (s, h) -> named_struct({add}), s -> array({out}))")
 
-def _blocks(similarity: float) -> Column:
-    """The first word pairs of a line in a fixed order, as many as two close lines need to share one.
 
-    k edits leave a line of n words all but 2k of its pairs; one that is d words shorter than the other loses d fewer.
-    """
-    edits = 1 - similarity
-    pairs = f"transform(slice(codes, 1, greatest(size(codes) - 1, 0)), (c, i) -> shiftleft(cast(c div {_CODES} + codes[i + 1] div {_CODES} as long), 56) | (xxhash64(c, codes[i + 1]) & {(1 << 56) - 1}L))"
-    first = f"greatest(2 * cast(floor({edits:.6f}D * size(codes) + 1e-9D) as int) + 1, cast(floor({2 * edits:.6f}D * (size(codes) + 1) + 1e-9D) as int))"
-    return F.expr(f"slice(sort_array(array_distinct({pairs})), 1, {first})")
+def simhash(votes: str) -> Column:
+    """56 bits: whether a lane's votes are over their mean."""
+    bits = " | ".join(f"if(2 * (shiftright(v, {8 * i}) & 255) > 15 * shiftright(v, 56), {1 << i}L, 0L)" for i in range(7))
+    return F.expr(f"aggregate({votes}, 0L, (s, v) -> shiftleft(s, 7) | {bits})")
 
 
-def _bits(codes: str) -> Column:
-    """128 bits, each whether an odd number of the distinct words fall on it, and the number of words."""
-    flip = lambda half: f"if((c & 64) = {64 * half}, shiftleft(1L, c & 63), 0L)"
-    return F.expr(
-        f"aggregate(array_distinct({codes}), named_struct('n', size({codes}), 'x', 0L, 'y', 0L), (s, c) -> named_struct('n', s.n, 'x', s.x ^ {flip(0)}, 'y', s.y ^ {flip(1)}))"
-    )
+def _keys(votes: str, n: str) -> Column:
+    """Keys of blocks with equal votes, by the lengths that close lines may have."""
+    v = lambda i: f"{votes}[{i % 8}]"
+    key = lambda kind, *parts: f"if({' | '.join(map(v, parts))} <> 0, xxhash64({kind}, {', '.join(map(v, parts))}), NULL)"
+    quarter = lambda i: (2 * i, 2 * i + 1)
+    ranges = [
+        (0, QUARTERS, [key(10 * i + j, *quarter(i), *quarter(j)) for i in range(4) for j in range(i)]),
+        (QUARTERS, NEIGHBOURS, [key(100 + i, *quarter(i)) for i in range(4)]),
+        (NEIGHBOURS, SINGLES, [key(200 + i, i, i + 1) for i in range(8)]),
+        (SINGLES, 1 << 31, [key(300 + i, i) for i in range(8)]),
+    ]
+    parts = [f"if({n} + 1 >= {low} AND {n} - 1 < {high}L, array({', '.join(keys)}), array())" for low, high, keys in ranges]
+    return F.array_distinct(F.array_compact(F.expr(f"concat({', '.join(parts)})")))
 
 
 def _close(a: str, b: str, similarity: float) -> Column:
-    """Whether lengths and bits allow two lines to be close: an edit changes at most two of the words that occur."""
+    """Whether lengths and bits allow two lines to be close; a and b are structs of the number of words and the bits."""
     edits = f"floor({1 - similarity:.6f}D * greatest({a}.n, {b}.n) + 1e-9D)"
-    return F.expr(f"abs({a}.n - {b}.n) <= {edits} AND bit_count({a}.x ^ {b}.x) + bit_count({a}.y ^ {b}.y) <= 2 * {edits}")
+    return F.expr(f"abs({a}.n - {b}.n) <= {edits} AND (least({a}.n, {b}.n) > {BIT_WORDS} OR bit_count({a}.x ^ {b}.x) <= {BITS_APART})")
 
 
-def _texts(classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The classes' words: node and spelt, a character beyond the surrogates for each word."""
-    code = F.expr("concat('000', array_join(transform(codes, c -> hex(c + 65536)), '000'))")
-    return classes.join(nodes, "node", "left_semi").select("node", F.decode(F.unhex(code), "UTF-32").alias("spelt"))
+def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes' words, read at their first occurrences: node and words."""
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc").alias("doc"), F.col("first.place").alias("place")))
+    few = wanted.count() <= BROADCAST_LINES
+    docs = F.broadcast(wanted.select("doc").distinct()) if few else wanted.select("doc").distinct()
+    lines = df.select("text", F.xxhash64("doc_id", "text").alias("doc")).join(docs, "doc", "left_semi")
+    lines = lines.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).join(F.broadcast(wanted) if few else wanted, ["doc", "place"])
+    # Rows that are alike in doc_id and text have the same lines.
+    return lines.groupBy("node").agg(F.first("line").alias("line")).select("node", _words(F.col("line")).alias("words"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("spelt").alias(f"spelt_{c}"))
+    """Pairs of which at most 1 - similarity of the longer one's words are edited. A pair's words are characters, by their
+    place among its distinct words."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    allowed = f"cast(floor({1 - similarity:.6f}D * greatest(length(spelt_a), length(spelt_b)) + 1e-9D) as int)"
-    near = F.expr(f"abs(length(spelt_a) - length(spelt_b)) <= {allowed}")
-    return both.where(near).where(F.expr(f"levenshtein(spelt_a, spelt_b, {allowed}) >= 0")).select("a", "b")
+    # Characters beyond the surrogates, five hexadecimal digits. The lambda around computes the distinct words once.
+    known = f"if(size(words_a) + size(words_b) <= {WORDS_IN_PLACE}, array_distinct(concat(words_a, words_b)), array())"
+    place = f"if(size(k) > 0, array_position(k, w) - 1, pmod(xxhash64(w), {_CODES}L)) + 65536"
+    spelt = lambda c: F.decode(F.unhex(F.expr(f"transform(array({known}), k -> concat('000', array_join(transform(words_{c}, w -> hex({place})), '000')))[0]")), "UTF-32")
+    allowed = f"cast(floor({1 - similarity:.6f}D * greatest(size(words_a), size(words_b)) + 1e-9D) as int)"
+    near = both.where(F.expr(f"abs(size(words_a) - size(words_b)) <= {allowed}")).withColumns({"spelt_a": spelt("a"), "spelt_b": spelt("b")})
+    return near.where(F.expr(f"levenshtein(spelt_a, spelt_b, {allowed}) >= 0")).select("a", "b")
 
 
 def _apart(named: DataFrame, similarity: float) -> DataFrame:
@@ -121,12 +153,16 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
         lines_of(df, min_words)
         .where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("bits", _bits("codes"))
+        .agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"), F.first("n").alias("n"), F.first("votes").alias("votes"), F.count(F.lit(1)).alias("copies"))
     )
-    keyed = classes.select("node", "bits", F.explode(_blocks(similarity)).alias("block")).repartition("block")
-    leaders = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.min_by("bits", "node").alias("leader_bits")).where("leader < last").drop("last")
-    members = stored(keyed.join(leaders, "block").withColumn("near", _close("bits", "leader_bits", similarity)).drop("leader_bits"))
+    keyed = classes.where("votes IS NOT NULL").select("node", F.explode(_keys("votes", "n")).alias("block")).repartition("block")
+    shared = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
+    # Bare keys meet first; lengths and bits join those that are left.
+    members, shared = stored(keyed.join(shared.select("block"), "block")), stored(shared)
+    bits = classes.select("node", F.struct("n", simhash("votes").alias("x")).alias("bits"))
+    led = shared.join(bits.select(F.col("node").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
+    members = members.join(bits, "node").join(led, "block")
+    members = stored(members.withColumn("near", _close("bits", "leader_bits", similarity)).drop("leader_bits"))
     near = stored(members.where("leader < node AND near").select("leader", "node").distinct())
     links = labels = None
     for step in range(3):
@@ -142,7 +178,7 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
         pairs = stored(pairs)
         if step != 1:
             ends = pairs if step else near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-            texts = stored(_texts(classes, ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()))
+            texts = stored(_texts(df, classes, ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()))
         found = stored(_verified(pairs, texts, similarity))
         links = found if links is None else links.union(found)
         labels = components(links)
@@ -156,7 +192,7 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
 def dedup_lines(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, counts: bool = False, drop_empty: bool = False) -> DataFrame:
     """The documents without the lines that occur before, exactly or nearly. counts adds n_lines and n_cut."""
     groups = stored(line_groups(df, similarity, min_words))
-    lines = lines_of(df, min_words).drop("codes", "doc_id")
+    lines = lines_of(df, min_words).drop("votes", "n", "doc_id")
     marked = lines.join(groups, "node", "left")
     keep = F.col("first").isNull() | ((F.col("first.doc") == F.col("doc")) & (F.col("first.place") == F.col("place")))
     marked = marked.select("doc", F.struct("place", keep.alias("keep")).alias("line"))

