@@ -7,18 +7,20 @@ a vector that very many rows share only fills more pages. A page is an M-tree of
 covering radius and the distance to the parent's routing object, and leaves of distinct vectors with theirs.
 
 A query first searches one page of its nearest routing object, which bounds the distance of its k-th answer. It then goes to
-all pages that the bound doesn't rule out. Within a page nodes are taken nearest bound first, and most distances are ruled
-out unseen by the triangle inequality from the stored distances. Scores are whole numbers throughout; radii have a margin
+all pages that the bound doesn't rule out. A page is searched for a block of queries at once: nodes are taken nearest bound
+first, queries leave a node that the triangle inequality rules out from stored distances, and those left score a leaf together. Scores are whole numbers throughout; radii have a margin
 for rounding. Every row but rows with the query's own vec_id is a candidate, and ties go to the smaller vec_id.
 
 Edge cases: null and empty vectors, those with null or non-finite components, and rows without vec_id take no part; vectors are
 compared with those of their own length only; a query id that occurs twice counts once, with its least vector; rows that
-repeat are candidates each; components beyond 2^27 in size count as 2^27; an empty table gives no rows.
+repeat are candidates each; a component so large that scores might not fit 64 bits (in 64 components, one over 370,727)
+counts as the greatest for which all fit; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from dataclasses import dataclass
 
@@ -33,7 +35,14 @@ SCALE = 1024
 PAGE_ROWS, LEAF_ROWS, FANOUT = 4096, 64, 16
 #: Routing objects at most, and the bounded sample that they are chosen from.
 ROUTERS, SAMPLE = 256, 4096
-_MOST = 2**27
+#: Queries that are searched together.
+QUERY_ROWS = 512
+NONE = np.iinfo(np.int64).min
+
+
+def greatest(dim: int) -> int:
+    """The greatest size of a component for which the inner product of any two vectors fits 64 bits."""
+    return math.isqrt((2**63 - 1) // dim)
 
 
 def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -46,7 +55,7 @@ def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
                 continue
             v = np.array(x, np.float64)
             if np.isfinite(v).all():
-                v = np.clip(np.floor(SCALE * v), -_MOST, _MOST).astype(np.int64)
+                v = np.clip(np.floor(SCALE * v), -greatest(len(v)), greatest(len(v))).astype(np.int64)
                 out.append((i, len(v), v.tobytes(), int((v * v).sum())))
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["vec_id", "dim", "vec", "norm"])
@@ -76,6 +85,10 @@ class Space:
         d = self.extra(na) - self.extra(nb)
         return np.sqrt(np.maximum(0.0, na + nb - 2 * (a.astype(np.float64) @ b.astype(np.float64)) + d * d))
 
+    def to_queries(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Distances to queries of these squared lengths, from the inner products with them."""
+        return np.sqrt(np.maximum(0.0, lengths + float(self.most) - 2.0 * scores))
+
     def to_query(self, scores: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Distances to a query, which lies at nought in the further coordinate, from the inner products."""
         return np.sqrt(np.maximum(0.0, float((query * query).sum()) + float(self.most) - 2.0 * scores))
@@ -128,51 +141,54 @@ class Page:
                 children.append(self._build(part, int(rows[pick]), float(distance[pick])))
         return Node(centre, radius, up, children, None, None)
 
-    def search(self, own: int, query: np.ndarray, k: int, bound: float) -> list[tuple[int, int]]:
-        """The best k as (score, vec_id) among what lies within the bound."""
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and vec_ids (rows of k, by rank; NONE where there are fewer) of the best within each query's bound.
+
+        Nodes are taken nearest bound first; each is left by the queries whose bound rules it out, and a leaf is scored at
+        once for those that are left."""
         space, margin = self.space, self.space.margin
-        best: list[tuple[int, int]] = []  # a heap of (score, -vec_id), the worst first
-        score = space.dots(self.vectors[self.root.at : self.root.at + 1], query)
-        distance = float(space.to_query(score, query)[0])
-        queue, n = [(max(0.0, distance - self.root.radius), 0, self.root, distance)], 1
+        bounds = bounds.astype(np.float64).copy()
+        scores, ids = np.full((len(queries), k), NONE), np.full((len(queries), k), NONE)
+        lengths = (queries.astype(np.float64) ** 2).sum(axis=1)
+        away = space.to_queries(space.dots(queries, self.vectors[self.root.at]), lengths)
+        queue, n = [(0.0, 0, self.root, np.arange(len(queries)), away)], 1
         while queue:
-            least, _, node, distance = heapq.heappop(queue)
-            if least > bound + margin:
-                break
+            _, _, node, who, away = heapq.heappop(queue)
+            stay = away - node.radius <= bounds[who] + margin
+            who, away = who[stay], away[stay]
+            if not len(who):
+                continue
             if node.children is not None:
                 for child in node.children:
-                    if abs(distance - child.up) - child.radius > bound + margin:
+                    near = np.abs(away - child.up) - child.radius <= bounds[who] + margin
+                    if not near.any():
                         continue
-                    score = space.dots(self.vectors[child.at : child.at + 1], query)
-                    to = float(space.to_query(score, query)[0])
-                    if to - child.radius <= bound + margin:
-                        heapq.heappush(queue, (max(0.0, to - child.radius), n, child, to))
+                    some = who[near]
+                    to = space.to_queries(space.dots(queries[some], self.vectors[child.at]), lengths[some])
+                    least = np.maximum(0.0, to - child.radius)
+                    if (least <= bounds[some] + margin).any():
+                        heapq.heappush(queue, (float(least.min()), n, child, some, to))
                         n += 1
                 continue
-            rows = node.rows[np.abs(distance - node.to_centre) <= bound + 2 * margin]
-            if not len(rows):
+            close = np.abs(away[:, None] - node.to_centre[None]) <= bounds[who][:, None] + 2 * margin
+            used = close.any(axis=0)
+            if not used.any():
                 continue
-            scores = space.dots(self.vectors[rows], query)
-            if len(best) == k:
-                keep = scores >= best[0][0]
-                rows, scores = rows[keep], scores[keep]
-            for row, s in zip(rows.tolist(), scores.tolist()):
-                taken = 0
-                for i in self.ids[row].tolist():
-                    if i == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
-                    else:
-                        break
-                    taken += 1
-                    if taken == k:
-                        break
-            if len(best) == k:
-                bound = min(bound, float(space.to_query(np.array([best[0][0]]), query)[0]))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            rows = node.rows[used]
+            # Of the ids of a vector only the least can be wanted, and one more as a query's own counts for nothing.
+            held = [self.ids[row][: k + 1] for row in rows]
+            spread = np.repeat(np.arange(len(rows)), [len(x) for x in held])
+            names = np.concatenate(held)
+            found = space.dots(queries[who], self.vectors[rows].T)[:, spread]
+            named = np.broadcast_to(names, found.shape)
+            found = np.where(named == own[who][:, None], NONE, found)
+            every, of = np.concatenate([scores[who], found], axis=1), np.concatenate([ids[who], named], axis=1)
+            # Highest scores first, then the least id; ~ turns the order round without overflow.
+            best = np.lexsort((of, ~every), axis=1)[:, :k]
+            scores[who], ids[who] = np.take_along_axis(every, best, axis=1), np.take_along_axis(of, best, axis=1)
+            full = who[scores[who, k - 1] != NONE]
+            bounds[full] = np.minimum(bounds[full], space.to_queries(scores[full, k - 1], lengths[full]))
+        return scores, ids
 
 
 def _routers(vecs: DataFrame) -> dict[int, tuple[Space, np.ndarray]]:
@@ -230,9 +246,14 @@ def _visit(pages: DataFrame, routed: DataFrame, k: int) -> DataFrame:
         out = []
         if page.num_rows and sent.num_rows:
             tree = pickle.loads(page.column("tree")[0].as_py())
-            for query, vec, bound in zip(sent.column("query_id").to_pylist(), sent.column("vec").to_pylist(), sent.column("bound").to_pylist()):
-                out += [(query, i, s) for s, i in tree.search(query, np.frombuffer(vec, np.int64), k, bound)]
-        return pa.table({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
+            for start in range(0, sent.num_rows, QUERY_ROWS):
+                part = sent.slice(start, QUERY_ROWS)
+                own, bounds = (part.column(c).to_numpy() for c in ("query_id", "bound"))
+                scores, ids = tree.search(own, np.stack([np.frombuffer(v, np.int64) for v in part.column("vec").to_pylist()]), k, bounds)
+                real = scores != NONE
+                out.append((np.repeat(own, real.sum(axis=1)), ids[real], scores[real]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), columns)})
 
     keys = ("dim", "router", "part")
     return pages.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")

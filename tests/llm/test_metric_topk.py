@@ -52,7 +52,20 @@ def test_search_leaves_nodes_out():
     space = T.Space(int((vectors**2).sum(1).max()))
     page, seen = T.Page(np.arange(3000), vectors, space), []
     plain = space.dots
-    space.dots = lambda a, b: seen.append(len(a)) or plain(a, b)
-    got = page.search(-1, vectors[5], 5, np.inf)
-    assert got == sorted(((int(s), i) for i, s in enumerate(vectors @ vectors[5])), key=lambda x: (-x[0], x[1]))[:5]
+    space.dots = lambda a, b: seen.append(len(a) * (b.shape[1] if b.ndim == 2 else 1)) or plain(a, b)
+    own = np.array([-1, 7, 8])
+    scores, ids = page.search(own, vectors[[5, 7, 8]], 5, np.full(3, np.inf))
+    for k, at in enumerate((5, 7, 8)):
+        want = sorted(((int(s), i) for i, s in enumerate(vectors @ vectors[at]) if i != own[k]), key=lambda x: (-x[0], x[1]))[:5]
+        assert list(zip(scores[k].tolist(), ids[k].tolist())) == want
+    page.space, seen[:] = space, []
+    page.search(own[:1], vectors[[5]], 5, np.full(1, np.inf))
     assert sum(seen) < 1500
+
+
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.choice([-1, 1], 64) * rng.uniform(290_000, 300_000, 64)).tolist()) for i in range(60)] + [(60 + i, rng.normal(0, 1, 64).tolist()) for i in range(20)]
+    assert run(spark, rows, "vec_id % 10 = 0") == brute(rows, lambda i: i % 10 == 0, 10)
+    beyond = [(i, [1e300 * (1 if i % 2 else -1)] * 3) for i in range(20)]
+    assert len(run(spark, beyond, "vec_id = 0")) == 10
