@@ -15,6 +15,7 @@ from memspark.operators.vector_index import change_vector_index, search_stored_v
 from memspark.plans import oracle_text as o
 from memspark.plans.registry import View, query
 from memspark.runtime import ensure_checkpoint_dir
+from memspark.streaming.index import current_index, merge_segments, write_segment
 
 STAGE = 30
 STORED_BUCKETS = 16
@@ -85,6 +86,30 @@ def index_delete(v: View) -> DataFrame:
     return delete_documents(documents_index(v), gone).postings.select("doc_id", "term", "tf")
 
 
+_STREAMED = """(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ' replaced text of ' || lang ELSE text END AS text FROM documents WHERE lang <> 'fr')"""
+
+
+@query("index_stream_state", [], f"WITH {o.postings(_STREAMED)} SELECT doc_id, term, tf FROM postings")
+def index_stream_state(v: View) -> DataFrame:
+    """Five batches: all documents by halves, new texts, deletions, and the first half once more; merged before and after."""
+    docs = v("documents")
+    spark = docs.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/memspark-stream-{uuid.uuid4().hex}"
+    at = lambda hour: F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp").alias("ts")
+    row = lambda rows, text, hour, deleted=False: rows.select("doc_id", F.lit("").alias("project"), text.alias("text"), at(hour), F.lit(deleted).alias("deleted"))
+    first = row(docs.filter("doc_id % 2 = 0"), F.col("text"), 1)
+    batches = [
+        first, row(docs.filter("doc_id % 2 = 1"), F.col("text"), 2), row(docs.filter("doc_id % 3 = 0"), F.concat("source", F.lit(" replaced text of "), "lang"), 3),
+        row(docs.filter("lang = 'fr'"), F.lit(None).cast("string"), 4, True),
+    ]
+    for number, batch in enumerate(batches):
+        write_segment(batch, f"run-{number:012d}", path)
+    merge_segments(spark, path, 2)
+    write_segment(first, "run-000000000000", path)
+    merge_segments(spark, path, 2)
+    return current_index(spark, path).postings.select("doc_id", "term", "tf")
+
+
 @query(
     "bm25_project_topk", ["project_queries", "observations"],
     f"WITH {o.bm25('project_queries', 'observations', 10, 'id', 'project', o.INDEX_TEXT)} SELECT query_id, doc_id, score, rank FROM bm25_hits",

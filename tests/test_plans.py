@@ -16,7 +16,7 @@ PYTHON_QUERIES = {
 
 
 # Made of the engines and traversals tested by name here; they write intermediate tables, so planning them takes a run.
-EAGER = {"rrf_fuse", "smart_search", "graph_bfs", "bm25_stored_topk", "vector_stored_topk", "vector_index_change"}
+EAGER = {"rrf_fuse", "smart_search", "graph_bfs", "bm25_stored_topk", "vector_stored_topk", "vector_index_change", "index_stream_state"}
 
 
 def test_registered_plans(spark, sf_dir):

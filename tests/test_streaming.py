@@ -99,6 +99,39 @@ def test_index_stream_replaces_documents(spark, tmp_path):
     assert terms == {("d1", "delta"), ("d2", "gamma"), ("d3", "epsilon")}
 
 
+def test_index_stream_deletes_and_merges(spark, tmp_path):
+    schema = "doc_id string, project string, text string, ts timestamp, deleted boolean"
+    src, out = str(tmp_path / "src"), str(tmp_path / "idx")
+
+    def add(*rows):
+        made = spark.createDataFrame(list(rows), "doc_id string, project string, text string, ts string, deleted boolean")
+        made.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+
+    def step(ck):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        idx.index_stream(stream, out, str(tmp_path / ck), available_now=True).awaitTermination(120)
+
+    def state():
+        return {(r.doc_id, r.term) for r in idx.current_index(spark, out).postings.collect()}
+
+    add(("d1", "p", "alpha", "2024-01-01 00:00:00", False), ("d2", "p", "beta", "2024-01-01 00:00:00", None))
+    add(("d3", "p", "gamma", "2024-01-01 01:00:00", False))
+    add(("d1", None, None, "2024-01-02 00:00:00", True), ("d2", "p", "delta", "2024-01-02 00:00:00", False))
+    step("ck")
+    assert state() == {("d2", "delta"), ("d3", "gamma")}
+    assert len(idx.merge_segments(spark, out, 2)) >= 2 and state() == {("d2", "delta"), ("d3", "gamma")}
+    # The same batches again from another checkpoint, and an older text than the deletion: nothing comes back.
+    step("ck2")
+    add(("d1", "p", "old", "2024-01-01 12:00:00", False), ("d3", "p", "x", "2024-01-03 00:00:00", True), ("d3", "p", "y", "2024-01-03 00:00:00", False))
+    step("ck")
+    assert state() == {("d2", "delta")}
+    while idx.merge_segments(spark, out, 2):
+        assert state() == {("d2", "delta")}
+    add(("d1", "p", "back", "2024-01-04 00:00:00", False))
+    step("ck")
+    assert state() == {("d2", "delta"), ("d1", "back")}
+
+
 def test_hook_source_and_quarantine(spark, tmp_path):
     good = {"hookType": "post_tool_use", "sessionId": "s1", "project": "p", "timestamp": "2024-01-01T00:00:00Z", "data": {"tool_name": "read", "tool_output": "ok"}}
     lines = [json.dumps(good), "{broken", json.dumps({**good, "hookType": "nope"}), json.dumps({**good, "sessionId": ""}), json.dumps({**good, "extra": 1}), json.dumps({**good, "timestamp": None})]
