@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -38,9 +39,13 @@ def brute(rows, similarity=L.SIMILARITY):
         return w
 
     every = sorted(first)
+    bags = {w: Counter(w) for w in every}
     for x, a in enumerate(every):
         for b in every[:x]:
-            if abs(len(a) - len(b)) * 4 <= max(len(a), len(b)) and edit(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
+            longer = max(len(a), len(b))
+            limit = int((1 - similarity) * longer + 1e-9)
+            # Words that the other line lacks have to be edited.
+            if abs(len(a) - len(b)) <= limit and len(bags[a].keys() & bags[b].keys()) and (bags[a] & bags[b]).total() >= longer - limit and edit(a, b) <= limit:
                 group[find(a)] = find(b)
     rank = {k: n for n, k in enumerate(order)}
     least = {}
