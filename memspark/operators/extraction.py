@@ -108,39 +108,48 @@ def _clean(phrase: Column) -> Column:
     return F.regexp_replace(F.btrim(phrase, F.lit(" \t\n.,;:")), "(?i)^(?:the )?(?:a )?(?:an )?", "")
 
 
-def _verb_relations(text: Column, i: int, verb: str, kind: str) -> Column:
-    phrase = PHRASE + r"\s+" + verb + r"\s+" + PHRASE
-    # The verb as plain text decides first, so most texts never meet the pattern. The long text is searched once; subject
-    # and object are then read from each short match, which the lookahead is not part of.
-    # ASCII texts take the cheap character classes, which mean the same for them.
-    ahead = phrase + r"(?=[\s,.;:]|$)"
-    found = F.when(F.octet_length(text) == F.char_length(text), F.regexp_extract_all(text, F.lit("(?i)" + ahead), F.lit(0))).otherwise(
-        F.regexp_extract_all(text, F.lit("(?iU)" + ahead), F.lit(0))
+def _matched(text: Column, pattern: str) -> Column:
+    """All matches without regard to case. ASCII texts take the cheap character classes, which mean the same for them."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(0))
     )
-    hits = F.when(F.contains(F.lower(text), F.lit(verb)), found)
+
+
+def verb_windows(text: Column) -> Column:
+    """The parts of a text that its relations lie in, in order: a verb phrase with four words on either side.
+
+    A subject or object has at most four words, so a relation never reaches beyond the window of its verb. Windows that
+    touch are one part, so that what an earlier match uses up stays used up. The text is scanned once for all verbs.
+    """
+    verb = "(?:" + "|".join(VERB_TYPES) + r")(?=\s)"
+    return _matched(text, rf"(?<!\S)(?:\S++\s++){{0,4}}?{verb}(?:\s++(?:\S++\s++){{0,8}}?{verb})*+(?:\s++\S++){{0,4}}")
+
+
+def _verb_relations(window: Column, i: int, verb: str, kind: str) -> Column:
+    phrase = PHRASE + r"\s+" + verb + r"\s+" + PHRASE
+    # The verb as plain text decides first. A window is searched once; subject and object are then read from each short
+    # match, which the lookahead is not part of.
+    hits = F.when(F.contains(F.lower(window), F.lit(verb)), _matched(window, phrase + r"(?=[\s,.;:]|$)"))
     whole = "(?iU)" + phrase + "$"
 
     def read(hit: Column, group: int) -> Column:
         return _clean(F.regexp_extract(hit, whole, group))
 
     return F.coalesce(
-        F.transform(hits, lambda h: F.struct(read(h, 1).alias("source"), read(h, 2).alias("target"), F.lit(kind).alias("type"), F.lit(i).alias("verb"))),
-        F.array().cast("array<struct<source:string,target:string,type:string,verb:int>>"),
+        F.transform(hits, lambda h, at: F.struct(read(h, 1).alias("source"), read(h, 2).alias("target"), F.lit(kind).alias("type"), F.lit(i).alias("verb"), at.alias("at"))),
+        F.array().cast("array<struct<source:string,target:string,type:string,verb:int,at:int>>"),
     )
 
 
 def extract_verb_relations(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, source, target, type, confidence) from verb phrases; no self loops, each relation of a text once."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = F.concat(*[_verb_relations(text, i, v, k) for i, (v, k) in enumerate(VERB_TYPES.items())])
-    good = F.filter(
-        every, lambda r: (r["source"] != "") & (r["target"] != "") & (F.lower(r["source"]) != F.lower(r["target"]))
-    )
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(good).alias("pos", "r"))
-    # The first spelling of a relation stays.
+    windows = docs.select(F.col(id_col).alias("id"), F.posexplode(verb_windows(F.col(text_col))).alias("part", "window"))
+    every = F.concat(*[_verb_relations(F.col("window"), i, v, k) for i, (v, k) in enumerate(VERB_TYPES.items())])
+    rows = windows.select("id", "part", F.inline(every)).where((F.col("source") != "") & (F.col("target") != "") & (F.lower("source") != F.lower("target")))
+    # The first spelling of a relation stays: by verb, then by place.
     return (
-        rows.groupBy("id", F.lower("r.source").alias("s"), F.lower("r.target").alias("t"), F.col("r.type").alias("type"))
-        .agg(F.min(F.struct("pos", "r.source", "r.target")).alias("first"))
+        rows.groupBy("id", F.lower("source").alias("s"), F.lower("target").alias("t"), "type")
+        .agg(F.min(F.struct("verb", "part", "at", "source", "target")).alias("first"))
         .select("id", F.col("first.source").alias("source"), F.col("first.target").alias("target"), "type", F.lit(RELATION_CONFIDENCE).alias("confidence"))
     )
 

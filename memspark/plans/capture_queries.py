@@ -14,11 +14,12 @@ from memspark.operators.holds import dedup_window, replay_leases
 from memspark.plans import oracle_text as o
 from memspark.plans.registry import View, query
 from memspark.plans.views import NOW
+from memspark.sources.tables import spread
 
 
 @query("redact_text", [], f"WITH {o.redaction('documents', 'doc_id', 'text')} SELECT k AS doc_id, out AS text FROM redacted")
 def redact_text(v: View) -> DataFrame:
-    return redact(v("documents").select("doc_id", "text"), "text").select("doc_id", "text")
+    return redact(spread(v("documents").select("doc_id", "text")), "text").select("doc_id", "text")
 
 
 @query(
@@ -243,7 +244,7 @@ def _entities_sql(source: str) -> str:
 
 @query("entity_extract", ["sentences"], f"WITH {_entities_sql('sentences')} SELECT id, name, type, subtype, confidence FROM entities")
 def entity_extract(v: View) -> DataFrame:
-    return extract_entities(v("sentences")).drop("pos")
+    return extract_entities(spread(v("sentences"))).drop("pos")
 
 
 @query(
@@ -263,10 +264,11 @@ def _clean_sql(x: str) -> str:
     return p
 
 
-def _relations_sql(source: str) -> str:
+def _relations_sql(source: str, letters: str = r"\w./") -> str:
     parts = []
+    phrase = PHRASE.replace(r"\w./", letters)
     for i, (verb, kind) in enumerate(VERB_TYPES.items()):
-        pattern = o.lit("(?i)" + PHRASE + r"\s+" + verb + r"\s+" + PHRASE + r"(?:[\s,.;:]|$)")
+        pattern = o.lit("(?i)" + phrase + r"\s+" + verb + r"\s+" + phrase + r"(?:[\s,.;:]|$)")
         parts.append(
             f"SELECT id, '{kind}' AS type, {i} AS verb, unnest(regexp_extract_all(text, {pattern}, 1)) AS s, unnest(regexp_extract_all(text, {pattern}, 2)) AS t FROM {source}"
         )
@@ -280,7 +282,17 @@ def _relations_sql(source: str) -> str:
 
 @query("relation_extract", ["sentences"], f"WITH {_relations_sql('sentences')} SELECT id, source, target, type, 0.6 AS confidence FROM relations")
 def relation_extract(v: View) -> DataFrame:
-    return extract_verb_relations(v("sentences"))
+    return extract_verb_relations(spread(v("sentences")))
+
+
+# The given prose with two of its words exchanged for verbs. It has letters of four languages.
+@query(
+    "relation_extract_texts", ["linked_texts"],
+    rf"""WITH {_relations_sql('linked_texts', r"_./\p{L}\p{M}\p{N}")} SELECT DISTINCT id, lower(source) AS source, lower(target) AS target, type FROM relations""",
+)
+def relation_extract_texts(v: View) -> DataFrame:
+    found = extract_verb_relations(spread(v("linked_texts")))
+    return found.select("id", F.lower("source").alias("source"), F.lower("target").alias("target"), "type")
 
 
 # The four entities of these texts in order of discovery: file, function, identifier, person.

@@ -15,6 +15,7 @@ from memspark.operators.vector_index import change_vector_index, search_stored_v
 from memspark.plans import oracle_text as o
 from memspark.plans.registry import View, query
 from memspark.runtime import ensure_checkpoint_dir
+from memspark.sources.tables import spread
 from memspark.streaming.index import current_index, merge_segments, write_segment
 
 STAGE = 30
@@ -28,7 +29,7 @@ def _index_text():
 
 
 def documents_index(v: View):
-    return build_keyword_index(v("documents"), project_col=None)
+    return build_keyword_index(spread(v("documents")), project_col=None)
 
 
 def observations_index(v: View):
@@ -288,7 +289,7 @@ def smart_search(v: View) -> DataFrame:
 
 @query("hash_embed")
 def hash_embed(v: View) -> DataFrame:
-    return v("documents").select("doc_id", hash_embedding(384)("text").alias("embedding"))
+    return spread(v("documents").select("doc_id", "text")).select("doc_id", hash_embedding(384)("text").alias("embedding"))
 
 
 @query(

@@ -140,6 +140,8 @@ VIEWS = {
                ' and mail ops' || CAST(p_partkey % 7 AS STRING) || '@example.org about Jane Smith. The ' || p_name ||
                ' depends on the ' || lower(p_type) || ' frame, PartStore implements CacheLayer.' AS text
         FROM part""",
+    "linked_texts": """
+        SELECT doc_id AS id, replace(replace(text, ' the ', ' uses '), ' de ', ' based on ') AS text FROM documents""",
     "plain_sentences": """
         SELECT p_partkey AS id, 'Review of loadPart' || CAST(p_partkey AS STRING) || ' in lib/' || replace(p_name, ' ', '_') ||
                '.rs by Mary Jones with part_key_' || CAST(p_size AS STRING) AS text
