@@ -5,7 +5,9 @@ tag-class paths, such as html/body/div.content/article, and each page's text is
 winning path, or, if it has none, from its own best container. Menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, drawings and reader comments are left out wherever they stand. What is known by its name only is
 kept if it is an article or main element, has a name that speaks for an article as well, or holds most of a page without
-any; a page that would have no text is read without regard to names.
+any; a page that would have no text is read without regard to names. A host's path counts for a page only if its text there
+isn't FAR_BELOW that of the page's own best container. An inline element known by its name stays where it is part of a
+sentence; adverts and hidden ones go in any case.
 
 Edge cases: null, empty and tagless pages (a tagless page is one block of text); broken, unclosed and cut-off markup;
 pages of any length; a null or odd url has no host, and its page decides alone; equal votes go to the first path by name;
@@ -14,8 +16,11 @@ repeated rows are extracted each; other columns are carried on and those named t
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +36,11 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
+#: A path's score must reach this share of the best container's score.
+FAR_BELOW = 0.05
+#: Paths longer than this go on from their hash.
+LONG_PATH = 1000
+
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -50,6 +60,8 @@ NOISE = frozenset(
 )
 #: Of these, such whose text is never the article's, however long, unless the page has no other.
 READERS = frozenset("comment comments commentlist consent cookie cookies disqus gdpr replies reply respond".split())
+#: Of all of them, such as no part of a sentence has.
+ADVERTS = frozenset("ad ads adsense advert adverts advertisement advertising promo promotion sponsor sponsored share sharing social".split())
 #: Words before a name that say what an element is beside or without.
 ABOUT = re.compile(r"(?:has|have|no|not|with|without|hide|show)[-_]")
 GOOD = frozenset("article main content story post entry body text".split())
@@ -58,12 +70,18 @@ GOOD = frozenset("article main content story post entry body text".split())
 class Node:
     """An element that bears on where text belongs."""
 
-    __slots__ = ("tag", "parent", "path", "noise", "named", "chars", "linked", "order", "favour")
+    __slots__ = ("tag", "parent", "path", "noise", "named", "order", "favour", "inside", "favoured", "spoken")
 
     def __init__(self, tag: str, parent: Node | None, label: str, noise: bool, order: int, favour: bool, named: frozenset = frozenset()):
         self.tag, self.parent, self.noise, self.order, self.favour, self.named = tag, parent, noise, order, favour, named
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.chars = self.linked = 0
+        above = parent.path if parent else ""
+        if len(above) > LONG_PATH:
+            above = "#" + hashlib.blake2b(above.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        self.path = f"{above}/{label}" if parent else label
+        # Of this element or any around it: whether it is an article or main, speaks for an article, or has a name against it.
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.favoured = favour or (parent is not None and parent.favoured)
+        self.spoken = bool(named) or (parent is not None and parent.spoken)
 
 
 def _label(tag: str, attributes: str, inside: bool, within: bool = False) -> tuple[str, bool, bool, frozenset]:
@@ -94,30 +112,43 @@ def _label(tag: str, attributes: str, inside: bool, within: bool = False) -> tup
     return f"{tag}.{classes}" if classes else tag, noise, tag in ("article", "main") or (good and not bad), frozenset(bad)
 
 
-def _lineage(node: Node | None):
-    while node is not None:
-        yield node
-        node = node.parent
+def _within(nodes: list[Node], wanted: Callable[[Node], bool]) -> set[Node]:
+    """The wanted elements and all inside of them; nodes are in page order."""
+    out: set[Node] = set()
+    for node in nodes:
+        if node.parent in out or wanted(node):
+            out.add(node)
+    return out
 
 
-def _believed(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+def _believed(found: list[tuple[Node, str, int]], nodes: list[Node]) -> list[tuple[Node, str, int]]:
     """The blocks outside elements whose names speak against them.
 
     A name isn't believed of an element that holds most of the page's unlinked text while no article stands outside such
     elements; it is believed of readers' comments.
     """
+    if not any(node.spoken for node, _, _ in found):
+        return found
     held: dict[Node, int] = {}
-    total = article = 0
+    article = 0
     for node, text, linked in found:
-        above, size = list(_lineage(node)), len(text) - linked
-        named = [x for x in above if x.named]
-        total += size
-        if not named and any(x.favour for x in above):
-            article += size
-        for x in named:
-            held[x] = held.get(x, 0) + size
-    doubted = {x for x, size in held.items() if not article and size * 2 > total and not x.named & READERS}
-    return [block for block in found if not any(x.named and x not in doubted for x in _lineage(block[0]))] if held else found
+        held[node] = held.get(node, 0) + len(text) - linked
+        if node.favoured and not node.spoken:
+            article += len(text) - linked
+    for node in reversed(nodes):
+        if node.parent is not None:
+            held[node.parent] = held.get(node.parent, 0) + held.get(node, 0)
+    total = held[nodes[0]]
+    out = _within(nodes, lambda x: bool(x.named) and (article > 0 or held.get(x, 0) * 2 <= total or bool(x.named & READERS)))
+    return [block for block in found if block[0] not in out]
+
+
+def _sentence(before: str, own: str, after: str) -> bool:
+    """Whether a part of a block reads on from what stands before it or into what follows, and is not two thirds of it."""
+    before, after = before.strip(), after.strip()
+    if 2 * (len(before) + len(after)) < len(own.strip()):
+        return False
+    return bool(before and before[-1] not in ".!?\u2026:|") or bool(after and (after[0].islower() or after[0] in ",.;:)"))
 
 
 def blocks(page: str, by_name: bool = True) -> tuple[list[tuple[Node, str, int]], list[Node]]:
@@ -128,24 +159,44 @@ def blocks(page: str, by_name: bool = True) -> tuple[list[tuple[Node, str, int]]
     root = Node("html", None, "html", False, 0, False)
     stack, nodes, out = [root], [root], []
     parts: list[str] = []
-    linked, link, at, n = 0, 0, 0, len(page)
+    links: list[int] = []
+    # Inline elements that may go: those still open as tag, depth of their own kind, blocks around them, first part and
+    # whether they go in any case; and the closed ones of this block as first part, end and that.
+    inline: list[list] = []
+    spans: list[tuple[int, int, bool]] = []
+    opened: Counter = Counter()
+    link, at, n = 0, 0, len(page)
+
+    def add(text: str, linked: int) -> None:
+        parts.append(text)
+        links.append(linked)
 
     def flush() -> None:
-        nonlocal linked
         if parts:
+            for first, end, surely in [*spans, *((x[3], len(parts), x[4]) for x in inline)]:
+                if surely or not _sentence("".join(parts[:first]), "".join(parts[first:end]), "".join(parts[end:])):
+                    parts[first:end] = [""] * (end - first)
+                    links[first:end] = [0] * (end - first)
             text = " ".join(entities.unescape("".join(parts)).split())
             if text and not stack[-1].noise:
-                out.append((stack[-1], text, min(linked, len(text))))
+                out.append((stack[-1], text, min(sum(links), len(text))))
             parts.clear()
-        linked = 0
+            links.clear()
+        spans.clear()
+        for x in inline:
+            x[3] = 0
+
+    def end_at(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+        while inline and inline[-1][2] > len(stack):
+            inline.pop()
 
     while at < n:
         found = _TAG.search(page, at)
         end = found.start() if found else n
         if end > at:
-            parts.append(page[at:end])
-            if link:
-                linked += end - at
+            add(page[at:end], end - at if link else 0)
         if found is None:
             break
         at = found.end()
@@ -158,12 +209,21 @@ def blocks(page: str, by_name: bool = True) -> tuple[list[tuple[Node, str, int]]
         if closing:
             if tag == "a":
                 link = max(0, link - 1)
-            if tag in BLOCK_TAGS or any(x.tag == tag for x in stack[1:]):
+            if tag in BLOCK_TAGS:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+                if opened[tag] > 0:
+                    i = len(stack) - 1
+                    while stack[i].tag != tag:
+                        i -= 1
+                    end_at(i)
+                continue
+            for i in range(len(inline) - 1, -1, -1):
+                if inline[i][0] == tag:
+                    inline[i][1] -= 1
+                    if not inline[i][1]:
+                        spans.append((inline[i][3], len(parts), inline[i][4]))
+                        del inline[i:]
+                    break
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
@@ -171,85 +231,87 @@ def blocks(page: str, by_name: bool = True) -> tuple[list[tuple[Node, str, int]]
                 at = close.end() if close else n
             continue
         if tag == "br":
-            parts.append(" ")
+            add(" ", 0)
             continue
         if tag == "a":
             link = 1
         if tag in VOID and tag not in BLOCK_TAGS:
             continue
         if tag not in BLOCK_TAGS:
-            if attributes or tag in LEFT_OUT:  # an inline element that hides or is noise stands as an element of its own
-                label, noise, _, named = _label(tag, attributes, False)
-                if (noise or (named and by_name)) and not attributes.endswith("/"):
-                    close = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
-                    at = close.end() if close else at
+            for x in reversed(inline):
+                if x[0] == tag:
+                    x[1] += 1
+                    break
+            else:
+                if (attributes or tag in LEFT_OUT) and not attributes.endswith("/"):
+                    _, noise, _, named = _label(tag, attributes, False)
+                    if noise or (named and by_name):
+                        surely = (noise and tag != "label") or bool(named & (ADVERTS | READERS))
+                        inline.append([tag, 1, len(stack), len(parts), surely])
             continue
         flush()
         link = link if tag != "p" else 0
         ends = SIBLINGS.get(tag, ())
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if any(opened[x] > 0 for x in ("p", *ends)) else ():
             kind = stack[i].tag
             if kind == "p" or kind in ends:
-                del stack[i:]
+                end_at(i)
                 break
             if kind in ("table", "ul", "ol", "dl", "td", "th") or (not ends and kind != "p" and kind in CONTAINERS):
                 break
-        if tag == "html" or (tag == "body" and any(x.tag == "body" for x in stack)) or tag == "hr":
+        if tag == "html" or (tag == "body" and opened["body"] > 0) or tag == "hr":
             continue
         if tag == "body":  # whatever head was left open ends here
-            del stack[1:]
-        inside = any(x.tag in ("article", "main") for x in stack)
-        label, noise, favoured, named = _label(tag, attributes, inside, any(x.favour for x in stack))
+            end_at(1)
+        label, noise, favoured, named = _label(tag, attributes, stack[-1].inside, stack[-1].favoured)
         node = Node(tag, stack[-1], label, noise or stack[-1].noise, len(nodes), favoured, named)
         nodes.append(node)
         stack.append(node)
+        opened[tag] += 1
     flush()
-    return _believed(out) if by_name else out, nodes
+    return _believed(out, nodes) if by_name else out, nodes
 
 
-def scores(found: list[tuple[Node, str, int]]) -> dict[Node, float]:
+def scores(found: list[tuple[Node, str, int]], nodes: list[Node]) -> dict[Node, float]:
     """Article text of each container: a block counts in full for the nearest one and less for each one further out."""
-    out: dict[Node, float] = {}
+    weights: dict[Node, float] = {}
     for node, text, linked in found:
-        weight = float(len(text) - linked) * (1.0 if linked * 2 < len(text) else 0.1)
-        while node is not None:
-            if node.tag in CONTAINERS or node.parent is None:
-                out[node] = out.get(node, 0.0) + weight * (1.5 if node.favour else 1.0)
-                weight *= 0.7
-            node = node.parent
+        weights[node] = weights.get(node, 0.0) + float(len(text) - linked) * (1.0 if linked * 2 < len(text) else 0.1)
+    out: dict[Node, float] = {}
+    for node in reversed(nodes):
+        weight = weights.get(node)
+        if weight is None:
+            continue
+        if node.tag in CONTAINERS or node.parent is None:
+            out[node] = weight * (1.5 if node.favour else 1.0)
+            weight *= 0.7
+        if node.parent is not None:
+            weights[node.parent] = weights.get(node.parent, 0.0) + weight
     return out
 
 
 def page_votes(page: str | None) -> list[tuple[str, int]]:
     """The paths that a page votes for, with votes of up to 1000 in all for the best and less for near ones."""
     by_path: dict[str, float] = {}
-    for node, score in scores(blocks(page or "")[0]).items():
+    for node, score in scores(*blocks(page or "")).items():
         by_path[node.path] = by_path.get(node.path, 0.0) + score
     best = max(by_path.values(), default=0.0)
     return [(path, int(1000 * score / best)) for path, score in by_path.items() if best and score >= best / 2]
 
 
 def page_text(page: str | None, path: str | None) -> str:
-    """The text of the containers on a path, or of the best container if the page has no text there."""
-    found, _ = blocks(page or "")
+    """The text of the containers on a path, or of the best container if the page has no text there or far less."""
+    found, nodes = blocks(page or "")
     if not found:
-        found, path = blocks(page or "", by_name=False)[0], None
+        (found, nodes), path = blocks(page or "", by_name=False), None
     if not found:
         return ""
-
-    def within(node: Node | None, wanted) -> bool:
-        while node is not None:
-            if wanted(node):
-                return True
-            node = node.parent
-        return False
-
-    chosen = [text for node, text, _ in found if path and within(node, lambda x: x.path == path)]
-    if not chosen:
-        ranked = scores(found)
-        best = max(ranked, key=lambda x: (ranked[x], -x.order))
-        chosen = [text for node, text, _ in found if within(node, lambda x: x is best)]
-    return "\n\n".join(chosen)
+    ranked = scores(found, nodes)
+    best = max(ranked, key=lambda x: (ranked[x], -x.order))
+    there = sum(score for node, score in ranked.items() if node.path == path)
+    far = there <= 0 or there < FAR_BELOW * ranked[best]
+    chosen = _within(nodes, (lambda x: x is best) if far else (lambda x: x.path == path))
+    return "\n\n".join(text for node, text, _ in found if node in chosen)
 
 
 def host_paths(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -67,3 +67,32 @@ def test_names_do_not_cost_the_article():
     assert kept == f"Title\n\n{text}\n\nx y z"
     assert page_text(f'<div id="comments">{words * 9}</div><div><p>Short text</p></div>', None) == "Short text"
     assert page_text('<div class="comments"><p>Nothing else</p></div>', None) == "Nothing else"
+
+
+def test_a_host_path_with_next_to_nothing_gives_way():
+    text = "This is a sentence of the article that stands elsewhere. " * 30
+    html_ = f'<html><body><div class="a"><p>{text}</p></div><div class="b"><p>teaser</p></div></body></html>'
+    assert page_text(html_, "html/body/div.b") == text.strip()
+    assert page_text(html_, "html/body/div.a") == text.strip()
+
+
+def test_inline_names_are_weighed():
+    say = lambda x: page_text(f"<html><body><article><p>{x}</p></article></body></html>", None)
+    assert say('See the <a class="search">search engine</a> paper') == "See the search engine paper"
+    assert say("Press the <label>red</label> key") == "Press the red key"
+    assert say('A full text here. <a class="search">Engines</a> are fine.') == "A full text here. Engines are fine."
+    assert say('A full text here. <span class="login">Log in</span>') == "A full text here."
+    assert say('Words and <span class="ad">buy<span>x</span> now</span> more') == "Words and more"
+    assert say('Words and <span hidden>not <span>this</span> at all</span> more') == "Words and more"
+    assert say('Words <span class="ad">never closed') == "Words"
+    assert page_text('<body><p>One <span class="ad">left open</p><p>Two two two</p></body>', None) == "One\n\nTwo two two"
+    assert page_text('<body><p>One one one one</p><span class="ad"><div>buy</div></span><p>Two</p></body>', None) == "One one one one\n\nTwo"
+
+
+def test_deep_and_odd_nesting_takes_time_in_proportion():
+    import time
+
+    for page_ in ("<div>" * 100_000 + "deep", "<div>x" * 30_000, "<div>" * 30_000 + "<li>a</li>" * 30_000, "<div>" * 30_000 + "</p>" * 30_000 + "end", '<p>w <span class="login">' * 10_000):
+        start = time.time()
+        assert page_text(page_, None)
+        assert time.time() - start < 15
