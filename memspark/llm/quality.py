@@ -121,7 +121,12 @@ def fit(df: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> M
         )
 
     described = map_rows(sample, describe, "style array<double>, words array<binary>, poor int, toxic int, m0 long, m1 long, m2 long")
-    described = stored(described.dropDuplicates(["m0"]).dropDuplicates(["m1"]).dropDuplicates(["m2"]))
+    # Of rows alike in one of the marks the least one stays, by all columns, so the fit doesn't depend on how rows are dealt.
+    described = described.withColumn("code", F.xxhash64("words", "style"))
+    order = ["code", *FAULTS, "words", "style", "m0", "m1", "m2"]
+    for mark in ("m0", "m1", "m2"):
+        described = described.groupBy(F.col(mark).alias("same")).agg(F.min(F.struct(*order)).alias("least")).select("least.*")
+    described = stored(described)
     total = described.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f) for f in FAULTS)).first()
     counts = described.select(F.explode("words").alias("word"), *FAULTS).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f) for f in FAULTS))
     lexicon: dict[str, dict[bytes, float]] = {}
@@ -137,15 +142,15 @@ def fit(df: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> M
     every = sorted(set().union(*lexicon.values()))
     known = df.sparkSession.createDataFrame([(bytearray(w),) for w in every], "word binary")
     held = described.withColumn("id", F.monotonically_increasing_id())
-    held = stored(held.select("id", "style", "words", *FAULTS))
+    held = stored(held.select("id", "code", "style", "words", *FAULTS))
     hits = held.select("id", F.explode("words").alias("word")).join(F.broadcast(known), "word").groupBy("id").agg(F.collect_list("word").alias("known"))
-    rows = held.select("id", "style", *FAULTS).join(hits, "id", "left").orderBy("id").collect()  # at most max_labelled
+    rows = held.select("id", "code", "style", *FAULTS).join(hits, "id", "left").orderBy("code", *FAULTS, "style").collect()  # at most max_labelled
     weights = {}
     for fault in FAULTS:
         y = np.array([r[fault] or 0 for r in rows], float)
         if 0 < y.sum() < len(y):
             own = lexicon[fault]
-            x = np.array([[*r.style, sum(own.get(bytes(w), 0.0) for w in r.known or ())] for r in rows])
+            x = np.array([[*r.style, sum(own.get(bytes(w), 0.0) for w in sorted(r.known or ()))] for r in rows])
             weights[fault] = _fit(x, y)
     return Model(lexicon, weights)
 

@@ -49,3 +49,13 @@ def test_odd_rows(spark):
     assert Q.classify(docs.limit(0), labels).count() == 0
     nothing = Q.classify(docs, labels.limit(0)).collect()
     assert len(nothing) == len(rows) and all(r.kept for r in nothing)
+
+
+def test_the_same_however_rows_are_dealt(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 10**9)), labels.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 10**9))
+    got = []
+    for dealt in (docs.coalesce(1).orderBy("doc_id"), docs.repartition(3, "lang"), docs.orderBy(F.desc("doc_id")).repartition(7)):
+        got.append({r.doc_id: r.kept for r in Q.classify(dealt, labels, with_text=False).select("doc_id", "kept").collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == docs.count()
