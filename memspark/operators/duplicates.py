@@ -8,35 +8,64 @@ from memspark.functions.text import content_overlap, title_similarity
 from memspark.operators.matching import substring_pairs
 from memspark.operators.ranking import top_per_group, with_project
 from memspark.runtime import cut_lineage
+from memspark.sources.tables import spread
 
 EXACT_CONFIDENCE = 0.98
 
 
+#: Names up to this long meet on what is left of them without some letters, which is about half its square of keys for two
+#: edits. A pair with a longer name meets on a part.
+SHORT_NAME = 32
+
+
 def _cut(length: Column | int, part: int, parts: int) -> Column:
     """Where a part of a name begins (from 0) when the name is cut into nearly equal parts; the last part ends at the length."""
     return F.floor(length * F.lit(part) / F.lit(parts)).cast("int")
 
 
-def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int | None = None, longest: int | None = None) -> DataFrame:
-    """(source_id, target_id, confidence, match_type) of likely equal entities within a project and type.
+def _without(name: Column, letters: int) -> list[Column]:
+    """What is left of a name without 0, 1, ... ``letters`` of its letters, as arrays of distinct texts."""
+    level = F.array(F.struct(name.alias("left"), F.lit(1).alias("at")))
+    out = [F.array(name)]
+    for _ in range(letters):
+        # Letters go from left to right, so no set of them goes twice.
+        level = F.flatten(
+            F.transform(
+                level,
+                lambda s: F.transform(
+                    F.when(s["at"] <= F.char_length(s["left"]), F.sequence(s["at"], F.char_length(s["left"]))).otherwise(F.array().cast("array<int>")),
+                    lambda i: F.struct(F.concat(F.substring(s["left"], F.lit(1), i - 1), F.substring(s["left"], i + 1, F.char_length(s["left"]))).alias("left"), i.alias("at")),
+                ),
+            )
+        )
+        out.append(F.array_distinct(F.transform(level, lambda s: s["left"])))
+    return out
 
-    Exact: equal lower-cased names, every entity paired with the smallest id of its name, which is a link per entity and
-    never all pairs. Fuzzy: names (represented by that smallest id) at most ``max_dist`` edits apart. The shorter name is cut
-    into one part more than that; one part at least survives the edits, and stands in the other name at most that far from
-    its place, so the names meet in an equi-join on the part. Names with fewer letters than parts are only compared as a
-    whole. ``prefix`` asks for so many equal first letters, ``longest`` leaves longer names (in bytes) out; both are off.
+
+def _short_pairs(able: DataFrame, max_dist: int) -> DataFrame:
+    """Candidate pairs (key, key2, rep, rep2) of names of at most SHORT_NAME letters.
+
+    Names within ``max_dist`` edits are equal once that many letters of the longer one are gone, and of the shorter one as
+    many less as it is shorter. Both sides of the join are one shuffle. A common beginning doesn't bring names together.
+    """
+    able = spread(able.filter(F.col("n") <= SHORT_NAME))
+    hashed = lambda left, gone: F.transform(left, lambda x: F.struct(F.xxhash64("project", "type", x).alias("h"), F.lit(gone).alias("gone")))
+    keys = F.concat(*[hashed(left, gone) for gone, left in enumerate(_without(F.col("key"), max_dist))])
+    met = able.select("project", "type", "key", "rep", F.inline(keys)).repartition("h")
+    a, b = met.alias("a"), met.hint("merge").alias("b")
+    same = (F.col("a.h") == F.col("b.h")) & (F.greatest("a.gone", "b.gone") == max_dist) & (F.col("a.key") < F.col("b.key"))
+    same = same & (F.col("a.project") == F.col("b.project")) & (F.col("a.type") == F.col("b.type"))
+    return a.join(b, same).select(F.col("a.key").alias("key"), F.col("b.key").alias("key2"), F.col("a.rep").alias("rep"), F.col("b.rep").alias("rep2"))
+
+
+def _long_pairs(able: DataFrame, max_dist: int) -> DataFrame:
+    """Candidate pairs of which the longer name has more than SHORT_NAME letters.
+
+    The shorter name is cut into one part more than ``max_dist``; one part at least survives the edits, and stands in the
+    other name at most that far from its place, so the names meet in an equi-join on the part.
     """
     parts = max_dist + 1
-    named = entities.select("id", "project", "type", F.lower("name").alias("key"))
-    reps = named.groupBy("project", "type", "key").agg(F.min("id").alias("rep"))
-    exact = (
-        named.join(reps, ["project", "type", "key"])
-        .filter(F.col("id") != F.col("rep"))
-        .select(F.col("rep").alias("source_id"), F.col("id").alias("target_id"), F.lit(EXACT_CONFIDENCE).alias("confidence"), F.lit("exact").alias("match_type"))
-    )
-    able = reps.withColumn("n", F.char_length("key")).filter(F.col("n") >= max(parts, prefix or 0))
-    if longest is not None:
-        able = able.filter(F.octet_length("key") <= longest)
+    able = spread(able.filter(F.col("n") > SHORT_NAME - max_dist))
 
     def piece(i: int, length: Column, start: Column) -> Column:
         return F.struct(length.alias("n"), F.lit(i).alias("part"), F.substring("key", start + 1, _cut(length, i + 1, parts) - _cut(length, i, parts)).alias("piece"))
@@ -51,17 +80,40 @@ def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int | None =
     )
     other = F.array_distinct(F.filter(other, lambda x: (x["n"] >= parts) & (F.char_length(x["piece"]) > 0)))
     a = able.select("project", "type", "key", "rep", F.inline(own))
-    b = able.select("project", "type", F.col("key").alias("key2"), F.col("rep").alias("rep2"), F.inline(other))
-    same_head = F.lit(True) if not prefix else F.substring("key", 1, prefix) == F.substring("key2", 1, prefix)
+    b = able.filter(F.col("n") > SHORT_NAME).select("project", "type", F.col("key").alias("key2"), F.col("rep").alias("rep2"), F.inline(other))
     # Names of equal length meet from both sides; one side is enough.
     once = (F.char_length("key2") > F.char_length("key")) | (F.col("key") < F.col("key2"))
+    return a.join(b.hint("merge"), ["project", "type", "n", "part", "piece"]).filter(once).select("key", "key2", "rep", "rep2")
+
+
+def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int | None = None, longest: int | None = None) -> DataFrame:
+    """(source_id, target_id, confidence, match_type) of likely equal entities within a project and type.
+
+    Exact: equal lower-cased names, every entity paired with the smallest id of its name, which is a link per entity and
+    never all pairs. Fuzzy: names (represented by that smallest id) at most ``max_dist`` edits apart, met by what is left
+    of short names without some letters, and by parts of long ones. Names with fewer letters than ``max_dist`` + 1 are only
+    compared as a whole. ``prefix`` asks for so many equal first letters, ``longest`` leaves longer names (in bytes) out;
+    both are off. Candidates are never broadcast: from a small table come many.
+    """
+    named = entities.select("id", "project", "type", F.lower("name").alias("key"))
+    reps = named.groupBy("project", "type", "key").agg(F.min("id").alias("rep"))
+    exact = (
+        named.join(reps, ["project", "type", "key"])
+        .filter(F.col("id") != F.col("rep"))
+        .select(F.col("rep").alias("source_id"), F.col("id").alias("target_id"), F.lit(EXACT_CONFIDENCE).alias("confidence"), F.lit("exact").alias("match_type"))
+    )
+    able = reps.filter(F.col("project").isNotNull() & F.col("type").isNotNull()).withColumn("n", F.char_length("key"))
+    able = able.filter(F.col("n") >= max(max_dist + 1, prefix or 0))
+    if longest is not None:
+        able = able.filter(F.octet_length("key") <= longest)
+    same_head = F.lit(True) if not prefix else F.substring("key", 1, prefix) == F.substring("key2", 1, prefix)
     fuzzy = (
-        a.join(b, ["project", "type", "n", "part", "piece"])
-        .filter(once & same_head)
-        .select("key", "key2", "rep", "rep2")
-        .distinct()
+        _short_pairs(able, max_dist).unionByName(_long_pairs(able, max_dist))
+        .filter(same_head)
         .withColumn("dist", F.levenshtein("key", "key2", max_dist))
         .filter("dist > 0")
+        .select("rep", "rep2", "dist")
+        .distinct()
         .select(F.least("rep", "rep2").alias("source_id"), F.greatest("rep", "rep2").alias("target_id"), F.round(1 - F.col("dist") * 0.1, 2).alias("confidence"), F.lit("fuzzy").alias("match_type"))
     )
     return exact.unionByName(fuzzy)
