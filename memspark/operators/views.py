@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memspark.functions.text import contains_ci
 from memspark.operators.ranking import top_per_group, with_project
+from memspark.sources.tables import spread
 
 
 def by_keys(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
@@ -126,22 +127,29 @@ def locations_near(locations: DataFrame, lat: float, lon: float, radius_km: floa
 def locations_near_points(points: DataFrame, locations: DataFrame, radius_km: float = 5, limit: int = 20) -> DataFrame:
     """The same for a table ``points(point_id, lat, lon)``.
 
-    A grid of cells as wide as the box turns the range join into an equi-join: a box meets at most four cells.
+    A grid of cells as wide as the box turns the range join into an equi-join: a box meets at most four cells. Points in
+    one place share their box, and of locations in one place only the first ``limit`` can be among a point's, so neither
+    table's copies of a place meet each other.
     """
     d = radius_km / 111.0
     cell = lambda c: F.floor(c / (2 * d)).cast("bigint")
+    order = [F.desc("confidence"), F.asc("location_id")]
     spots = locations.filter((F.col("type") == "LOCATION") & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
-        F.col("id").alias("location_id"), "name", "confidence", "latitude", "longitude", cell(F.col("latitude")).alias("cy"), cell(F.col("longitude")).alias("cx")
+        F.col("id").alias("location_id"), "name", "confidence", "latitude", "longitude"
     )
+    spots = top_per_group(spread(spots), ["latitude", "longitude"], order, limit).drop("rank")
+    spots = spots.withColumns({"cy": cell(F.col("latitude")), "cx": cell(F.col("longitude"))})
+    places = spread(points.select("lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct())
     box = (
-        points.select("point_id", "lat", "lon", F.explode(F.sequence(cell(F.col("lat") - d), cell(F.col("lat") + d))).alias("cy"))
+        places.select("lat", "lon", F.explode(F.sequence(cell(F.col("lat") - d), cell(F.col("lat") + d))).alias("cy"))
         .withColumn("cx", F.explode(F.sequence(cell(F.col("lon") - d), cell(F.col("lon") + d))))
     )
     hits = box.join(spots, ["cy", "cx"]).filter(
         F.col("latitude").between(F.col("lat") - d, F.col("lat") + d) & F.col("longitude").between(F.col("lon") - d, F.col("lon") + d)
     )
-    best = top_per_group(hits, ["point_id"], [F.desc("confidence"), F.asc("location_id")], limit)
-    return best.select("point_id", "location_id", "name", "confidence", "rank")
+    best = top_per_group(hits, ["lat", "lon"], order, limit).drop("rank")
+    found = spread(points.select("point_id", "lat", "lon")).join(best, ["lat", "lon"])
+    return top_per_group(found, ["point_id"], order, limit).select("point_id", "location_id", "name", "confidence", "rank")
 
 
 def query_facets(memories: DataFrame, facets: DataFrame, wanted: list[tuple[str, str]], project=None, limit: int = 20) -> DataFrame:

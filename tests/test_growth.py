@@ -16,3 +16,23 @@ def test_names_with_a_common_beginning_are_no_candidates(spark):
     assert dup._short_pairs(able, 2).count() < 200
     found = dup.flag_duplicates(named)
     assert {(r.source_id, r.target_id, r.confidence) for r in found.collect()} == {("e7", "x", 0.8), ("e8", "y", 0.9), ("l1", "l2", 0.9)}
+
+
+def test_copies_of_a_place_do_not_meet(spark):
+    from memspark.operators import views as vw
+
+    spots = spark.range(4000).selectExpr("id", "concat('n', id) AS name", "'LOCATION' AS type", "'p' AS project", "double(id % 4) AS latitude", "double(id % 2) AS longitude", "double(id % 50) AS confidence")
+    points = spark.range(400).selectExpr("id AS point_id", "double(id % 3) AS lat", "0D AS lon").union(spark.sql("SELECT 7L, 90D, 90D"))
+    got = vw.locations_near_points(points, spots, 111, 5)
+    rows, want = {}, {}
+    for r in got.collect():
+        rows.setdefault(r.point_id, []).append((r["rank"], r.location_id))
+    known = spots.collect()
+    for p in points.collect():
+        near = [s for s in known if abs(s.latitude - p.lat) <= 1 and abs(s.longitude - p.lon) <= 1]
+        best = sorted(near, key=lambda s: (-s.confidence, s.id))[:5]
+        if best:
+            want[p.point_id] = [(i + 1, s.id) for i, s in enumerate(best)]
+    assert {k: sorted(v) for k, v in rows.items()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "latitude" in plan and "Aggregate [lat" in plan and plan.count("Window [row_number()") == 3
