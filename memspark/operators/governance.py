@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memspark.functions.text import stable_id
+from memspark.operators.placing import rank_rows
 from memspark.operators.ranking import with_project
 
+#: Rows that the newest of an audit are picked from within one task.
+FEW_ROWS = 10_000
+
 
 def audit_rows(rows: DataFrame, actor: Column, action: str, target_type: str, target: Column, payload: Column, now) -> DataFrame:
     at = F.lit(now).cast("timestamp")
@@ -82,7 +86,12 @@ def audit_query(audit: DataFrame, action: str | None = None, actor: str | None =
         audit = audit.filter(F.col("actor") == actor)
     if project:
         audit = audit.filter(F.contains("payload", F.lit(project)))
-    return audit.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+    newest = [F.desc("ts"), F.desc("id")]
+    if limit <= FEW_ROWS:
+        return audit.orderBy(*newest).limit(limit)
+    # Spark's own limit holds all rows it gives in one task. Here rows are placed in ranges, oldest first, and the last places stay.
+    placed = rank_rows(audit.withColumn("__all", F.lit(0)), "__all", ["ts", "id"], "__pos")
+    return placed.filter(F.col("__pos") >= placed.agg(F.count(F.lit(1))).scalar() - limit).drop("__all", "__pos").orderBy(*newest)
 
 
 def archive_messages(messages: DataFrame, conversations: DataFrame, now, ttl_days: int = 90, project: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -36,3 +36,15 @@ def test_copies_of_a_place_do_not_meet(spark):
     assert {k: sorted(v) for k, v in rows.items()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "latitude" in plan and "Aggregate [lat" in plan and plan.count("Window [row_number()") == 3
+
+
+def test_a_large_limit_of_the_audit_is_not_held_by_one_task(spark):
+    from memspark.operators import governance as gov
+
+    audit = spark.range(30_000).selectExpr("lpad(id, 6, '0') AS id", "if(id % 100 = 0, NULL, timestamp_seconds(id % 977)) AS ts", "'a' AS actor", "'link' AS action", "'x' AS payload")
+    order = [F.desc("ts"), F.desc("id")]
+    for limit in (20_000, 29_900, 2**31 - 1):
+        got = gov.audit_query(audit, limit=limit)
+        assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert [r.id for r in got.collect()] == [r.id for r in audit.orderBy(*order).collect()[:limit]]
+    assert [r.id for r in gov.audit_query(audit, limit=30).collect()] == [r.id for r in audit.orderBy(*order).limit(30).collect()]
