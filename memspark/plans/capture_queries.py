@@ -252,7 +252,7 @@ def entity_extract(v: View) -> DataFrame:
     f"""WITH {_entities_sql('sentences')} SELECT lower(name) AS key, type, max(confidence) AS confidence, count(DISTINCT id) AS sources FROM entities GROUP BY lower(name), type""",
 )
 def entity_merge(v: View) -> DataFrame:
-    entities, sources = merge_entities(extract_entities(v("sentences")))
+    entities, sources = merge_entities(extract_entities(spread(v("sentences"))))
     counted = sources.groupBy("key", "type").agg(F.count(F.lit(1)).alias("sources"))
     return entities.join(counted, ["key", "type"]).select("key", "type", "confidence", "sources")
 
@@ -304,7 +304,7 @@ _COOCCUR = """WITH n AS (SELECT p_partkey AS id, ['lib/' || replace(p_name, ' ',
 
 @query("cooccur", [], _COOCCUR)
 def cooccur(v: View) -> DataFrame:
-    return co_occurrence(v("plain_sentences"))
+    return co_occurrence(spread(v("plain_sentences")))
 
 
 @query(

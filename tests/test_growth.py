@@ -48,3 +48,11 @@ def test_a_large_limit_of_the_audit_is_not_held_by_one_task(spark):
         assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
         assert [r.id for r in got.collect()] == [r.id for r in audit.orderBy(*order).collect()[:limit]]
     assert [r.id for r in gov.audit_query(audit, limit=30).collect()] == [r.id for r in audit.orderBy(*order).limit(30).collect()]
+
+
+def test_sentences_of_one_file_are_dealt_over_the_cores(spark, sf_dir):
+    from memspark.plans import load_registry
+
+    for name in ("entity_merge",):
+        plan = load_registry()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition 8, true" in plan, name
