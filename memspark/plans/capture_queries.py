@@ -315,7 +315,7 @@ def cooccur(v: View) -> DataFrame:
 def relations_or_cooccur(v: View) -> DataFrame:
     parts = v("part").agg(F.count(F.lit(1)).alias("n")).scalar()
     plain = v("plain_sentences").withColumn("id", F.col("id") + parts)
-    return extract_relations(v("sentences").unionByName(plain))
+    return extract_relations(spread(v("sentences").unionByName(plain)))
 
 
 @query("session_counts", ["observations"], "SELECT session_id, count(*) AS observation_count FROM observations GROUP BY session_id")

@@ -53,6 +53,6 @@ def test_a_large_limit_of_the_audit_is_not_held_by_one_task(spark):
 def test_sentences_of_one_file_are_dealt_over_the_cores(spark, sf_dir):
     from memspark.plans import load_registry
 
-    for name in ("entity_merge",):
+    for name in ("entity_merge", "relations_or_cooccur"):
         plan = load_registry()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition 8, true" in plan, name
