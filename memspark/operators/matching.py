@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from memspark.sources.tables import spread
+
 GRAM = 3
 
 
@@ -28,14 +30,17 @@ def substring_pairs(needles: DataFrame, texts: DataFrame, needle_col: str = "nee
     # Usually every needle has three letters or more; at most three different sizes come back.
     sizes = sorted(r[0] for r in n.select(F.least(F.lit(GRAM), F.char_length("needle"))).distinct().collect()) or [GRAM]
     # Pieces move with the text's hash; the text itself is fetched for the last test only, which also sorts out equal hashes.
-    t = t.withColumn("text_key", F.xxhash64("text"))
+    t = spread(t).withColumn("text_key", F.xxhash64("text"))
     wanted = n_grams.select("gram").distinct()
     t_grams = t.select("text_key", F.explode(F.concat(*[_grams(F.col("text"), size) for size in sizes])).alias("gram")).join(wanted, "gram", "left_semi")
+    # A shuffle of their own shows their true size: from a small table come many pieces, which must not be sent to one task
+    # of needles.
+    t_grams = t_grams.repartition("text_key")
     seen = t_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     keyed = (
         n_grams.join(seen, "gram")
         .groupBy("needle")
         .agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"))
     )
-    candidates = keyed.join(t_grams, "gram").select("needle", "text_key")
+    candidates = keyed.join(t_grams, "gram").select("needle", "text_key").repartition("text_key")
     return candidates.join(t, "text_key").filter(F.contains("text", "needle")).select("needle", "text").distinct()

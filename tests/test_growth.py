@@ -56,3 +56,28 @@ def test_sentences_of_one_file_are_dealt_over_the_cores(spark, sf_dir):
     for name in ("entity_merge", "relations_or_cooccur"):
         plan = load_registry()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition 8, true" in plan, name
+
+
+def test_pieces_and_candidates_are_dealt_by_text(spark):
+    from memspark.operators.matching import substring_pairs
+
+    texts = spark.range(500).selectExpr("concat('red ring ', id) AS text")
+    found = substring_pairs(spark.sql("SELECT explode(array('ring', 'ring 7', 'g 49')) AS needle"), texts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [text_key") >= 3
+    assert {(r.needle, r.n) for r in found.groupBy("needle").agg(F.count("*").alias("n")).collect()} == {("ring", 500), ("ring 7", 11), ("g 49", 11)}
+
+
+def test_neighbours_follow_edges_without_making_them_distinct(spark):
+    from memspark.operators.graph import neighbours
+
+    entities = spark.range(40).selectExpr("concat('e', id) AS id", "'p' AS project", "concat(if(id < 2, 'hub ', 'leaf '), id) AS name", "'T' AS type", "'' AS subtype", "1D AS confidence")
+    edges = spark.range(3000).selectExpr("'p' AS project", "concat('e', if(id % 3 = 0, 0, 2)) AS source_id", "concat('e', 2 + id % 38) AS target_id")
+    got = neighbours(spark.sql("SELECT 'q' AS query_id, '' AS project, 'hub' AS name"), entities, edges, limit=50)
+    assert "Aggregate [project" not in got._jdf.queryExecution().optimizedPlan().toString() and "Aggregate [a#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    pairs = {(r.source_id, r.target_id) for r in edges.collect()}
+    pairs |= {(b, a) for a, b in pairs}
+    want = set()
+    for start in ("e0", "e1"):
+        one = {b for a, b in pairs if a == start}
+        want |= {n for n in one | {b for a, b in pairs if a in one} if n != start}
+    assert {r.id for r in got.collect()} == want
