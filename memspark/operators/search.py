@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from memspark.functions.text import clip_snippet, query_terms
 from memspark.operators.index import DOCUMENT, KeywordIndex, mean_length
 from memspark.operators.ranking import top_per_group
+from memspark.runtime import cut_lineage
 
 SCORE_DIGITS = 9
 BM25, VECTOR, GRAPH, HYBRID = "bm25", "vector", "graph", "hybrid"
@@ -31,14 +32,15 @@ def bm25_search(queries: DataFrame, index: KeywordIndex, k1: float = 1.2, b: flo
 
     The wanted terms are a semi-join on the grouping key of the index rows, which Catalyst moves below the aggregation:
     only tokens some query asks for are shuffled, and one row per document, whose term is empty. Counts, lengths and
-    scores read those same rows, so that shuffle is done once and reused.
+    scores read those same rows, which are written once.
     """
     terms = queries.select(
         "query_id", F.coalesce("project", F.lit("")).alias("q_project"), F.explode(query_terms(F.col("query"))).alias("term")
     )
     # The empty term rides along with each query, so that the wanted set is one expression over the queries.
     wanted = queries.select(F.explode(F.concat(query_terms(F.col("query")), F.array(F.lit(DOCUMENT)))).alias("term")).distinct()
-    hits = index.rows.join(wanted, "term", "left_semi")
+    # Written, as Spark would read and cut the texts again for each use, whose filters differ.
+    hits = cut_lineage(index.rows.join(wanted, "term", "left_semi"))
     by = ["project"] if scope == "project" else []
     # One row per term and document: counting rows with tf > 0 equals counting rows, and keeps tf in the shared plan.
     counts = hits.groupBy("term", *by).agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"), F.sum("doc_len").alias("length"))

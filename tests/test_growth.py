@@ -81,3 +81,14 @@ def test_neighbours_follow_edges_without_making_them_distinct(spark):
         one = {b for a, b in pairs if a == start}
         want |= {n for n in one | {b for a, b in pairs if a in one} if n != start}
     assert {r.id for r in got.collect()} == want
+
+
+def test_texts_are_cut_once_for_a_search(spark):
+    from memspark.operators.index import build_keyword_index
+    from memspark.operators.search import bm25_search
+
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('word', id % 7, ' other words') AS text")
+    queries = spark.createDataFrame([("q", "", "word3 unknown")], "query_id string, project string, query string")
+    hits = bm25_search(queries, build_keyword_index(docs, project_col=None))
+    assert "Range (" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.doc_id for r in hits.orderBy("rank").collect()] == [3, 10, 17, 24, 31, 38, 45]
