@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memspark.functions.text import query_terms, stem, words
+from memspark.runtime import cut_lineage
 
 
 # The row that stands for a document itself has the empty term.
@@ -70,6 +71,7 @@ def _bucket(buckets: int) -> Column:
 
 def write_keyword_index(index: KeywordIndex, path: str, buckets: int = TERM_BUCKETS) -> None:
     """Persist an index. Postings are laid out by term bucket; ``read_for_queries`` reads only the buckets of the queries' terms."""
+    index = KeywordIndex(cut_lineage(index.rows))  # the texts are read and cut once for both tables
     bucketed = index.postings.withColumn("bucket", _bucket(buckets))
     # The document hash spreads a bucket that holds a very common term over several files and tasks.
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(16))
