@@ -11,7 +11,8 @@ the others are cut out.
 
 Keys that one class has alone are dropped before anything but the class is with them. As in other groups of copies, a
 class is first compared with the first of its key, and only classes still apart are compared further, in tiles of bounded
-size, with all conditions inside the join. Lines with many edits may have no key in common; the README gives the recall.
+size, with all conditions inside the join, edits of hashed words among them. Where more than MEET classes have a key, those
+meet that share a word which is rare there, as close lines must. Lines with many edits may have no key in common; the README gives the recall.
 
 Edge cases: null and empty texts stay as they are; lines without words are never cut, and those of one or two only
 as exact copies, as one edit is more than a quarter; letters of scripts without spaces count as words, and such lines are
@@ -42,6 +43,8 @@ BIT_WORDS = 150
 QUARTERS, NEIGHBOURS, SINGLES = 8, 12, 24
 #: Rows of a block that meet those of another tile in one task.
 TILE = 1024
+#: Rows of a block that meet as they are; those of larger ones meet on rare words of the block.
+MEET = 64
 #: Classes whose texts are fetched by sending their ids to every task (16 bytes each); more are joined.
 BROADCAST_LINES = 500_000
 #: Words of pairs up to this are told apart by their place, which takes their square; those of longer ones by a hash to
@@ -53,7 +56,7 @@ _VOTES, _WORD, _KEEP = 0x000F0F0F0F0F0F0F, 1 << 56, (1 << 62) - 1
 
 
 def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line: doc_id, the document's key, place, and for lines of enough words their class, number of words and votes."""
+    """Every line: doc_id, the document's key, place, and for lines of enough words their class, number and hashes of words."""
     unspaced = (F.octet_length("text") > F.length("text")) & F.col("text").rlike(UNSPACED)
     lines = df.select("doc_id", "text", unspaced.alias("mixed"), F.xxhash64("doc_id", "text").alias("doc")).where(F.col("text").isNotNull())
     lines = lines.select("doc_id", "doc", "mixed", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
@@ -61,7 +64,7 @@ def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.select("doc_id", "doc", "place", _words(F.col("line"), F.col("unspaced")).alias("words"), "unspaced")
     enough = F.size("words") >= min_words
     compared = enough & (F.size("words") >= 3) & (~F.col("unspaced") | (F.size("words") >= UNSPACED_WORDS))
-    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.size("words").alias("n"), F.when(compared, _votes("words")).alias("votes"))
+    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.size("words").alias("n"), F.when(compared, F.transform("words", lambda w: F.hash(w))).alias("hashes"))
 
 
 def _words(line: Column, unspaced: Column | None = None) -> Column:
@@ -74,13 +77,13 @@ def _class(words: Column) -> Column:
     return F.xxhash64(words)
 
 
-def _votes(words: str) -> Column:
-    """The votes of the words in their blocks, as eight numbers."""
+def _votes(hashes: str) -> Column:
+    """The votes of words, given by their hashes, in their blocks, as eight numbers."""
     names = "abcdefgh"
     start = ", ".join(f"'{c}', 0L" for c in names)
     add = ", ".join(f"'{c}', if(shiftrightunsigned(h, 61) = {i}, (s.{c} & {_KEEP}L) + (h & {_VOTES}L) + {_WORD}L, s.{c})" for i, c in enumerate(names))
     out = ", ".join(f"s.{c} & {_KEEP}L" for c in names)
-    return F.expr(f"aggregate(transform({words}, w -> xxhash64(w)), named_struct({start}), (s, h) -> named_struct({add}), s -> array({out}))")
+    return F.expr(f"aggregate(transform({hashes}, w -> xxhash64(w)), named_struct({start}), (s, h) -> named_struct({add}), s -> array({out}))")
 
 
 def simhash(votes: str) -> Column:
@@ -135,16 +138,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return near.where(F.expr(f"levenshtein(spelt_a, spelt_b, {allowed}) >= 0")).select("a", "b")
 
 
+def _spelt(hashes: str) -> Column:
+    """A line's words as characters, by their hashes: equal words are equal characters, and different ones seldom."""
+    return F.decode(F.unhex(F.expr(f"concat('000', array_join(transform({hashes}, h -> hex(pmod(h, {_CODES}) + 65536)), '000'))")), "UTF-32")
+
+
+def _rare_words(named: DataFrame, similarity: float) -> DataFrame:
+    """Rows by block and a word (block, node, bits, label, spelt): close lines of a block share one of these.
+
+    A line of n words has all but floor((1 - similarity) * n) words, copies counted, in common with any close one, so if words
+    are put in one order and each line keeps one word more than it may lack, the first in that order, close lines have kept a
+    word that both have. The order is by how often a word occurs in the block, so what is kept is rare.
+    """
+    words = named.select("block", "node", F.explode("hashes").alias("word"))
+    # Words of one row are kept, as they take places, but meet nothing.
+    often = words.groupBy("block", "word").agg(F.count(F.lit(1)).alias("often"))
+    sorted_words = words.join(often, ["block", "word"]).groupBy("block", "node").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("words"))
+    kept = F.expr(f"array_distinct(slice(words, 1, cast(floor({1 - similarity:.6f}D * size(words) + 1e-9D) as int) + 1))")
+    keys = sorted_words.select("block", "node", F.explode(kept).alias("w")).where("w.often > 1").select("block", "node", "w.word")
+    return named.join(keys, ["block", "node"]).select(F.xxhash64("block", "word").alias("block"), "node", "bits", "label", "spelt")
+
+
 def _apart(named: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of rows of one block (block, node, bits, label) with different labels that may be close."""
-    sizes = named.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y")
-    left = stored(named.join(sizes.select("block", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles")), "block"))
+    """Pairs a, b of rows of one block (block, node, bits, label, hashes) with different labels that may be close: by lengths,
+    bits, and edits of hashes of words, which are never more than those of the words."""
+    mixed = lambda rows: rows.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y").drop("x", "y")
+    spelt = F.when(F.col("bits.n") <= BIT_WORDS, _spelt("hashes")).alias("spelt")
+    named = stored(named.join(mixed(named), "block").select("block", "node", "bits", "label", "rows", "hashes", spelt))
+    few = named.where(F.col("rows") <= MEET).select("block", "node", "bits", "label", "spelt", "rows")
+    rare = stored(_rare_words(named.where(F.col("rows") > MEET), similarity))
+    left = few.unionByName(rare.join(mixed(rare), "block")).withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int")).drop("rows")
     left = left.withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
+    left = stored(left.select("block", "own", "tiles", "node", F.struct("bits.n", "bits.x", "label", "spelt").alias("line")))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    a = left.select("block", "own", other.alias("other"), F.col("node").alias("a"), F.col("bits").alias("bits_a"), F.col("label").alias("label_a"))
-    b = left.select("block", other.alias("own"), F.col("own").alias("other"), F.col("node").alias("b"), F.col("bits").alias("bits_b"), F.col("label").alias("label_b"))
+    a = left.select("block", "own", other.alias("other"), F.col("node").alias("a"), F.col("line").alias("line_a"))
+    b = left.select("block", other.alias("own"), F.col("own").alias("other"), F.col("node").alias("b"), F.col("line").alias("line_b"))
     meet = (a.block == b.block) & (a.own == b.own) & (a.other == b.other)
-    return a.join(b, meet & F.expr("a < b AND label_a <> label_b") & _close("bits_a", "bits_b", similarity)).select("a", "b").distinct()
+    edits = f"cast(floor({1 - similarity:.6f}D * greatest(line_a.n, line_b.n) + 1e-9D) as int)"
+    near = F.expr(f"coalesce(levenshtein(line_a.spelt, line_b.spelt, {edits}) >= 0, true)")
+    return a.join(b, meet & F.expr("a < b AND line_a.label <> line_b.label") & _close("line_a", "line_b", similarity) & near).select("a", "b").distinct()
 
 
 def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,7 +185,8 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
         lines_of(df, min_words)
         .where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"), F.first("n").alias("n"), F.first("votes").alias("votes"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"), F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("votes", F.when(F.col("hashes").isNotNull(), _votes("hashes")))
     )
     keyed = classes.where("votes IS NOT NULL").select("node", F.explode(_keys("votes", "n")).alias("block")).repartition("block")
     shared = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
@@ -174,6 +207,7 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
             pairs = apart.where("coalesce(node_label, node) <> coalesce(leader_label, leader)").select(F.col("leader").alias("a"), F.col("node").alias("b"))
         else:
             named = members.where("node <> leader").join(labels, "node", "left").select("block", "node", "bits", F.coalesce("component", "node").alias("label"))
+            named = named.join(classes.select("node", "hashes"), "node")
             pairs = _apart(named, similarity)
         pairs = stored(pairs)
         if step != 1:
@@ -192,7 +226,7 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
 def dedup_lines(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, counts: bool = False, drop_empty: bool = False) -> DataFrame:
     """The documents without the lines that occur before, exactly or nearly. counts adds n_lines and n_cut."""
     groups = stored(line_groups(df, similarity, min_words))
-    lines = lines_of(df, min_words).drop("votes", "n", "doc_id")
+    lines = lines_of(df, min_words).drop("hashes", "n", "doc_id")
     marked = lines.join(groups, "node", "left")
     keep = F.col("first").isNull() | ((F.col("first.doc") == F.col("doc")) & (F.col("first.place") == F.col("place")))
     marked = marked.select("doc", F.struct("place", keep.alias("keep")).alias("line"))

@@ -167,3 +167,29 @@ def test_short_and_unspaced_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
     assert got == {0: texts[0], 1: "---\nRead less", 2: texts[2].split("\n")[1], 3: texts[3], 4: texts[4]}
+
+
+def test_large_blocks_meet_on_rare_words(spark):
+    """No close pair of a large block is lost, and those that are not close give no rows, however many they are."""
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(12)]
+    lines = []
+    for _ in range(150):
+        line = [rng.choice(common) if rng.random() < 0.6 else f"w{rng.randint(0, 2000)}" for _ in range(rng.choice([4, 5, 8, 9, 12, 23, 24, 25]))]
+        lines.append(tuple(line))
+        for edits in (1, 2, len(line) // 4, len(line) // 4 + 1):
+            other = list(line)
+            for _ in range(edits):
+                at = rng.randrange(len(other))
+                other[at : at + 1] = rng.choice([[], [f"w{rng.randint(0, 2000)}"], [rng.choice(common), other[at]]])
+            if len(other) > 3:
+                lines.append(tuple(other))
+    lines = sorted(set(lines))
+    named = spark.createDataFrame([(7, k, list(w)) for k, w in enumerate(lines)], "block long, node long, words array<string>")
+    named = named.select("block", "node", F.expr("struct(size(words) AS n, 0L AS x)").alias("bits"), F.col("node").alias("label"), F.transform("words", lambda w: F.hash(w)).alias("hashes"))
+    assert len(lines) > L.MEET
+    close = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if abs(len(a) - len(b)) <= max(len(a), len(b)) // 4 and edit(a, b) <= max(len(a), len(b)) // 4}
+    assert len(close) > 100
+    assert {(r.a, r.b) for r in L._apart(named, L.SIMILARITY).collect()} == close
+    rare = L._rare_words(named.withColumn("spelt", F.lit("")), L.SIMILARITY).groupBy("block").count()
+    assert sum(r["count"] ** 2 for r in rare.collect()) < len(lines) ** 2 / 5
