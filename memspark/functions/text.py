@@ -64,6 +64,15 @@ def stem(word: Column) -> Column:
     )
 
 
+def runs(items: Column) -> Column:
+    """The distinct items of an array with their counts, ``array<struct<item, n>>``, from one sort within the row."""
+    # Each lambda around a single value computes it once.
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    both = F.transform(F.array(F.sort_array(items)), lambda s: F.struct(s.alias("s"), starts(s).alias("p")))
+    item = lambda b, p, j: F.struct(F.get(b["s"], p).alias("item"), (F.coalesce(F.get(b["p"], j + 1), F.size(b["s"])) - p).cast("bigint").alias("n"))
+    return F.transform(both, lambda b: F.transform(b["p"], lambda p, j: item(b, p, j)))[0]
+
+
 def tokenize(text: Column) -> Column:
     return F.transform(words(text), stem)
 

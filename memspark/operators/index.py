@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memspark.functions.text import query_terms, stem, words
+from memspark.functions.text import query_terms, runs, stem, words
 from memspark.runtime import cut_lineage
 
 
@@ -48,6 +48,16 @@ def build_keyword_index(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return KeywordIndex(rows.select(*COLUMNS))
 
 
+def index_unique(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """Index rows of documents that have one row each, with the carried columns. Words are counted within the row, so no task
+    holds the terms of many documents."""
+    worded = docs.select("doc_id", F.coalesce("project", F.lit("")).alias("project"), words(F.col("text")).alias("words"), *carried)
+    terms = F.transform("words", lambda w: stem(w))
+    counted = worded.select("doc_id", "project", F.size("words").alias("doc_len"), F.concat(terms, F.array(F.lit(DOCUMENT))).alias("terms"), *carried)
+    rows = counted.select("doc_id", "project", "doc_len", F.explode(runs(F.col("terms"))).alias("t"), *carried)
+    return rows.select(F.col("t.item").alias("term"), "doc_id", "project", "doc_len", F.col("t.n").alias("tf"), *carried)
+
+
 def mean_length(total: Column, count: Column) -> Column:
     return F.when(F.coalesce(total, F.lit(0)) == 0, 1.0).otherwise(total / count)
 

@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from memspark.operators.index import COLUMNS, DOCUMENT, KeywordIndex, build_keyword_index
+from memspark.operators.index import COLUMNS, DOCUMENT, KeywordIndex, index_unique
 
 #: Segments of a size class that are merged, and the ratio of one class's documents to the next's.
 FACTOR = 4
@@ -26,8 +26,8 @@ def write_segment(docs: DataFrame, version: str, path: str) -> None:
     gone = F.coalesce("deleted", F.lit(False)) if "deleted" in docs.columns else F.lit(False)
     latest = docs.groupBy("doc_id").agg(F.max(F.struct("ts", gone.alias("deleted"), "project", "text")).alias("l")).select("doc_id", "l.*")
     # A deleted document has no words, so its only row is the one for itself.
-    index = build_keyword_index(latest.withColumn("text", F.when(F.col("deleted"), "").otherwise(F.col("text"))))
-    index.rows.join(latest.select("doc_id", "ts", "deleted"), "doc_id").write.mode("overwrite").parquet(f"{path}/rows/version={version}")
+    rows = index_unique(latest.withColumn("text", F.when(F.col("deleted"), "").otherwise(F.col("text"))), ["ts", "deleted"])
+    rows.write.mode("overwrite").parquet(f"{path}/rows/version={version}")
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -49,7 +49,8 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
 def _newest(rows: DataFrame) -> DataFrame:
     """Index rows of every document's newest version, tombstones included."""
     newest = rows.filter(F.col("term") == DOCUMENT).groupBy("doc_id").agg(F.max(F.struct("ts", "version")).alias("l")).select("doc_id", "l.version")
-    return rows.join(newest, ["doc_id", "version"]).drop("version")
+    # One row for each document is held by hash, so the postings need no sort.
+    return rows.join(newest.hint("shuffle_hash"), ["doc_id", "version"]).drop("version")
 
 
 def current_index(spark: SparkSession, path: str) -> KeywordIndex:

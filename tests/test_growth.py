@@ -92,3 +92,16 @@ def test_texts_are_cut_once_for_a_search(spark):
     hits = bm25_search(queries, build_keyword_index(docs, project_col=None))
     assert "Range (" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert [r.doc_id for r in hits.orderBy("rank").collect()] == [3, 10, 17, 24, 31, 38, 45]
+
+
+def test_the_index_stream_holds_no_terms_of_many_documents(spark, tmp_path):
+    from memspark.operators.index import build_keyword_index, index_unique
+    from memspark.streaming.index import _newest
+
+    docs = spark.sql("SELECT id AS doc_id, 'p' AS project, 1 AS ts, if(id = 3, NULL, concat('Words worded wording b7 ', id % 7, ' b7 words w', id % 5)) AS text FROM range(40)")
+    rows = index_unique(docs, ["ts"])
+    assert "Aggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = build_keyword_index(docs).rows
+    assert sorted(map(tuple, rows.drop("ts").collect())) == sorted(map(tuple, want.collect()))
+    plan = _newest(rows.withColumn("version", F.lit("v")))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
