@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from memspark.functions.text import clip_snippet, query_terms
 from memspark.operators.index import DOCUMENT, KeywordIndex, mean_length
@@ -87,26 +89,37 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms > 0, norms, 1.0)[:, None]
 
 
-def _score_tiles(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """The best k documents of each tile for each of its queries, equal scores by document id; one frame per tile."""
+def _score_tiles(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The best k documents of each tile for each of its queries, equal scores by document id; of a batch only one tile at a
+    time is more than Arrow's own memory."""
     for batch in batches:
-        for tile in batch.itertuples(index=False):
-            ids, projects = np.array(list(tile.ids), dtype=object), np.array(list(tile.projects), dtype=object)
-            docs = _unit(np.frombuffer(tile.packed, np.float64).reshape(len(ids), -1))
-            queries = _unit(np.array([np.asarray(q["embedding"], np.float64) for q in tile.queries]))
+        for n in range(batch.num_rows):
+            tile = {name: batch.column(name)[n] for name in ("ids", "projects", "packed", "queries")}
+            ids, projects = np.array(tile["ids"].as_py(), dtype=object), np.array(tile["projects"].as_py(), dtype=object)
+            docs = _unit(np.frombuffer(tile["packed"].as_buffer(), np.float64).reshape(len(ids), -1))
+            asked = tile["queries"].values
+            queries = _unit(asked.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1))
+            asked = list(zip(asked.field("query_id").to_pylist(), asked.field("project").to_pylist(), strict=True))
             scores = np.round(queries @ docs.T, SCORE_DIGITS) + 0.0
             out_q, out_d, out_s = [], [], []
-            for row, q in enumerate(tile.queries):
-                usable = np.arange(len(ids)) if q["project"] == "" else np.flatnonzero(projects == q["project"])
+            for row, (query_id, project) in enumerate(asked):
+                usable = np.arange(len(ids)) if project == "" else np.flatnonzero(projects == project)
                 own = scores[row, usable]
                 if len(own) > k:
                     usable = usable[own >= np.partition(own, len(own) - k)[len(own) - k]]
                 best = sorted(usable.tolist(), key=lambda i: (-scores[row, i], ids[i]))[:k]
-                out_q += [q["query_id"]] * len(best)
+                out_q += [query_id] * len(best)
                 out_d += [ids[i] for i in best]
                 out_s += [scores[row, i] for i in best]
             if out_q:
-                yield pd.DataFrame({"query_id": out_q, "doc_id": out_d, "score": out_s})
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((out_q, out_d, out_s), schema, strict=True)], schema=schema)
+
+
+def score_tiles(tiles: DataFrame, limit: int, query_type: T.DataType, doc_type: T.DataType) -> DataFrame:
+    """``tiles(ids, projects, packed, queries)`` -> (query_id, doc_id, score), at most ``limit`` rows for a query of a tile."""
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("doc_id", doc_type), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    return tiles.mapInArrow(lambda it: _score_tiles(it, limit, arrow), schema)
 
 
 def vector_search(
@@ -130,8 +143,7 @@ def vector_search(
     slim = vectors.select(F.size("embedding").alias("dim"), "doc_id", F.coalesce("project", F.lit("")).alias("project"), "embedding").filter("dim > 0")
     packed = slim.mapInPandas(lambda it: _packed(it, salts, document_block), f"dim int, salt int, ids array<{kind}>, projects array<string>, packed binary")
     tiles = packed.join(spread, ["dim", "salt"]).drop("salt", "dim")
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {kind}, score double"
-    return ranked(tiles.mapInPandas(lambda it: _score_tiles(it, limit), schema), limit)
+    return ranked(score_tiles(tiles, limit, queries.schema["query_id"].dataType, vectors.schema["doc_id"].dataType), limit)
 
 
 def rrf_fuse(lists: DataFrame, k: int = 60) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from memspark.operators.search import DOCUMENT_BLOCK, QUERY_BLOCK, _score_tiles, _unit, ranked
+from memspark.operators.search import DOCUMENT_BLOCK, QUERY_BLOCK, _unit, ranked, score_tiles
 from memspark.runtime import cut_lineage
 
 #: The sample that centres are fitted on: so many vectors, and so many numbers in all.
@@ -198,8 +198,7 @@ def _search(visits: DataFrame, path: str, limit: int) -> DataFrame:
         F.collect_list(F.struct("query_id", "project", "embedding")).alias("queries"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     tiles = blocks.join(asked, "cell").filter("most >= low AND least <= high").select("ids", "projects", "packed", "queries")
-    schema = f"query_id {dict(visits.dtypes)['query_id']}, doc_id {kind}, score double"
-    return ranked(tiles.mapInPandas(lambda it: _score_tiles(it, limit), schema), limit)
+    return ranked(score_tiles(tiles, limit, visits.schema["query_id"].dataType, stored.schema["doc_id"].dataType), limit)
 
 
 def search_stored_vectors(query_vectors: DataFrame, path: str, model: str, limit: int = 10) -> DataFrame:

@@ -105,3 +105,14 @@ def test_the_index_stream_holds_no_terms_of_many_documents(spark, tmp_path):
     assert sorted(map(tuple, rows.drop("ts").collect())) == sorted(map(tuple, want.collect()))
     plan = _newest(rows.withColumn("version", F.lit("v")))._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tiles_of_vectors_are_scored_one_by_one(spark):
+    from memspark.operators.search import vector_search
+
+    vectors = spark.range(60).selectExpr("id AS doc_id", "if(id % 2 = 0, 'p', 'q') AS project", "array(float(id), float(7), float(id % 5)) AS embedding")
+    queries = vectors.where("doc_id < 9").selectExpr("doc_id AS query_id", "if(doc_id = 1, 'q', '') AS project", "embedding")
+    got = vector_search(queries, vectors, limit=1, query_block=2, document_block=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("MapInPandas") <= 2
+    assert {r.query_id: r.doc_id for r in got.collect()} == {k: k for k in range(9)}
