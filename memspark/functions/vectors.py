@@ -7,7 +7,9 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from memspark.functions.text import runs
 
 # Output size of each known embedding model; other models are taken to have 1536.
 MODEL_DIMENSIONS = {
@@ -79,18 +81,22 @@ def hash_embedding(dimension: int = 384):
 
 
 def hash_embedding_sparse(docs: DataFrame, id_col: str, text_col: str, dimension: int = 384) -> DataFrame:
-    """All-SQL hashing embedder with SHA-256 slots: long form (id, slot, weight), zero weights left out."""
-    word = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), F.lit(0)))
-    digest = F.sha2(F.col("word"), 256)
-    counted = (
-        docs.select(F.col(id_col), word.alias("word"))
-        .groupBy(id_col, "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("slot", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimension).cast("int"))
-        .withColumn("sign", F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1))
+    """All-SQL hashing embedder with SHA-256 slots: long form (id, slot, weight), zero weights left out.
+
+    The texts are read and cut once. Words are counted within a row, and one shuffle by id serves both the slots and the norm.
+    """
+    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), F.lit(0))
+    digest = F.sha2(F.col("w.item"), 256)
+    raw = (
+        docs.select(F.col(id_col), F.explode(runs(words)).alias("w"))
+        .select(id_col, "w", digest.alias("digest"))
+        .withColumn("slot", (F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint") % dimension).cast("int"))
+        .withColumn("sign", F.when(F.conv(F.substring("digest", 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1))
+        .select(id_col, "slot", (F.col("w.n") * F.col("sign")).alias("part"))
+        .repartition(id_col)
         .groupBy(id_col, "slot")
-        .agg(F.sum(F.col("n") * F.col("sign")).alias("raw"))
+        .agg(F.sum("part").alias("raw"))
         .filter("raw <> 0")
     )
-    norm = counted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return counted.join(norm, id_col).select(id_col, "slot", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(id_col)))
+    return raw.select(id_col, "slot", (F.col("raw") / norm).alias("weight"))

@@ -301,4 +301,4 @@ def hash_embed(v: View) -> DataFrame:
        SELECT doc_id, slot, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS weight FROM c""",
 )
 def hash_embed_sql(v: View) -> DataFrame:
-    return hash_embedding_sparse(v("documents"), "doc_id", "text").select("doc_id", "slot", F.round("weight", 9).alias("weight"))
+    return hash_embedding_sparse(spread(v("documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "slot", F.round("weight", 9).alias("weight"))

@@ -116,3 +116,17 @@ def test_tiles_of_vectors_are_scored_one_by_one(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and plan.count("MapInPandas") <= 2
     assert {r.query_id: r.doc_id for r in got.collect()} == {k: k for k in range(9)}
+
+
+def test_the_sql_embedder_reads_texts_once(spark):
+    from memspark.functions.vectors import hash_embedding_sparse
+
+    docs = spark.createDataFrame([(1, "one two two"), (1, "two"), (2, None), (3, "...")], "doc_id long, text string")
+    found = hash_embedding_sparse(docs, "doc_id", "text", 16)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2") == 1
+    raw = {}
+    for word, n in (("one", 1), ("two", 3)):
+        h = hashlib.sha256(word.encode()).hexdigest()
+        raw[int(h[:8], 16) % 16] = raw.get(int(h[:8], 16) % 16, 0) + n * (1 if int(h[8], 16) % 2 else -1)
+    norm = sum(v * v for v in raw.values()) ** 0.5
+    assert {(r.doc_id, r.slot, round(r.weight, 9)) for r in found.collect()} == {(1, s, round(v / norm, 9)) for s, v in raw.items() if v}
