@@ -1,11 +1,11 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
-Lines are normalised to lower-case words. Equal lines are one class. A class has a SimHash of 56 bits in eight blocks: a
-word votes in one block only, chosen by its hash, with seven numbers of four bits, and a bit is set if its votes are over
-their mean. An edit changes the votes of two blocks at most, so of two lines within a few edits some blocks have the very
-same votes (pigeonhole), and classes meet on these: single blocks of long lines, pairs of neighbouring blocks of shorter
+Lines are normalised to lower-case words. Equal lines are one class. A class has its words in eight blocks: a word is in
+one block only, chosen by its hash, and a block is one number made of the hashes in it. An edit changes two blocks at most,
+so of two lines within a few edits some blocks are the very same (pigeonhole), and classes meet on these: single blocks of long lines, pairs of neighbouring blocks of shorter
 ones, and pairs of quarters of the shortest, whose blocks have few words. A line near the end of a length range has the
-keys of both. Those that meet and whose SimHashes are within BITS_APART bits are verified by edit similarity, counted in
+keys of both. Classes that meet have a SimHash of 56 bits: words vote in a block of it with seven numbers of four bits, and
+a bit is set if its votes are over their mean. Those that meet and whose SimHashes are within BITS_APART bits are verified by edit similarity, counted in
 words and on the words themselves. Of each connected group one occurrence stays, that with the least doc_id and place;
 the others are cut out.
 
@@ -51,12 +51,14 @@ BROADCAST_LINES = 500_000
 #: this many characters, when a chance in a million for each word doesn't matter.
 WORDS_IN_PLACE = 4000
 _CODES = 983_040
+#: Between the hashes of one block and the next.
+_BOUNDS = [(i - 4) << 61 for i in range(1, 8)]
 #: Votes: seven lanes of eight bits, then the number of words in six.
 _VOTES, _WORD, _KEEP = 0x000F0F0F0F0F0F0F, 1 << 56, (1 << 62) - 1
 
 
 def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line: doc_id, the document's key, place, and for lines of enough words their class, number and hashes of words."""
+    """Every line: doc_id, the document's key, place, and for lines of enough words their class, number and blocks."""
     unspaced = (F.octet_length("text") > F.length("text")) & F.col("text").rlike(UNSPACED)
     lines = df.select("doc_id", "text", unspaced.alias("mixed"), F.xxhash64("doc_id", "text").alias("doc")).where(F.col("text").isNotNull())
     lines = lines.select("doc_id", "doc", "mixed", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
@@ -64,7 +66,15 @@ def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.select("doc_id", "doc", "place", _words(F.col("line"), F.col("unspaced")).alias("words"), "unspaced")
     enough = F.size("words") >= min_words
     compared = enough & (F.size("words") >= 3) & (~F.col("unspaced") | (F.size("words") >= UNSPACED_WORDS))
-    return lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.size("words").alias("n"), F.when(compared, F.transform("words", lambda w: F.hash(w))).alias("hashes"))
+    at = ["doc_id", "doc", "place", "node", "n"]
+    # Sorted, the hashes of a block stand between two of the bounds. Lambdas, as spelling the blocks out makes code that Java
+    # doesn't compile.
+    hashes = F.when(compared, F.sort_array(F.concat(F.transform("words", lambda w: F.xxhash64(w)), F.array(*map(F.lit, _BOUNDS)))))
+    lines = lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.size("words").alias("n"), hashes.alias("hashes"))
+    ends = F.expr(f"concat(array(0L), transform(array({', '.join(f'{b}L' for b in _BOUNDS)}), b -> array_position(hashes, b)), array(size(hashes) + 1L))")
+    lines = lines.select(*at, "hashes", F.when(F.col("hashes").isNotNull(), ends.cast("array<int>")).alias("ends"))
+    block = "transform(sequence(0, 7), i -> if(ends[i + 1] - ends[i] = 1, 0L, xxhash64(slice(hashes, ends[i] + 1, ends[i + 1] - ends[i] - 1))))"
+    return lines.select(*at, F.when(F.col("ends").isNotNull(), F.expr(block)).alias("blocks"))
 
 
 def _words(line: Column, unspaced: Column | None = None) -> Column:
@@ -92,19 +102,19 @@ def simhash(votes: str) -> Column:
     return F.expr(f"aggregate({votes}, 0L, (s, v) -> shiftleft(s, 7) | {bits})")
 
 
-def _keys(votes: str, n: str) -> Column:
-    """Keys of blocks with equal votes, by the lengths that close lines may have."""
-    v = lambda i: f"{votes}[{i % 8}]"
-    key = lambda kind, *parts: f"if({' | '.join(map(v, parts))} <> 0, xxhash64({kind}, {', '.join(map(v, parts))}), NULL)"
-    quarter = lambda i: (2 * i, 2 * i + 1)
+def _keys(blocks: str, n: str) -> Column:
+    """Keys of equal blocks, by the lengths that close lines may have; null where the blocks have no words."""
+    key = lambda kind, *parts: f"if({' | '.join(parts)} <> 0, xxhash64({kind}, {', '.join(parts)}), NULL)"
+    v = lambda i: f"{blocks}[{i}]"
+    pairs = ", ".join(f"struct({i} AS i, {j} AS j)" for i in range(4) for j in range(i))
     ranges = [
-        (0, QUARTERS, [key(10 * i + j, *quarter(i), *quarter(j)) for i in range(4) for j in range(i)]),
-        (QUARTERS, NEIGHBOURS, [key(100 + i, *quarter(i)) for i in range(4)]),
-        (NEIGHBOURS, SINGLES, [key(200 + i, i, i + 1) for i in range(8)]),
-        (SINGLES, 1 << 31, [key(300 + i, i) for i in range(8)]),
+        (0, QUARTERS, f"array({pairs})", key("10 * x.i + x.j", v("2 * x.i"), v("2 * x.i + 1"), v("2 * x.j"), v("2 * x.j + 1"))),
+        (QUARTERS, NEIGHBOURS, "sequence(0, 3)", key("100 + x", v("2 * x"), v("2 * x + 1"))),
+        (NEIGHBOURS, SINGLES, "sequence(0, 7)", key("200 + x", v("x"), v("(x + 1) % 8"))),
+        (SINGLES, 1 << 31, "sequence(0, 7)", key("300 + x", v("x"))),
     ]
-    parts = [f"if({n} + 1 >= {low} AND {n} - 1 < {high}L, array({', '.join(keys)}), array())" for low, high, keys in ranges]
-    return F.array_distinct(F.array_compact(F.expr(f"concat({', '.join(parts)})")))
+    parts = [f"if({n} + 1 >= {low} AND {n} - 1 < {high}L, transform({over}, x -> {made}), array())" for low, high, over, made in ranges]
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def _close(a: str, b: str, similarity: float) -> Column:
@@ -114,14 +124,17 @@ def _close(a: str, b: str, similarity: float) -> Column:
 
 
 def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The classes' words, read at their first occurrences: node and words."""
-    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc").alias("doc"), F.col("first.place").alias("place")))
-    few = wanted.count() <= BROADCAST_LINES
-    docs = F.broadcast(wanted.select("doc").distinct()) if few else wanted.select("doc").distinct()
-    lines = df.select("text", F.xxhash64("doc_id", "text").alias("doc")).join(docs, "doc", "left_semi")
-    lines = lines.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).join(F.broadcast(wanted) if few else wanted, ["doc", "place"])
-    # Rows that are alike in doc_id and text have the same lines.
-    return lines.groupBy("node").agg(F.first("line").alias("line")).select("node", _words(F.col("line")).alias("words"))
+    """The classes' words, read at their first occurrences, and their SimHash: node, words and bits."""
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc").alias("key_of_doc"), F.col("first.place").alias("place"))
+    wanted = stored(wanted.groupBy("key_of_doc").agg(F.collect_list(F.struct("node", "place")).alias("wanted")))
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
+    # Rows that are alike in doc_id and text have the same lines. Only lines that are wanted leave their text.
+    docs = df.select("text", F.xxhash64("doc_id", "text").alias("doc"))
+    docs = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("doc") == F.col("key_of_doc"))
+    lines = docs.select(F.inline(F.expr("transform(array(split(text, '\\n', -1)), l -> transform(wanted, w -> struct(w.node AS node, l[w.place] AS line)))[0]")))
+    texts = lines.dropDuplicates(["node"]).select("node", _words(F.col("line")).alias("words"))
+    voted = texts.select("node", "words", _votes("transform(words, w -> hash(w))").alias("votes"))
+    return voted.select("node", "words", F.struct(F.size("words").alias("n"), simhash("votes").alias("x")).alias("bits"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -159,15 +172,20 @@ def _rare_words(named: DataFrame, similarity: float) -> DataFrame:
     return named.join(keys, ["block", "node"]).select(F.xxhash64("block", "word").alias("block"), "node", "bits", "label", "spelt")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Blocks with more than one label, and their rows."""
+    return rows.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y").drop("x", "y")
+
+
 def _apart(named: DataFrame, similarity: float) -> DataFrame:
     """Pairs a, b of rows of one block (block, node, bits, label, hashes) with different labels that may be close: by lengths,
     bits, and edits of hashes of words, which are never more than those of the words."""
-    mixed = lambda rows: rows.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y").drop("x", "y")
     spelt = F.when(F.col("bits.n") <= BIT_WORDS, _spelt("hashes")).alias("spelt")
-    named = stored(named.join(mixed(named), "block").select("block", "node", "bits", "label", "rows", "hashes", spelt))
+    named = named if "rows" in named.columns else named.join(_mixed(named), "block")
+    named = stored(named.select("block", "node", "bits", "label", "rows", "hashes", spelt))
     few = named.where(F.col("rows") <= MEET).select("block", "node", "bits", "label", "spelt", "rows")
     rare = stored(_rare_words(named.where(F.col("rows") > MEET), similarity))
-    left = few.unionByName(rare.join(mixed(rare), "block")).withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int")).drop("rows")
+    left = few.unionByName(rare.join(_mixed(rare), "block")).withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int")).drop("rows")
     left = left.withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
     left = stored(left.select("block", "own", "tiles", "node", F.struct("bits.n", "bits.x", "label", "spelt").alias("line")))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -179,44 +197,31 @@ def _apart(named: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, meet & F.expr("a < b AND line_a.label <> line_b.label") & _close("line_a", "line_b", similarity) & near).select("a", "b").distinct()
 
 
-def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Classes with more than one occurrence or in a group: node and the group's first occurrence."""
-    classes = stored(
-        lines_of(df, min_words)
-        .where("node IS NOT NULL")
-        .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"), F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("votes", F.when(F.col("hashes").isNotNull(), _votes("hashes")))
-    )
-    keyed = classes.where("votes IS NOT NULL").select("node", F.explode(_keys("votes", "n")).alias("block")).repartition("block")
+def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, lines: DataFrame | None = None) -> DataFrame:
+    """Classes with more than one occurrence or in a group: node and the group's first occurrence. lines are those of the
+    table, if they are at hand."""
+    lines = lines_of(df, min_words) if lines is None else lines
+    first = F.min(F.struct("doc_id", "doc", "place")).alias("first")
+    classes = stored(lines.where("node IS NOT NULL").groupBy("node").agg(first, F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("copies")))
+    keyed = classes.where("blocks IS NOT NULL").select("node", F.explode(_keys("blocks", "n")).alias("block")).where("block IS NOT NULL").repartition("block")
     shared = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
-    # Bare keys meet first; lengths and bits join those that are left.
-    members, shared = stored(keyed.join(shared.select("block"), "block")), stored(shared)
-    bits = classes.select("node", F.struct("n", simhash("votes").alias("x")).alias("bits"))
-    led = shared.join(bits.select(F.col("node").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
-    members = members.join(bits, "node").join(led, "block")
-    members = stored(members.withColumn("near", _close("bits", "leader_bits", similarity)).drop("leader_bits"))
-    near = stored(members.where("leader < node AND near").select("leader", "node").distinct())
-    links = labels = None
-    for step in range(3):
-        if step == 0:
-            pairs = near.groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
-        elif step == 1:
-            of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
-            apart = near.join(of("node"), "node", "left").join(of("leader"), "leader", "left")
-            pairs = apart.where("coalesce(node_label, node) <> coalesce(leader_label, leader)").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        else:
-            named = members.where("node <> leader").join(labels, "node", "left").select("block", "node", "bits", F.coalesce("component", "node").alias("label"))
-            named = named.join(classes.select("node", "hashes"), "node")
-            pairs = _apart(named, similarity)
-        pairs = stored(pairs)
-        if step != 1:
-            ends = pairs if step else near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-            texts = stored(_texts(df, classes, ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()))
-        found = stored(_verified(pairs, texts, similarity))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    grouped = classes.join(labels, "node")
+    # Bare keys meet first, in one pass over them; words and bits are fetched for those that are left.
+    members = stored(keyed.join(shared.hint("shuffle_hash"), "block"))
+    texts = stored(_texts(df, classes, members.select("node").distinct()))
+    bits = lambda c: texts.select(F.col("node").alias(c), F.col("bits").alias(f"{c}_bits"))
+    led = members.where("leader < node").select("leader", "node").distinct().join(bits("node"), "node").join(bits("leader"), "leader")
+    near = stored(led.where(_close("node_bits", "leader_bits", similarity)).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    labels = components(stored(_verified(near, texts, similarity)))
+    named = members.where("node <> leader").join(labels, "node", "left").select("block", "node", F.coalesce("component", "node").alias("label"))
+    named = named.join(_mixed(named), "block").join(texts.select("node", "bits", F.transform("words", lambda w: F.hash(w)).alias("hashes")), "node")
+    apart = stored(_verified(stored(_apart(named, similarity)), texts, similarity))
+    # These link groups, or classes alone, which are their own label.
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    links = apart.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    more = components(links)
+    moved = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
+    labels = stored(moved.select("node", F.coalesce("next", "component").alias("component")).union(more.join(labels, "node", "left_anti")))
+    grouped = classes.select("node", "first").join(labels, "node")
     firsts = grouped.groupBy("component").agg(F.min("first").alias("group_first"))
     joined = grouped.join(firsts, "component").select("node", F.col("group_first").alias("first"))
     alone = classes.where("copies > 1").join(labels, "node", "left_anti").select("node", "first")
@@ -225,20 +230,19 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
 
 def dedup_lines(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, counts: bool = False, drop_empty: bool = False) -> DataFrame:
     """The documents without the lines that occur before, exactly or nearly. counts adds n_lines and n_cut."""
-    groups = stored(line_groups(df, similarity, min_words))
-    lines = lines_of(df, min_words).drop("hashes", "n", "doc_id")
-    marked = lines.join(groups, "node", "left")
-    keep = F.col("first").isNull() | ((F.col("first.doc") == F.col("doc")) & (F.col("first.place") == F.col("place")))
-    marked = marked.select("doc", F.struct("place", keep.alias("keep")).alias("line"))
-    flags = marked.groupBy("doc").agg(F.collect_set("line").alias("lines"), F.bool_and("line.keep").alias("whole")).where("NOT whole")
-    flags = flags.select(F.col("doc").alias("key_of_doc"), F.transform(F.sort_array("lines"), lambda x: x["keep"]).alias("flags_of_doc"))
+    lines = stored(lines_of(df, min_words))
+    groups = line_groups(df, similarity, min_words, lines)
+    cut = lines.select("node", "doc", "place").join(groups, "node").where("first.doc <> doc OR first.place <> place")
+    cut = stored(cut.groupBy(F.col("doc").alias("key_of_doc")).agg(F.collect_set("place").alias("cut_of_doc")))
     names = [c for c in df.columns if not counts or c not in ("n_lines", "n_cut")]
-    out = df.select(*names, F.xxhash64("doc_id", "text").alias("key_of_row")).join(flags, F.col("key_of_row") == F.col("key_of_doc"), "left")
-    cut = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> flags_of_doc[i]), '\\n')")
+    # Texts aren't sorted for this; what is cut of a partition's documents is held, places only.
+    out = df.select(*names, F.xxhash64("doc_id", "text").alias("key_of_row")).join(cut.hint("shuffle_hash"), F.col("key_of_row") == F.col("key_of_doc"), "left")
+    # The lambda around splits the text once.
+    left = F.expr("transform(array(split(text, '\\n', -1)), l -> array_join(transform(array_except(sequence(0, size(l) - 1), cut_of_doc), i -> l[i]), '\n'))[0]")
     if drop_empty:
-        out = out.where(F.col("flags_of_doc").isNull() | cut.rlike(r"\S"))
-    done = out.select(*(F.when(F.col("flags_of_doc").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in names), *((
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size(F.filter("flags_of_doc", lambda x: ~x)), F.lit(0)).alias("n_cut"),
+        out = out.where(F.col("cut_of_doc").isNull() | left.rlike(r"\S"))
+    done = out.select(*(F.when(F.col("cut_of_doc").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in names), *((
+        F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("cut_of_doc"), F.lit(0)).alias("n_cut"),
     ) if counts else ()))
     return done

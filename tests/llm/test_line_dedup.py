@@ -193,3 +193,16 @@ def test_large_blocks_meet_on_rare_words(spark):
     assert {(r.a, r.b) for r in L._apart(named, L.SIMILARITY).collect()} == close
     rare = L._rare_words(named.withColumn("spelt", F.lit("")), L.SIMILARITY).groupBy("block").count()
     assert sum(r["count"] ** 2 for r in rare.collect()) < len(lines) ** 2 / 5
+
+
+def test_words_of_a_line_are_cut_once_and_leave_eight_numbers(spark, monkeypatch):
+    """All lines are read into words once, not again to mark what is cut, and no word of theirs is written or moved."""
+    calls, cut = [], L.lines_of
+    monkeypatch.setattr(L, "lines_of", lambda *a, **k: calls.append(1) or cut(*a, **k))
+    line = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(line)), (2, " ".join(["changed", *line[1:]])), (3, "too short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.dedup_lines(df).collect()} == {1: rows[0][1], 2: "", 3: "too short"}
+    assert len(calls) == 1
+    blocks = {r.doc_id: r.blocks for r in cut(df).collect()}
+    assert blocks[3] is None and len(blocks[1]) == 8 and sum(a == b for a, b in zip(blocks[1], blocks[2])) in (6, 7)
