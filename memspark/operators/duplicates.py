@@ -123,8 +123,10 @@ def upsert_same_as(same_as: DataFrame, found: DataFrame) -> DataFrame:
     """Highest confidence and latest match type per pair; a review status stays. Rows carry ``created_at``."""
     old = same_as.withColumn("__new", F.lit(0))
     new = found.withColumns({"status": F.lit("pending"), "__new": F.lit(1)})
+    # Texts make these sorted aggregates. Nearly every pair is there once, so they aren't sorted before the shuffle too.
     return (
         old.unionByName(new)
+        .repartition("source_id", "target_id")
         .groupBy("source_id", "target_id")
         .agg(
             F.max("confidence").alias("confidence"),

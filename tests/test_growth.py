@@ -130,3 +130,11 @@ def test_the_sql_embedder_reads_texts_once(spark):
         raw[int(h[:8], 16) % 16] = raw.get(int(h[:8], 16) % 16, 0) + n * (1 if int(h[8], 16) % 2 else -1)
     norm = sum(v * v for v in raw.values()) ** 0.5
     assert {(r.doc_id, r.slot, round(r.weight, 9)) for r in found.collect()} == {(1, s, round(v / norm, 9)) for s, v in raw.items() if v}
+
+
+def test_pairs_are_sorted_once_after_the_shuffle(spark):
+    old = spark.range(50).selectExpr("'a' || id AS source_id", "'b' AS target_id", "0.5D AS confidence", "'exact' AS match_type", "'confirmed' AS status", "timestamp_seconds(id) AS created_at")
+    out = dup.upsert_same_as(old, old.drop("status").withColumn("match_type", F.lit("fuzzy")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert out.where("match_type = 'fuzzy' AND status = 'confirmed' AND confidence = 0.5").count() == 50
