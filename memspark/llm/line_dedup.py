@@ -1,18 +1,19 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 Lines are normalised to lower-case words. Equal lines are one class. A class has its words in eight blocks: a word is in
-one block only, chosen by its hash, and a block is one number made of the hashes in it. An edit changes two blocks at most,
+one block only, chosen by its hash, and a block is one number, the sum of what its words vote. An edit changes two blocks at most,
 so of two lines within a few edits some blocks are the very same (pigeonhole), and classes meet on these: single blocks of long lines, pairs of neighbouring blocks of shorter
 ones, and pairs of quarters of the shortest, whose blocks have few words. A line near the end of a length range has the
-keys of both. Classes that meet have a SimHash of 56 bits: words vote in a block of it with seven numbers of four bits, and
-a bit is set if its votes are over their mean. Those that meet and whose SimHashes are within BITS_APART bits are verified by edit similarity, counted in
+keys of both. The same numbers give a SimHash of 56 bits: words vote in a block of it with seven numbers of four bits, and
+a bit is set if its votes are over their mean. Classes that meet, whose SimHashes are within BITS_APART bits and whose words,
+each one of 128 bits, don't need more edits, have their words fetched and are verified by edit similarity, counted in
 words and on the words themselves. Of each connected group one occurrence stays, that with the least doc_id and place;
 the others are cut out.
 
 Keys that one class has alone are dropped before anything but the class is with them. As in other groups of copies, a
 class is first compared with the first of its key, and only classes still apart are compared further, in tiles of bounded
-size, with all conditions inside the join, edits of hashed words among them. Where more than MEET classes have a key, those
-meet that share a word which is rare there, as close lines must. Lines with many edits may have no key in common; the README gives the recall.
+size, with all conditions inside the join. Where more than DIRECT classes have a key, those
+meet that share a word which is rare there, as close lines must, and edits of hashed words are a condition too. Lines with many edits may have no key in common; the README gives the recall.
 
 Edge cases: null and empty texts stay as they are; lines without words are never cut, and those of one or two only
 as exact copies, as one edit is more than a quarter; letters of scripts without spaces count as words, and such lines are
@@ -43,7 +44,9 @@ BIT_WORDS = 150
 QUARTERS, NEIGHBOURS, SINGLES = 8, 12, 24
 #: Rows of a block that meet those of another tile in one task.
 TILE = 1024
-#: Rows of a block that meet as they are; those of larger ones meet on rare words of the block.
+#: Rows of a block that meet by their bits alone, and those of a tile of them; larger blocks are compared on hashed words.
+DIRECT, DIRECT_TILE = 8192, 4096
+#: Of the larger ones, rows of a block that meet as they are; the others meet on rare words of the block.
 MEET = 64
 #: Classes whose texts are fetched by sending their ids to every task (16 bytes each); more are joined.
 BROADCAST_LINES = 500_000
@@ -51,14 +54,14 @@ BROADCAST_LINES = 500_000
 #: this many characters, when a chance in a million for each word doesn't matter.
 WORDS_IN_PLACE = 4000
 _CODES = 983_040
-#: Between the hashes of one block and the next.
-_BOUNDS = [(i - 4) << 61 for i in range(1, 8)]
-#: Votes: seven lanes of eight bits, then the number of words in six.
-_VOTES, _WORD, _KEEP = 0x000F0F0F0F0F0F0F, 1 << 56, (1 << 62) - 1
+#: Votes: seven lanes of eight bits, then the number of words in six. Words from this place on vote in four lanes only and
+#: aren't counted, so that sums stay below 2^63 for lines of any length.
+_VOTES, _LATER, _LATE = 0x000F0F0F0F0F0F0F, 0x0F0F0F0F, 1000
 
 
 def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line: doc_id, the document's key, place, and for lines of enough words their class, number and blocks."""
+    """Every line: doc_id, the document's key, place, and for lines of enough words their class, number, blocks,
+    and their words as 128 bits."""
     unspaced = (F.octet_length("text") > F.length("text")) & F.col("text").rlike(UNSPACED)
     lines = df.select("doc_id", "text", unspaced.alias("mixed"), F.xxhash64("doc_id", "text").alias("doc")).where(F.col("text").isNotNull())
     lines = lines.select("doc_id", "doc", "mixed", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
@@ -66,15 +69,18 @@ def lines_of(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.select("doc_id", "doc", "place", _words(F.col("line"), F.col("unspaced")).alias("words"), "unspaced")
     enough = F.size("words") >= min_words
     compared = enough & (F.size("words") >= 3) & (~F.col("unspaced") | (F.size("words") >= UNSPACED_WORDS))
-    at = ["doc_id", "doc", "place", "node", "n"]
-    # Sorted, the hashes of a block stand between two of the bounds. Lambdas, as spelling the blocks out makes code that Java
-    # doesn't compile.
-    hashes = F.when(compared, F.sort_array(F.concat(F.transform("words", lambda w: F.xxhash64(w)), F.array(*map(F.lit, _BOUNDS)))))
-    lines = lines.select("doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.size("words").alias("n"), hashes.alias("hashes"))
-    ends = F.expr(f"concat(array(0L), transform(array({', '.join(f'{b}L' for b in _BOUNDS)}), b -> array_position(hashes, b)), array(size(hashes) + 1L))")
-    lines = lines.select(*at, "hashes", F.when(F.col("hashes").isNotNull(), ends.cast("array<int>")).alias("ends"))
-    block = "transform(sequence(0, 7), i -> if(ends[i + 1] - ends[i] = 1, 0L, xxhash64(slice(hashes, ends[i] + 1, ends[i + 1] - ends[i] - 1))))"
-    return lines.select(*at, F.when(F.col("ends").isNotNull(), F.expr(block)).alias("blocks"))
+    # Rows alike are told apart here, as their words are summed. Each line's words are in one task, so what is shuffled is a
+    # row for each line.
+    at = ["row", "doc_id", "doc", "place", "node", "n"]
+    lines = lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", "doc", "place", F.when(enough, _class(F.col("words"))).alias("node"), F.size("words").alias("n"), F.when(compared, F.col("words")).alias("words"))
+    # Not the plain form, before which Spark would filter by the size of the words and so cut each line twice.
+    words = lines.select(*at, F.posexplode_outer("words").alias("at", "word")).withColumn("h", F.when(F.col("word").isNotNull(), F.xxhash64("word")))
+    words = words.select(*at, F.expr("cast(shiftrightunsigned(h, 61) as int)").alias("i"), F.expr(f"h & if(at < {_LATE}, {_VOTES}L, {_LATER}L)").alias("vote"), F.expr(f"if(at < {_LATE}, 1L, 0L)").alias("one"), F.expr("cast(shiftrightunsigned(h, 52) & 127 as int)").alias("bit"))
+    sums = [F.expr(f"sum(if(i = {i}, vote, 0L))").alias(f"b{i}") for i in range(8)]
+    sums += [F.expr(f"sum(if(i div 4 = {j}, shiftleft(one, 14 * (i - {4 * j})), 0L))").alias(f"c{j}") for j in range(2)]
+    sums += [F.expr(f"bit_or(if(bit between {64 * j} and {64 * j + 63}, shiftleft(1L, bit - {64 * j}), 0L))").alias(f"w{j}") for j in range(2)]
+    blocks = F.array(*(F.expr(f"(b{i} & {(1 << 56) - 1}L) | shiftleft(shiftright(c{i // 4}, {14 * (i % 4)}) & 63L, 56)") for i in range(8)))
+    return words.groupBy(*at).agg(*sums).select(*at[1:], F.when(F.expr("c0 + c1 > 0"), blocks).alias("blocks"), "w0", "w1")
 
 
 def _words(line: Column, unspaced: Column | None = None) -> Column:
@@ -87,19 +93,18 @@ def _class(words: Column) -> Column:
     return F.xxhash64(words)
 
 
-def _votes(hashes: str) -> Column:
-    """The votes of words, given by their hashes, in their blocks, as eight numbers."""
-    names = "abcdefgh"
-    start = ", ".join(f"'{c}', 0L" for c in names)
-    add = ", ".join(f"'{c}', if(shiftrightunsigned(h, 61) = {i}, (s.{c} & {_KEEP}L) + (h & {_VOTES}L) + {_WORD}L, s.{c})" for i, c in enumerate(names))
-    out = ", ".join(f"s.{c} & {_KEEP}L" for c in names)
-    return F.expr(f"aggregate(transform({hashes}, w -> xxhash64(w)), named_struct({start}), (s, h) -> named_struct({add}), s -> array({out}))")
+def simhash(blocks: str) -> Column:
+    """56 bits: whether a lane's votes are over their mean. Lanes of a block are compared at once, every other one, in 16 bits each."""
+    ones, odd = 0x0001000100010001, 0x000100010001
 
+    def block(i: int) -> str:
+        v = f"get({blocks}, {i})"
+        least = f"shiftright(15 * shiftright({v}, 56), 1)"
+        least = f"if({least} > 255, 256L, {least} + 1)"
+        over = lambda v, ones: f"(shiftright(({v} & {255 * ones}L) + {256 * ones}L - {least} * {ones}L, 8) & {ones}L)"
+        return f"shiftleft({over(v, ones)} | shiftleft({over(f'shiftright({v}, 8)', odd)}, 8), {7 - i})"
 
-def simhash(votes: str) -> Column:
-    """56 bits: whether a lane's votes are over their mean."""
-    bits = " | ".join(f"if(2 * (shiftright(v, {8 * i}) & 255) > 15 * shiftright(v, 56), {1 << i}L, 0L)" for i in range(7))
-    return F.expr(f"aggregate({votes}, 0L, (s, v) -> shiftleft(s, 7) | {bits})")
+    return F.expr(" | ".join(map(block, range(8))))
 
 
 def _keys(blocks: str, n: str) -> Column:
@@ -114,17 +119,26 @@ def _keys(blocks: str, n: str) -> Column:
         (SINGLES, 1 << 31, "sequence(0, 7)", key("300 + x", v("x"))),
     ]
     parts = [f"if({n} + 1 >= {low} AND {n} - 1 < {high}L, transform({over}, x -> {made}), array())" for low, high, over, made in ranges]
-    return F.expr(f"concat({', '.join(parts)})")
+    # Long lines are most of them; theirs are spelled out, which Spark compiles.
+    singles = ", ".join(key(str(300 + i), v(str(i))) for i in range(8))
+    return F.expr(f"if({n} > {SINGLES}, array({singles}), concat({', '.join(parts)}))")
 
 
 def _close(a: str, b: str, similarity: float) -> Column:
-    """Whether lengths and bits allow two lines to be close; a and b are structs of the number of words and the bits."""
-    edits = f"floor({1 - similarity:.6f}D * greatest({a}.n, {b}.n) + 1e-9D)"
-    return F.expr(f"abs({a}.n - {b}.n) <= {edits} AND (least({a}.n, {b}.n) > {BIT_WORDS} OR bit_count({a}.x ^ {b}.x) <= {BITS_APART})")
+    """Whether lengths and bits allow two lines to be close; a and b are what the names of their number of words and bits begin with."""
+    edits = f"floor({1 - similarity:.6f}D * greatest({a}n, {b}n) + 1e-9D)"
+    return F.expr(f"(bit_count({a}x ^ {b}x) <= {BITS_APART} OR least({a}n, {b}n) > {BIT_WORDS}) AND abs({a}n - {b}n) <= {edits}")
+
+
+def _shared(a: str, b: str, similarity: float) -> Column:
+    """Whether the words, as bits, allow it: a word whose bit the other line lacks has to be edited."""
+    edits = f"floor({1 - similarity:.6f}D * greatest({a}n, {b}n) + 1e-9D)"
+    lacks = lambda x, y: f"bit_count({x}w0 & ~{y}w0) + bit_count({x}w1 & ~{y}w1) <= {edits}"
+    return F.expr(f"{lacks(a, b)} AND {lacks(b, a)}")
 
 
 def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The classes' words, read at their first occurrences, and their SimHash: node, words and bits."""
+    """The classes' words, read at their first occurrences: node, their hashes, and these as characters."""
     wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc").alias("key_of_doc"), F.col("first.place").alias("place"))
     wanted = stored(wanted.groupBy("key_of_doc").agg(F.collect_list(F.struct("node", "place")).alias("wanted")))
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
@@ -132,23 +146,24 @@ def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     docs = df.select("text", F.xxhash64("doc_id", "text").alias("doc"))
     docs = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("doc") == F.col("key_of_doc"))
     lines = docs.select(F.inline(F.expr("transform(array(split(text, '\\n', -1)), l -> transform(wanted, w -> struct(w.node AS node, l[w.place] AS line)))[0]")))
-    texts = lines.dropDuplicates(["node"]).select("node", _words(F.col("line")).alias("words"))
-    voted = texts.select("node", "words", _votes("transform(words, w -> hash(w))").alias("votes"))
-    return voted.select("node", "words", F.struct(F.size("words").alias("n"), simhash("votes").alias("x")).alias("bits"))
+    texts = lines.dropDuplicates(["node"]).select("node", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
+    return texts.select("*", _spelt("words").alias("spelt"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of which at most 1 - similarity of the longer one's words are edited. A pair's words are characters, by their
-    place among its distinct words."""
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
+    """Pairs of which at most 1 - similarity of the longer one's words are edited. A pair's words, by their hashes as in its
+    classes, are characters: by the codes of these if they tell all its words apart, else by their place among its distinct words."""
+    side = lambda c: texts.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("words", "spelt")))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    # Characters beyond the surrogates, five hexadecimal digits. The lambda around computes the distinct words once.
-    known = f"if(size(words_a) + size(words_b) <= {WORDS_IN_PLACE}, array_distinct(concat(words_a, words_b)), array())"
-    place = f"if(size(k) > 0, array_position(k, w) - 1, pmod(xxhash64(w), {_CODES}L)) + 65536"
-    spelt = lambda c: F.decode(F.unhex(F.expr(f"transform(array({known}), k -> concat('000', array_join(transform(words_{c}, w -> hex({place})), '000')))[0]")), "UTF-32")
     allowed = f"cast(floor({1 - similarity:.6f}D * greatest(size(words_a), size(words_b)) + 1e-9D) as int)"
-    near = both.where(F.expr(f"abs(size(words_a) - size(words_b)) <= {allowed}")).withColumns({"spelt_a": spelt("a"), "spelt_b": spelt("b")})
-    return near.where(F.expr(f"levenshtein(spelt_a, spelt_b, {allowed}) >= 0")).select("a", "b")
+    # Whether the codes are as many as the words. Lambdas, as what is written out is worked out more than once.
+    distinct = "array_distinct(concat(words_a, words_b))"
+    alike = f"size(k) = size(array_distinct(transform(k, h -> pmod(h, {_CODES})))) OR size(words_a) + size(words_b) > {WORDS_IN_PLACE}"
+    # Characters beyond the surrogates, five hexadecimal digits.
+    placed = lambda c: f"decode(unhex(concat('000', array_join(transform(words_{c}, w -> hex(array_position(k, w) + 65535)), '000'))), 'UTF-32')"
+    spelt = f"if({alike}, struct(spelt_a AS a, spelt_b AS b), struct({placed('a')} AS a, {placed('b')} AS b))"
+    near = f"exists(transform(array({distinct}), k -> {spelt}), s -> levenshtein(s.a, s.b, {allowed}) >= 0)"
+    return both.where(F.expr(f"abs(size(words_a) - size(words_b)) <= {allowed}") & F.expr(near)).select("a", "b")
 
 
 def _spelt(hashes: str) -> Column:
@@ -194,7 +209,22 @@ def _apart(named: DataFrame, similarity: float) -> DataFrame:
     meet = (a.block == b.block) & (a.own == b.own) & (a.other == b.other)
     edits = f"cast(floor({1 - similarity:.6f}D * greatest(line_a.n, line_b.n) + 1e-9D) as int)"
     near = F.expr(f"coalesce(levenshtein(line_a.spelt, line_b.spelt, {edits}) >= 0, true)")
-    return a.join(b, meet & F.expr("a < b AND line_a.label <> line_b.label") & _close("line_a", "line_b", similarity) & near).select("a", "b").distinct()
+    return a.join(b, meet & F.expr("a < b AND line_a.label <> line_b.label") & _close("line_a.", "line_b.", similarity) & near).select("a", "b").distinct()
+
+
+def _direct(named: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of rows of one block with different labels that may be close by lengths and bits."""
+    rows = named.withColumn("tiles", F.ceil(F.col("rows") / DIRECT_TILE).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("tiles")))
+    rows = rows.select("block", "own", "tiles", "node", "label", "bits.*")
+    other, line = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), ("label", "n", "x", "w0", "w1")
+    a = rows.select("block", "own", other.alias("other"), F.col("node").alias("a"), *(F.col(c).alias(f"a_{c}") for c in line))
+    b = rows.select("block", other.alias("own"), F.col("own").alias("other"), F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in line))
+    meet = (a.block == b.block) & (a.own == b.own) & (a.other == b.other) & F.expr("a < b AND a_label <> b_label")
+    return a.join(b, meet & _close("a_", "b_", similarity) & _shared("a_", "b_", similarity)).select("a", "b").distinct()
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, lines: DataFrame | None = None) -> DataFrame:
@@ -202,19 +232,27 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
     table, if they are at hand."""
     lines = lines_of(df, min_words) if lines is None else lines
     first = F.min(F.struct("doc_id", "doc", "place")).alias("first")
-    classes = stored(lines.where("node IS NOT NULL").groupBy("node").agg(first, F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("copies")))
-    keyed = classes.where("blocks IS NOT NULL").select("node", F.explode(_keys("blocks", "n")).alias("block")).where("block IS NOT NULL").repartition("block")
+    numbers = ("n", "blocks", "w0", "w1")
+    classes = lines.where("node IS NOT NULL").groupBy("node").agg(first, *(F.first(c).alias(c) for c in numbers), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.withColumn("x", F.when(F.col("blocks").isNotNull(), simhash("blocks"))))
+    keys = classes.where("blocks IS NOT NULL").select("node", _keys("blocks", "n").alias("keys"))
+    keyed = keys.select("node", F.explode_outer("keys").alias("block")).where("block IS NOT NULL").repartition("block")
     shared = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
-    # Bare keys meet first, in one pass over them; words and bits are fetched for those that are left.
+    # Bare keys meet first, in one pass over them, then bits; words are fetched for those that are left.
     members = stored(keyed.join(shared.hint("shuffle_hash"), "block"))
-    texts = stored(_texts(df, classes, members.select("node").distinct()))
-    bits = lambda c: texts.select(F.col("node").alias(c), F.col("bits").alias(f"{c}_bits"))
+    bits = lambda c: classes.where("blocks IS NOT NULL").select(F.col("node").alias(c), F.struct("n", "x", "w0", "w1").alias(f"{c}_bits"))
     led = members.where("leader < node").select("leader", "node").distinct().join(bits("node"), "node").join(bits("leader"), "leader")
-    near = stored(led.where(_close("node_bits", "leader_bits", similarity)).select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    labels = components(stored(_verified(near, texts, similarity)))
+    led = led.where(_close("node_bits.", "leader_bits.", similarity) & _shared("node_bits.", "leader_bits.", similarity))
+    near = stored(led.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    labels = components(stored(_verified(near, stored(_texts(df, classes, _nodes(near))), similarity)))
     named = members.where("node <> leader").join(labels, "node", "left").select("block", "node", F.coalesce("component", "node").alias("label"))
-    named = named.join(_mixed(named), "block").join(texts.select("node", "bits", F.transform("words", lambda w: F.hash(w)).alias("hashes")), "node")
-    apart = stored(_verified(stored(_apart(named, similarity)), texts, similarity))
+    named = stored(named.join(_mixed(named), "block").join(bits("node"), "node").withColumnRenamed("node_bits", "bits"))
+    apart, large = _direct(named.where(F.col("rows") <= DIRECT), similarity), named.where(F.col("rows") > DIRECT)
+    if not large.isEmpty():
+        hashes = _texts(df, classes, large.select("node").distinct()).select("node", F.col("words").alias("hashes"))
+        apart = apart.union(_apart(large.join(hashes, "node"), similarity)).distinct()
+    apart = stored(apart)
+    apart = stored(_verified(apart, stored(_texts(df, classes, _nodes(apart))), similarity))
     # These link groups, or classes alone, which are their own label.
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
     links = apart.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))

@@ -206,3 +206,36 @@ def test_words_of_a_line_are_cut_once_and_leave_eight_numbers(spark, monkeypatch
     assert len(calls) == 1
     blocks = {r.doc_id: r.blocks for r in cut(df).collect()}
     assert blocks[3] is None and len(blocks[1]) == 8 and sum(a == b for a, b in zip(blocks[1], blocks[2])) in (6, 7)
+
+
+def test_candidates_come_from_bits_without_words(spark, monkeypatch):
+    """The SimHash comes from the eight numbers, a block without words is none, and words are fetched for few lines."""
+    fetched, texts = [], L._texts
+    monkeypatch.setattr(L, "_texts", lambda df, classes, nodes: fetched.append(nodes.count()) or texts(df, classes, nodes))
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(5)]
+    line = lambda n: [rng.choice(common) if rng.random() < 0.4 else f"w{rng.randint(0, 100_000)}" for _ in range(n)]
+    # Few words, many times: counts don't run into the blocks of others.
+    lines = [line(30) for _ in range(400)] + [[f"x{i}"] * rng.randint(900, 1500) for i in range(40)]
+    lines += [[*lines[0][:-1], "other"], [*lines[400], "other"]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    cut = {r.doc_id for r in L.dedup_lines(df, counts=True).collect() if r.n_cut}
+    assert cut == {440, 441}
+    assert sum(fetched) < 60
+    made = L.lines_of(df).select("doc_id", "blocks", L.simhash("blocks").alias("x")).collect()
+    for r in made:
+        bits = 0
+        for i, v in enumerate(r.blocks):
+            lanes = [v >> 8 * k & 255 for k in range(7)]
+            bits |= sum(1 << (8 * k + 7 - i) for k in range(7) if 2 * lanes[k] > 15 * (v >> 56) and lanes[k] >= min((15 * (v >> 56) >> 1) + 1, 256))
+        assert r.x == bits
+    assert all(r.blocks.count(0) == 7 for r in made if 400 <= r.doc_id < 440)
+
+
+def test_larger_blocks_meet_by_words(spark, monkeypatch):
+    """Beyond DIRECT rows a block is compared on hashed words, and nothing else comes out."""
+    rows = made()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, size in (("DIRECT", 2), ("DIRECT_TILE", 2)):
+        monkeypatch.setattr(L, name, size)
+        assert sorted(((r.doc_id, r.text) for r in L.dedup_lines(df).collect()), key=repr) == brute(rows)
