@@ -98,11 +98,11 @@ def simhash(blocks: str) -> Column:
     ones, odd = 0x0001000100010001, 0x000100010001
 
     def block(i: int) -> str:
+        # What a lane lacks of 256 if it is just over the mean, so that a carry tells. Few operations, as Java compiles no long methods.
         v = f"get({blocks}, {i})"
-        least = f"shiftright(15 * shiftright({v}, 56), 1)"
-        least = f"if({least} > 255, 256L, {least} + 1)"
-        over = lambda v, ones: f"(shiftright(({v} & {255 * ones}L) + {256 * ones}L - {least} * {ones}L, 8) & {ones}L)"
-        return f"shiftleft({over(v, ones)} | shiftleft({over(f'shiftright({v}, 8)', odd)}, 8), {7 - i})"
+        lacks = f"greatest(255 - shiftright(15 * shiftright({v}, 56), 1), 0L) * {ones}L"
+        even, odds = f"shiftright(({v} & {255 * ones}L) + {lacks}, 8) & {ones}L", f"((shiftright({v}, 8) & {255 * odd}L) + {lacks}) & {odd << 8}L"
+        return f"shiftleft(({even}) | ({odds}), {7 - i})"
 
     return F.expr(" | ".join(map(block, range(8))))
 
@@ -234,13 +234,14 @@ def line_groups(df: DataFrame, similarity: float = SIMILARITY, min_words: int =
     first = F.min(F.struct("doc_id", "doc", "place")).alias("first")
     numbers = ("n", "blocks", "w0", "w1")
     classes = lines.where("node IS NOT NULL").groupBy("node").agg(first, *(F.first(c).alias(c) for c in numbers), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes.withColumn("x", F.when(F.col("blocks").isNotNull(), simhash("blocks"))))
+    classes = stored(classes)
     keys = classes.where("blocks IS NOT NULL").select("node", _keys("blocks", "n").alias("keys"))
     keyed = keys.select("node", F.explode_outer("keys").alias("block")).where("block IS NOT NULL").repartition("block")
     shared = keyed.groupBy("block").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
     # Bare keys meet first, in one pass over them, then bits; words are fetched for those that are left.
     members = stored(keyed.join(shared.hint("shuffle_hash"), "block"))
-    bits = lambda c: classes.where("blocks IS NOT NULL").select(F.col("node").alias(c), F.struct("n", "x", "w0", "w1").alias(f"{c}_bits"))
+    # SimHashes are cheaper made again than beside the aggregation, with which they are too long a method for Java to compile.
+    bits = lambda c: classes.where("blocks IS NOT NULL").select(F.col("node").alias(c), F.struct("n", simhash("blocks").alias("x"), "w0", "w1").alias(f"{c}_bits"))
     led = members.where("leader < node").select("leader", "node").distinct().join(bits("node"), "node").join(bits("leader"), "leader")
     led = led.where(_close("node_bits.", "leader_bits.", similarity) & _shared("node_bits.", "leader_bits.", similarity))
     near = stored(led.select(F.col("leader").alias("a"), F.col("node").alias("b")))
