@@ -112,3 +112,11 @@ def test_table_changes(spark, tmp_path):
     assert bundles.read_snapshot(spark, str(tmp_path / "s"), "sessions", "snap-1").count() == 2
     merged = bundles.merge_tables({"sessions": tables["sessions"].filter("id = 's1'")}, tables)
     assert merged["sessions"].count() == 2
+
+
+def test_vectors_of_mixed_sizes_are_asked_for_every_fifth_whole(spark, sf_dir):
+    from memspark.plans import load_registry
+
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 5 = 0").select("vec_id").collect()
+    got = load_registry()["vector_mixed_sizes"](spark, sf_dir).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {r.vec_id: 5 for r in ids}
