@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from memspark.functions.text import content_overlap, title_similarity
+from memspark.operators import close_names
 from memspark.operators.matching import substring_pairs
 from memspark.operators.ranking import top_per_group, with_project
 from memspark.runtime import cut_lineage
@@ -13,9 +15,10 @@ from memspark.sources.tables import spread
 EXACT_CONFIDENCE = 0.98
 
 
-#: Names up to this long meet on what is left of them without some letters, which is about half its square of keys for two
-#: edits. A pair with a longer name meets on a part.
+#: Names up to this long meet on what is left of them without some letters. A pair with a longer name meets on a part.
 SHORT_NAME = 32
+#: Names beyond which that is done in groups of a few names (close_names.py); below, one join without Python is soon done.
+FEW_NAMES = 20_000
 
 
 def _cut(length: Column | int, part: int, parts: int) -> Column:
@@ -42,13 +45,49 @@ def _without(name: Column, letters: int) -> list[Column]:
     return out
 
 
-def _short_pairs(able: DataFrame, max_dist: int) -> DataFrame:
-    """Candidate pairs (key, key2, rep, rep2) of names of at most SHORT_NAME letters.
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+def _short_pairs(able: DataFrame, max_dist: int, prefix: int = 0) -> DataFrame:
+    """Pairs (rep, rep2, dist) of names of at most SHORT_NAME letters with at most ``max_dist`` edits, each pair once.
+
+    Of many names, each is sent to a few groups, not once for everything that it may be without two letters; large groups
+    are dealt over more buckets by what is left of the names. Names and groups are counted first, which are jobs while planning.
+    """
+    able = able.filter(F.col("n") <= SHORT_NAME)
+    many = able.count() > FEW_NAMES
+    able = spread(able)
+    if max_dist > 2 or not many:
+        return _measured(_left_pairs(able, max_dist), max_dist, prefix)
+    # The length keeps apart what the concatenation would join.
+    scope = F.concat(F.char_length("project").cast("string"), F.lit(":"), F.col("project").cast("string"), F.col("type").cast("string"))
+    able = able.select(F.xxhash64("project", "type").alias("seed"), scope.alias("scope"), "key", "rep")
+    rep = able.schema["rep"].dataType
+    long, whole = T.LongType(), T.IntegerType()
+    named = {"scope": T.StringType(), "key": T.StringType(), "rep": rep}
+    counted, routed = _schema(g=long, weight=long), _schema(g=long, weight=long, what=whole, **named)
+    dealt, found = _schema(g=long, part=whole, parts=whole, weight=long, what=whole, **named), _schema(rep=rep, rep2=rep, dist=whole)
+    groups = able.mapInArrow(close_names.route(to_arrow_schema(counted), True), counted).groupBy("g").agg(F.sum("weight").alias("weight"))
+    hot = groups.filter(F.col("weight") > close_names.GROUP_KEYS)
+    hot = cut_lineage(hot.select("g", F.ceil(F.col("weight") / close_names.GROUP_KEYS).cast("int").alias("parts")))
+    rows = able.mapInArrow(close_names.route(to_arrow_schema(routed), False), routed)
+    if hot.isEmpty():
+        rows = rows.withColumns({"part": F.lit(0), "parts": F.lit(1)})
+    else:
+        rows = rows.join(hot, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        rows = rows.mapInArrow(close_names.deal(to_arrow_schema(dealt)), dealt)
+    # A number, as few bytes here are much work.
+    rows = rows.repartition(int(able.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
+    return rows.mapInArrow(close_names.meet(to_arrow_schema(found), max_dist, prefix), found)
+
+
+def _left_pairs(able: DataFrame, max_dist: int) -> DataFrame:
+    """Candidate pairs (key, key2, rep, rep2) from one join on what is left.
 
     Names within ``max_dist`` edits are equal once that many letters of the longer one are gone, and of the shorter one as
     many less as it is shorter. Both sides of the join are one shuffle. A common beginning doesn't bring names together.
     """
-    able = spread(able.filter(F.col("n") <= SHORT_NAME))
     hashed = lambda left, gone: F.transform(left, lambda x: F.struct(F.xxhash64("project", "type", x).alias("h"), F.lit(gone).alias("gone")))
     keys = F.concat(*[hashed(left, gone) for gone, left in enumerate(_without(F.col("key"), max_dist))])
     met = able.select("project", "type", "key", "rep", F.inline(keys)).repartition("h")
@@ -86,6 +125,18 @@ def _long_pairs(able: DataFrame, max_dist: int) -> DataFrame:
     return a.join(b.hint("merge"), ["project", "type", "n", "part", "piece"]).filter(once).select("key", "key2", "rep", "rep2")
 
 
+def _measured(candidates: DataFrame, max_dist: int, prefix: int) -> DataFrame:
+    """Candidate pairs with the edits between them, those within ``max_dist`` once each."""
+    same_head = F.lit(True) if not prefix else F.substring("key", 1, prefix) == F.substring("key2", 1, prefix)
+    return (
+        candidates.filter(same_head)
+        .withColumn("dist", F.levenshtein("key", "key2", max_dist))
+        .filter("dist > 0")
+        .select("rep", "rep2", "dist")
+        .distinct()
+    )
+
+
 def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int | None = None, longest: int | None = None) -> DataFrame:
     """(source_id, target_id, confidence, match_type) of likely equal entities within a project and type.
 
@@ -96,7 +147,7 @@ def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int | None =
     both are off. Candidates are never broadcast: from a small table come many.
     """
     named = entities.select("id", "project", "type", F.lower("name").alias("key"))
-    reps = named.groupBy("project", "type", "key").agg(F.min("id").alias("rep"))
+    reps = cut_lineage(named.groupBy("project", "type", "key").agg(F.min("id").alias("rep")))
     exact = (
         named.join(reps, ["project", "type", "key"])
         .filter(F.col("id") != F.col("rep"))
@@ -106,15 +157,11 @@ def flag_duplicates(entities: DataFrame, max_dist: int = 2, prefix: int | None =
     able = able.filter(F.col("n") >= max(max_dist + 1, prefix or 0))
     if longest is not None:
         able = able.filter(F.octet_length("key") <= longest)
-    same_head = F.lit(True) if not prefix else F.substring("key", 1, prefix) == F.substring("key2", 1, prefix)
-    fuzzy = (
-        _short_pairs(able, max_dist).unionByName(_long_pairs(able, max_dist))
-        .filter(same_head)
-        .withColumn("dist", F.levenshtein("key", "key2", max_dist))
-        .filter("dist > 0")
-        .select("rep", "rep2", "dist")
-        .distinct()
-        .select(F.least("rep", "rep2").alias("source_id"), F.greatest("rep", "rep2").alias("target_id"), F.round(1 - F.col("dist") * 0.1, 2).alias("confidence"), F.lit("fuzzy").alias("match_type"))
+    close = _short_pairs(able, max_dist, prefix or 0)
+    if not able.filter(F.col("n") > SHORT_NAME).isEmpty():
+        close = close.unionByName(_measured(_long_pairs(able, max_dist), max_dist, prefix or 0))
+    fuzzy = close.select(
+        F.least("rep", "rep2").alias("source_id"), F.greatest("rep", "rep2").alias("target_id"), F.round(1 - F.col("dist") * 0.1, 2).alias("confidence"), F.lit("fuzzy").alias("match_type")
     )
     return exact.unionByName(fuzzy)
 

@@ -138,3 +138,36 @@ def test_pairs_are_sorted_once_after_the_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
     assert out.where("match_type = 'fuzzy' AND status = 'confirmed' AND confidence = 0.5").count() == 50
+
+
+def test_close_names_meet_in_few_groups_and_once(spark, monkeypatch):
+    import itertools
+    import random
+
+    from memspark.operators import close_names
+    from test_skew import edit_distance
+
+    rnd, names = random.Random(11), set()
+    for alphabet, size in (("ab", 9), ("0123456789", 7), ("aé字", 30), ("0123456789", 6)):
+        for _ in range(90):
+            near = list(rnd.choice(sorted(names))) if names and rnd.random() < 0.6 else [rnd.choice(alphabet) for _ in range(rnd.randint(3, size))]
+            near[rnd.randrange(len(near))] = rnd.choice(alphabet)
+            k = rnd.randint(0, len(near))
+            near[k : k + rnd.randint(0, 1)] = rnd.choice(["", alphabet[0], alphabet[-2:]])
+            names |= {"".join(near)[:34], "part " + "".join(near)[:7], "".join(near)[:9] + " part"}
+    names = sorted(x for x in names if len(x) > 2)
+    rows = [(f"e{k:04d}", "p" if k % 5 else "q", x, "T") for k, x in enumerate(names)]
+    table = spark.createDataFrame([*rows, ("n1", None, names[0], "T"), ("n2", "p", None, "T"), ("n3", "p", "", "T")], "id string, project string, name string, type string")
+    want = {(a, b, edit_distance(x, y)) for (a, p, x, _), (b, q, y, _) in itertools.combinations(rows, 2) if p == q and abs(len(x) - len(y)) < 3 and edit_distance(x, y) <= 2}
+    able = table.selectExpr("project", "type", "name AS key", "id AS rep", "char_length(name) AS n").where("n > 2 AND project IS NOT NULL")
+    short = {(a, b, d) for a, b, d in want if max(len(names[int(a[1:])]), len(names[int(b[1:])])) <= dup.SHORT_NAME}
+    assert len(short) > 500
+    monkeypatch.setattr(dup, "FEW_NAMES", 100)
+    for keys_of_a_bucket in (close_names.GROUP_KEYS, 1500):
+        monkeypatch.setattr(close_names, "GROUP_KEYS", keys_of_a_bucket)
+        pairs = dup._short_pairs(able, 2)
+        # Before, a name was a row for each text that it may become, and a pair came once for each that both may.
+        assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((min(r.rep, r.rep2), max(r.rep, r.rep2), r.dist) for r in pairs.collect()) == sorted(short)
+    fuzzy = dup.flag_duplicates(table).where("match_type = 'fuzzy'").collect()
+    assert sorted((r.source_id, r.target_id, round(10 - 10 * r.confidence)) for r in fuzzy) == sorted(want)
